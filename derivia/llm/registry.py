@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from derivia.llm.common import table
+from derivia.llm.common import fresh_path, table
 
 
 def tokenizer_path() -> str:
@@ -11,13 +11,30 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_warc_zstd(spark, sf_dir):
+    from derivia.llm.warc import read_archives, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from derivia.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS lead FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN strlen(html) >= 1000 AND page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(html) >= 1000 AND page_id < lead THEN lead END AS refers_to,
+               CAST(NULL AS VARCHAR) AS error
+        FROM g""",
+}
 
 
 def queries():
