@@ -19,6 +19,12 @@ def op1_warc_zstd(spark, sf_dir):
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    from derivia.llm.jaccard import groups_of
+
+    return groups_of(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from derivia.llm.packing import pack_documents
 
