@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from derivia.llm.common import fresh_path, table
 
 
@@ -19,6 +21,12 @@ def op1_warc_zstd(spark, sf_dir):
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op5_hilbert_curves(spark, sf_dir):
+    from derivia.llm.hilbert import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     from derivia.llm.jaccard import groups_of
 
