@@ -33,6 +33,12 @@ def op6_ngram_jaccard(spark, sf_dir):
     return groups_of(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_label_quality(spark, sf_dir):
+    from derivia.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from derivia.llm.packing import pack_documents
 
