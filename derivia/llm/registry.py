@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from derivia.llm.common import fresh_path, table
+from derivia.llm.rules import oracle as rules_oracle
 
 
 def tokenizer_path() -> str:
@@ -21,6 +22,12 @@ def op1_warc_zstd(spark, sf_dir):
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op2_risk_controlled_rules(spark, sf_dir):
+    from derivia.llm.rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_hilbert_curves(spark, sf_dir):
     from derivia.llm.hilbert import neighbours
 
@@ -54,6 +61,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN strlen(html) >= 1000 AND page_id < lead THEN lead END AS refers_to,
                CAST(NULL AS VARCHAR) AS error
         FROM g""",
+    "op2_risk_controlled_rules": rules_oracle(),
 }
 
 
