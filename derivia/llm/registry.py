@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from derivia.llm.common import fresh_path, table
+from derivia.llm.perspectives import oracle as perspectives_oracle
+from derivia.llm.rollup import oracle as rollup_oracle
 from derivia.llm.rules import oracle as rules_oracle
 
 
+#: Weights of the domains after mixing: less of what is toxic or of low quality than there is.
+MIX = {"clean": 0.95, "toxic": 0.02, "low": 0.03}
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -28,6 +34,18 @@ def op2_risk_controlled_rules(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_soft_mixing(spark, sf_dir):
+    from derivia.llm.mixing import label_domains, mixed
+
+    return mixed(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+
+
+def op4_perspective_rotation(spark, sf_dir):
+    from derivia.llm.perspectives import rotated
+
+    return rotated(table(spark, sf_dir, "conversations"))
+
+
 def op5_hilbert_curves(spark, sf_dir):
     from derivia.llm.hilbert import neighbours
 
@@ -46,12 +64,24 @@ def op7_weak_label_quality(spark, sf_dir):
     return scored(table(spark, sf_dir, "documents"))
 
 
+def op8_viterbi_language_id(spark, sf_dir):
+    from derivia.llm.langid import held_out_languages
+
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     from derivia.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
 
+def op10_delta_rollup(spark, sf_dir):
+    from derivia.llm.rollup import document_rollup
+
+    return document_rollup(table(spark, sf_dir, "documents"), fresh_path(spark, "rollup"))
+
+
 ORACLE: dict[str, str] = {
     "op1_warc_zstd": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -62,6 +92,8 @@ ORACLE: dict[str, str] = {
                CAST(NULL AS VARCHAR) AS error
         FROM g""",
     "op2_risk_controlled_rules": rules_oracle(),
+    "op4_perspective_rotation": perspectives_oracle(),
+    "op10_delta_rollup": rollup_oracle(),
 }
 
 
