@@ -375,3 +375,15 @@ def groups_of(docs: DataFrame, words: int = 5) -> DataFrame:
     named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     out = rows.join(named, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) without those that another document of their group stands for: the one with the smallest id stays, and one row of it."""
+    groups = written(groups_of(docs, words), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_anti").union(again)

@@ -28,8 +28,8 @@ from derivia.llm.linear import BITS, features, fit_on, probabilities
 
 #: Labelled rows of each domain that the classifier is fitted on, at most.
 DOMAIN_ROWS = 4000
-STEPS = 25
-MU = 0.01
+STEPS = 40
+MU = 0.003
 
 
 def replay(p: np.ndarray, residuals: list[np.ndarray], mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
@@ -120,3 +120,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget:
 def label_domains(labels: DataFrame) -> DataFrame:
     """labels(doc_id, quality, toxic) as domains: toxic, low (not toxic, of low quality) and clean."""
     return plain_keys(labels, "doc_id", "quality", "toxic").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) with every row as often as its rate draws it, with the same columns; rows without an id stay once."""
+    made = mixed(docs, labels, targets, budget).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    out = docs.join(made, docs["doc_id"] == F.col("_id"), "left").withColumn("_times", F.coalesce("_copies", F.lit(1))).where("_times > 0")
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -125,16 +125,17 @@ def posteriors(counts: dict[int, int], k: int = len(LABELLERS), rounds: int = 20
     return dict(zip(pats.tolist(), p.tolist(), strict=True)), rates
 
 
-def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score (0 to 1), kept for each row of docs(doc_id, text)."""
-    docs = plain_keys(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string"))
+def scored(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, score (0 to 1) and kept for each row of docs(doc_id, text)."""
+    names = list(dict.fromkeys((*keep, "doc_id", "text")))
+    docs = plain_keys(docs, *names).withColumn("text", F.col("text").cast("string"))
 
     def vote(batches):
         for batch in slices(batches):
             m = measures(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pattern(votes(m)).astype(np.int32)), pa.array(m["words"] > 0)], ["doc_id", "pattern", "has_words"])
 
-    voted = written(docs.mapInArrow(vote, f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int, has_words boolean"), "votes")
+    voted = written(docs.select("doc_id", "text").mapInArrow(vote, f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int, has_words boolean"), "votes")
     counts = {r["pattern"]: r["count"] for r in voted.where("has_words").groupBy("pattern").count().collect()}  # at most 3 ** labellers
     table, _ = posteriors(counts) if counts else ({}, None)
 
@@ -149,7 +150,7 @@ def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         # the sample's ids are bounded by SIDE_ROWS, so this join needs no shuffle of the texts
         ids = written(sides[0].union(sides[1]).dropDuplicates(["doc_id"]), "sample")
         target = F.create_map(*[F.lit(x) for p, q in table.items() for x in (p, q)])[F.col("pattern")]
-        sample = docs.join(F.broadcast(ids), "doc_id").select("text", F.array(target, 1 - target).alias("target"))
+        sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.array(target, 1 - target).alias("target"))
         model = fit_on(sample, 2)
     if model is not None:
         # the sample has both sides in other shares than the corpus
@@ -169,6 +170,12 @@ def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 p = probabilities(row, bucket, value, batch.num_rows, *model)[:, 0]
                 words = np.bincount(row, minlength=batch.num_rows)
             p = np.where(words > 0, p, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.astype(float)), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p.astype(float)), pa.array(p >= threshold)], [*keep, "score", "kept"])
 
-    return docs.mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, kept boolean")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, kept boolean")
+
+
+def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that the classifier keeps, with their columns."""
+    return scored(docs, threshold, tuple(docs.columns)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

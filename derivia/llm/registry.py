@@ -11,7 +11,7 @@ from derivia.llm.rules import oracle as rules_oracle
 
 
 #: Weights of the domains after mixing: less of what is toxic or of low quality than there is.
-MIX = {"clean": 0.95, "toxic": 0.02, "low": 0.03}
+MIX = {"clean": 0.88, "toxic": 0.06, "low": 0.06}
 
 
 def tokenizer_path() -> str:
@@ -98,7 +98,9 @@ ORACLE: dict[str, str] = {
 
 
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -33,7 +33,7 @@ FEW_STRATA = 10_000
 
 
 def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long); the text is dropped."""
+    """docs plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long); the text goes."""
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(t, F.lit(SPACE_CHARS))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPLIT))
@@ -96,21 +96,51 @@ def cutoffs(judged: DataFrame, epsilon: float = 0.02, alpha: float = 0.05) -> Da
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs(doc_id, text, <stratum>)."""
-    docs = plain_keys(docs, "doc_id", "text", stratum).select("doc_id", F.col("text").cast("string"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"))
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = written(word_stats(docs).select("*", base.alias("base_failed"), *shares()), "rules")
-    good = plain_keys(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    cuts = written(cutoffs(stats.where("not base_failed").join(good, "doc_id", "left_semi"), epsilon, alpha), "cutoffs")
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def prepared(docs: DataFrame, stratum: str) -> DataFrame:
+    return plain_keys(docs, "doc_id", "text", stratum).select("doc_id", F.col("text").cast("string"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"))
+
+
+def good_documents(labels: DataFrame) -> DataFrame:
+    """Ids of the documents all of whose labels are good."""
+    return plain_keys(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+
+
+def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """stats(stratum, the counts, ...) plus base_failed and kept."""
     named = cuts.withColumnRenamed("stratum", "_stratum")
     if fits_broadcast(named, FEW_STRATA):
         named = F.broadcast(named)
-    out = stats.join(named, F.col("stratum") == F.col("_stratum"), "left")
+    out = stats.select("*", base_failed().alias("base_failed"), *shares()).join(named, F.col("stratum") == F.col("_stratum"), "left")
     over = F.lit(False)
     for r in RULES:
         over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~over)
+
+
+def certified(stats: DataFrame, labels: DataFrame, epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
+    """The cutoffs that the labelled good documents in stats(doc_id, stratum, the counts) certify."""
+    tested = stats.where(~base_failed()).select("doc_id", "stratum", *shares()).join(good_documents(labels), "doc_id", "left_semi")
+    return written(cutoffs(tested, epsilon, alpha), "cutoffs")
+
+
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs(doc_id, text, <stratum>)."""
+    stats = written(word_stats(prepared(docs, stratum)), "rules")
+    out = with_verdict(stats, certified(stats, labels, epsilon, alpha))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang", epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
+    """The rows of docs(doc_id, text, <stratum>, ...) that the rules keep, with their columns. Rows and counts are written once and read twice; no text is shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    base = docs.select(whole, F.col("text").cast("string").alias("text"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("und")).alias("stratum"))
+    base = base.withColumn("doc_id", F.col("_row.doc_id"))
+    stats = written(word_stats(base), "rules")
+    return with_verdict(stats, certified(stats, labels, epsilon, alpha)).where("kept").select("_row.*")
 
 
 def oracle(documents: str = "documents", epsilon: float = 0.02, alpha: float = 0.05) -> str:
