@@ -17,7 +17,8 @@ Spread over a cluster:
    linked through a hub of each long list first, which takes as many steps as the list has entries.
 4. Candidates are checked on whole sets by binary probes: each document's most promising partner
    first; then, since only the groups matter, only pairs whose groups are still apart, and at last the
-   documents on long lists that are not in the group of most of the list, against all of the list.
+   documents on long lists that are not in the group of most of the list, against all of the list
+   that has as many long shingles as T asks for.
 
 Nothing is capped or dropped: exact copies are one node from the start, and every link between
 different sets is checked or lies within a group that other links have already joined.
@@ -364,11 +365,10 @@ def groups_of(docs: DataFrame, words: int = 5) -> DataFrame:
     mixed = written(long_.join(per.drop("roots"), "token"), "long")
     if not mixed.isEmpty():
         query = mixed.where("root <> main").select("token", *(F.col(c).alias(f"q{c}") for c in ("x", "n", "r", "root")))
-        met = mixed.join(query, "token").where("root <> qroot and (root = main or x < qx) and 4 * least(n, qn) >= 3 * greatest(n, qn)")
-        met = met.groupBy("x", "qx", "n", "qn", "r", "qr").agg(F.count(F.lit(1)).alias("c"))
-        prefix = lambda n: F.floor(F.col(n) / 4) + 1
-        most = F.col("c") + F.least(F.col("n") - F.col("r"), F.col("qn") - F.col("qr")) + F.greatest(F.col("n") - prefix("n"), F.col("qn") - prefix("qn"))
-        met = met.where(7 * most >= 3 * (F.col("n") + F.col("qn"))).select("x", F.col("qx").alias("y"))
+        # both posted all their short shingles; pairs that have one in common are among those above, others share long ones at most
+        reach = "7 * least(r, qr) >= 3 * (n + qn)"
+        met = mixed.join(query, "token").where(f"root <> qroot and (root = main or x < qx) and {reach}")
+        met = met.select("x", F.col("qx").alias("y")).distinct()
         star = written(star.union(checked(docs, written(met, "met"), words, bits)), "links")
         roots = written(connected(star), "roots")
 
