@@ -14,11 +14,12 @@ Spread over a cluster:
    give the pairs and how often they occur. What a pair can share beyond that is known, and pairs
    that can't reach T fall out.
 3. Documents with so few short shingles that they post long ones too (copies of a large family) are
-   linked through a hub of each long list first, which takes as many steps as the list has entries.
+   linked through a hub of each long list first, which takes as many steps as the list has entries;
+   the hub is the one with most long shingles, as all that link within a family tend to link with it.
 4. Candidates are checked on whole sets by binary probes: each document's most promising partner
-   first; then, since only the groups matter, only pairs whose groups are still apart, and at last the
-   documents on long lists that are not in the group of most of the list, against all of the list
-   that has as many long shingles as T asks for.
+   first; then, since only the groups matter, only pairs whose groups are still apart, then the
+   groups on a long list meet its largest group through single members; and at last the documents
+   that are still outside that are compared with all of the list that has as many long shingles as T asks for.
 
 Nothing is capped or dropped: exact copies are one node from the start, and every link between
 different sets is checked or lies within a group that other links have already joined.
@@ -45,6 +46,8 @@ from derivia.llm.slabs import gathered, slab_rows
 BUCKET = 2_000_000
 #: Entries beyond the expected noise of a sketch cell that make its shingles long.
 LONG = 64
+#: Turns in which the groups of a long list meet through single members before all that is left is compared.
+TURNS = 3
 PAIR_SCHEMA = "a long, b long, na int, nb int, ra int, rb int, c int"
 
 
@@ -147,6 +150,11 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, rest: np.ndarr
         yield merged()
 
 
+def by_hub(token: np.ndarray, doc: np.ndarray, ids: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The order of postings by list, the hub of a list first: the document with the fewest short shingles, which is nearest to what its family has in common."""
+    return np.lexsort((mix(ids.view(U64))[doc], (n - rest)[doc], token))
+
+
 def posted(docs: DataFrame, words: int, packed_reps: np.ndarray, packed_long: np.ndarray, bits: int, buckets: int) -> DataFrame:
     """The pairs of merged lists, as rows of PAIR_SCHEMA with tokens null; and with c null a row for each document that posts long shingles."""
     sc = docs.sparkSession.sparkContext
@@ -186,8 +194,7 @@ def posted(docs: DataFrame, words: int, packed_reps: np.ndarray, packed_long: np
                     d = doc[a]
                     parts.append((int(ids[d] % buckets), 1, ids[d : d + 1], n[d : d + 1], rest[d : d + 1], token[a:b], none))
                 # the hub of each long list here: only it goes on to the hub of all
-                rank = mix(ids.view(U64))
-                order = np.lexsort((rank[doc], token))
+                order = by_hub(token, doc, ids, n, rest)
                 token, doc = token[order], doc[order]
                 first = np.concatenate([[True], token[1:] != token[:-1]])
                 hub = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
@@ -260,7 +267,7 @@ def posted(docs: DataFrame, words: int, packed_reps: np.ndarray, packed_long: np
                 yield pairs_batch(ids, n, rest, keys >> 32, keys & 0xFFFFFFFF, c.astype(np.int32))
         if hubs:
             token, doc = np.concatenate([x[0] for x in hubs]), place[np.concatenate([x[1] for x in hubs])]
-            order = np.lexsort((mix(ids.view(U64))[doc], token))
+            order = by_hub(token, doc, ids, n, rest)
             token, doc = token[order], doc[order]
             first = np.concatenate([[True], token[1:] != token[:-1]])
             hub = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
@@ -358,18 +365,35 @@ def groups_of(docs: DataFrame, words: int = 5) -> DataFrame:
         star = written(star.union(checked(docs, left, words, bits)), "links")
         roots = written(connected(star), "roots")
 
-    # documents on long lists: those outside the largest group of a list against the list
-    long_ = found.where("c is null").select(F.col("a").alias("x"), F.col("na").alias("n"), F.col("ra").alias("r"), F.explode("tokens").alias("token"))
-    long_ = long_.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    per = long_.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = written(long_.join(per.drop("roots"), "token"), "long")
-    if not mixed.isEmpty():
-        query = mixed.where("root <> main").select("token", *(F.col(c).alias(f"q{c}") for c in ("x", "n", "r", "root")))
-        # both posted all their short shingles; pairs that have one in common are among those above, others share long ones at most
-        reach = "7 * least(r, qr) >= 3 * (n + qn)"
-        met = mixed.join(query, "token").where(f"root <> qroot and (root = main or x < qx) and {reach}")
-        met = met.select("x", F.col("qx").alias("y")).distinct()
-        star = written(star.union(checked(docs, written(met, "met"), words, bits)), "links")
+    # documents on long lists: each group of a list meets the largest one there through a few of its members, turn by turn
+    long_ = written(found.where("c is null").select(F.col("a").alias("x"), F.col("na").alias("n"), F.col("ra").alias("r"), F.explode("tokens").alias("token")), "long")
+
+    def in_several(roots):
+        """The postings of lists that have more than one group, with their group and the largest of the list."""
+        now = long_.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+        per = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        return written(now.join(per.drop("roots"), "token"), "several")
+
+    # both posted all their short shingles; pairs that have one in common are among those above, others share long ones at most
+    reach = "7 * least(r, qr) >= 3 * (n + qn)"
+    other = lambda df: df.select("token", *(F.col(c).alias(f"q{c}") for c in ("x", "n", "r", "root")))
+    for turn in range(TURNS):
+        several = in_several(roots)
+        speaker = F.max_by(F.struct("x", "n", "r"), F.struct(F.floor(8 * F.col("r") / F.col("n")), F.xxhash64("x", "token", F.lit(turn))))
+        speakers = several.groupBy("token", "root", "main").agg(speaker.alias("s")).select("token", "root", "main", "s.*")
+        met = speakers.where("root = main").join(other(speakers.where("root <> main")), "token").where(reach).select("x", F.col("qx").alias("y")).distinct()
+        new = written(checked(docs, written(met, "met"), words, bits), "links")
+        if new.isEmpty():
+            break
+        star = written(star.union(new), "links")
+        roots = written(connected(star), "roots")
+
+    # what is still apart, in full: those outside the largest group of a list against the list
+    several = in_several(roots)
+    met = several.join(other(several.where("root <> main")), "token").where(f"root <> qroot and (root = main or x < qx) and {reach}").select("x", F.col("qx").alias("y")).distinct()
+    met = written(met, "met")
+    if not met.isEmpty():
+        star = written(star.union(checked(docs, met, words, bits)), "links")
         roots = written(connected(star), "roots")
 
     named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
