@@ -95,6 +95,8 @@ def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del batch, column, offsets
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 class Words:

@@ -42,8 +42,11 @@ from derivia.llm.common import U64, Words, mix, plain_keys, shingle_hashes, slic
 from derivia.llm.components import connected
 from derivia.llm.slabs import gathered, slab_rows
 
-#: Postings that one bucket should get.
-BUCKET = 2_000_000
+#: Postings that one bucket should get, and that a task gathers before it sends them.
+BUCKET = 1_000_000
+FLUSH = 1_200_000
+#: Text bytes hashed at once.
+SLICE = 1 << 19
 #: Entries beyond the expected noise of a sketch cell that make its shingles long.
 LONG = 64
 #: Turns in which the groups of a long list meet through single members before all that is left is compared.
@@ -95,7 +98,7 @@ def scan(docs: DataFrame, words: int, bits: int) -> DataFrame:
 
     def run(batches):
         cells = np.zeros(1 << bits, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             h, at = set_arrays(batch, words)
             n = np.diff(at)
             cells += np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
@@ -140,10 +143,10 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, rest: np.ndarr
         if len(key):
             held.append((key, np.ones(len(key), np.int64)))
             size += len(key)
-        if size > 3_000_000:
+        if size > 1_000_000:
             held = [merged()]
             size = len(held[0][0])
-            if size > 1_500_000:
+            if size > 500_000:
                 yield held.pop()
                 size = 0
     if held:
@@ -208,7 +211,7 @@ def posted(docs: DataFrame, words: int, packed_reps: np.ndarray, packed_long: np
             for k in range(0, len(parts), 64):
                 yield rows(parts[k : k + 64])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             doc_ids = batch.column("doc_id")
             keep = np.flatnonzero(np.asarray(doc_ids.is_valid()))
             keep = keep[passes(reps, doc_ids.take(pa.array(keep)).to_numpy(zero_copy_only=False), bits)]
@@ -229,7 +232,7 @@ def posted(docs: DataFrame, words: int, packed_reps: np.ndarray, packed_long: np
             held.append((batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.int32), (n - np.minimum(short, prefix)).astype(np.int32), h, row + base, is_long))
             base += len(n)
             size += len(h)
-            if size > BUCKET:
+            if size > FLUSH:
                 yield from flush()
                 held, size, base = [], 0, 0
         if held:
@@ -290,7 +293,7 @@ def checked(docs: DataFrame, pairs: DataFrame, words: int, bits: int) -> DataFra
     wanted = sc.broadcast(id_filter(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id", bits))
 
     def sets(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             doc_ids = batch.column("doc_id")
             keep = np.flatnonzero(np.asarray(doc_ids.is_valid()))
             keep = keep[passes(wanted.value, doc_ids.take(pa.array(keep)).to_numpy(zero_copy_only=False), bits)]
