@@ -50,7 +50,7 @@ SLICE = 1 << 19
 #: Entries beyond the expected noise of a sketch cell that make its shingles long.
 LONG = 64
 #: Turns in which the groups of a long list meet through single members before all that is left is compared.
-TURNS = 3
+TURNS = 1
 PAIR_SCHEMA = "a long, b long, na int, nb int, ra int, rb int, c int"
 
 
