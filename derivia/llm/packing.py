@@ -5,7 +5,7 @@ exist depends only on how many pieces there are of each length, and there are at
 lengths. So the corpus is tokenised once, its lengths are counted in Spark, vector best-fit runs on that
 bounded histogram (open bins with the same residual are one class), and the pieces are then dealt to
 the slots of the bins by their rank within their length. No piece passes through the driver and no
-task holds a group: ranks come from salted runs.
+task holds a group: ranks come from salted runs of about RUN_ROWS pieces, as many as a length needs.
 
 Defined cases: a null text is an empty one (it holds the end token alone); repeated rows are pieces of
 their own; an empty table gives an empty result; extra columns are ignored; a piece that breaks a
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from derivia.llm.common import plain_keys, slices, written
 
 END_ID = 2
-SALTS = 64
+#: Pieces of one length that one run should get.
+RUN_ROWS = 200_000
 #: Characters on which both tokenizer libraries split alike; other texts go to the slower one.
 PLAIN = re.compile(r"[\x00-\x7f\xa1-ɏ‐-‧‰-⁞€]*")
 
@@ -168,14 +169,16 @@ def slot_table(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int = 1024, max_attention: float | None = None, rule: str = "dot", weights: tuple[float, float, float] = (1.0, 0.25, 0.25)) -> DataFrame:
     """pieces (with a long column `length` of 1..max_tokens) plus sequence_id and offset.
 
-    The plan sent to the executors has at most a few rows for each of the max_tokens lengths.
+    The plan sent to the executors has at most a few rows for each of the max_tokens lengths, and a row for
+    every RUN_ROWS pieces.
     """
     spark = pieces.sparkSession
     stored = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     capacity = (float(max_tokens), float(max_docs), float(max_attention if max_attention is not None else max_tokens * max_tokens))
-    salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS))
-    runs = stored.groupBy("length", salt.alias("_salt")).agg(F.count(F.lit(1)).alias("n"))
-    found = runs.collect()  # at most max_tokens * SALTS rows
+    of_length = stored.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).alias("_runs"))  # at most max_tokens rows
+    salted = stored.join(F.broadcast(of_length), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_runs"))).drop("_runs")
+    runs = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
+    found = runs.collect()  # at most max_tokens rows, and one more for every RUN_ROWS pieces
     counts: dict[int, int] = {}
     begins = []
     for r in sorted(found, key=lambda r: (r["length"], r["_salt"])):
@@ -184,7 +187,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int = 1024, max_at
     slots = slot_table(best_fit(counts, capacity, rule, weights))
     starts = spark.createDataFrame(begins, "length long, _salt long, _begin long")
     places = spark.createDataFrame(slots, "length long, _from long, _to long, _bin long, _per long, _at long")
-    ranked = stored.withColumn("_salt", salt).join(F.broadcast(starts), ["length", "_salt"])
+    ranked = salted.join(F.broadcast(starts), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_begin") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1)
     p = F.broadcast(places.withColumnRenamed("length", "_length"))
     out = ranked.join(p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))

@@ -163,6 +163,30 @@ def test_packing_is_whole_gapless_and_tight(odd):
     assert sum(r["length"] for r in rows) == want and len(by) <= want // 1024 + 3
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(9)
+    signs = "abcXYZ019 \t\n\r\x0b\x85\xa0'’.,-_$<|>éßııЖ中語ก\u2028\u3000\u200b😀İſ½²"
+    texts = ["", "it's we'LL I'M", "<|endoftext|> a<|endoftext|>", "  two  spaces \n\n x", *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(3000))]
+    want = [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encoder(tokenizer_path())(texts) == want
+
+
+def test_ranks_come_from_several_runs(odd, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ROWS", 7)
+    pieces = odd.sparkSession.range(500).select((F.col("id") % 3 * 100 + 24).alias("length"))
+    rows = packing.pack(pieces, 1024).collect()
+    assert len(rows) == 500 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 500
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        assert [a for a, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 1024
+
+
 def test_best_fit_keeps_every_capacity():
     for rule in ("dot", "norm"):
         for bins, content in packing.best_fit({9: 7, 5: 11, 2: 30, 1: 4}, (16.0, 4.0, 100.0), rule):
