@@ -3,14 +3,19 @@
 Vectors are lifted to equal length (one more coordinate), so that the largest inner product is the
 smallest distance. Each of several curves rotates them onto a few random directions, shifts the grid and
 takes their place on a Hilbert curve. Spark range-partitions every curve by key; a row's rank there
-gives its block of `block` rows, and a query meets the rows of its own block and the two beside it.
+gives its block, and a query meets the rows of its own block and of those beside it.
 The best k of each window are merged over the curves and reranked by the exact inner product.
 
-Work and traffic are (curves x rows) for the orderings and (curves x queries x 3 blocks) for the
-windows, so both grow in proportion to the input. Equal vectors go through the curves once, with the
-k + 1 smallest ids that any result can hold; a vector that a third of all rows share fills no window.
+How wide the windows are is measured in the job: the true neighbours of at most SAMPLE queries are
+found among all rows, and from their places on the curves follows the recall of any width. Windows
+start at three blocks of `block` rows; blocks double up to WIDEST times that, and then more blocks on
+either side are met, until the sample's recall is `target` or more. The rule is the same at every size.
 
-Recall is set by `curves` and `block`; the README has it as measured against brute force.
+Work and traffic are (curves x rows) for the orderings, (SAMPLE x rows) for the measurement and (curves
+x queries x window) for the windows. Where neighbours lie near each other on the curves, windows stay
+as they are when a table grows; in vectors without structure they grow with it, so that the work grows
+with the square of the table. Equal vectors go through the curves once, with the k + 1 smallest ids
+that any result can hold; a vector that a third of all rows share fills no window.
 
 Defined cases: null, zero-length or all-zero vectors, those with null or non-finite components and rows
 without an id take no part; neither do vectors of another dimension than the most common one (the
@@ -20,6 +25,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +35,17 @@ from pyspark.sql import functions as F
 
 from derivia.llm.common import plain_keys, written
 
+log = logging.getLogger(__name__)
+
 CURVES = 10
 BLOCK = 4096
 DIMS = 8
 BITS = 7
+TARGET = 0.95
+#: Queries whose true neighbours are sought; a quarter of a thousand of 20 tell recall to about half a hundredth.
+SAMPLE = 256
+#: A block is at most so many times the least one, as a task holds it and its scores.
+WIDEST = 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,7 +84,50 @@ def curve_frame(curve: int, dim: int, dims: int, seed: int) -> tuple[np.ndarray,
     return axes, rng.uniform(0, 1, axes.shape[1])
 
 
-def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = CURVES, block: int = BLOCK, dims: int = DIMS, bits: int = BITS, seed: int = 7) -> DataFrame:
+def true_neighbours(reps: DataFrame, sample: list, k: int, dim: int) -> DataFrame:
+    """(q, r, score, ids): the k + 1 representatives of the largest product with each of a bounded sample (rep, v) of queries, among all rows."""
+    asked, mine = np.array([s["rep"] for s in sample]), np.array([s["v"] for s in sample], np.float64)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids, count = np.zeros((len(mine), 0)), np.zeros((len(mine), 0), np.int64), np.zeros((len(mine), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = mine @ matrix(batch.column("v"), dim).T
+            score = np.hstack([score, found])
+            ids, count = (np.hstack([kept, np.broadcast_to(batch.column(c).to_numpy(), found.shape)]) for kept, c in ((ids, "rep"), (count, "n")))
+            if score.shape[1] > k + 1:
+                top = np.argpartition(-score, k, axis=1)[:, : k + 1]
+                score, ids, count = (np.take_along_axis(x, top, 1) for x in (score, ids, count))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, score.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel()), pa.array(count.ravel())], ["q", "r", "score", "n"])
+
+    best = reps.select("rep", "v", F.size("ids").cast("long").alias("n")).mapInArrow(scan, "q long, r long, score double, n long")
+    return best.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("at") <= k + 1)
+
+
+def true_pairs(found: list, k: int) -> dict[tuple[int, int], int]:
+    """(q, r) to the number of r's ids among the k true neighbours of q; a query's own id isn't one."""
+    pairs, left = {}, {}
+    for row in sorted(found, key=lambda x: (x["q"], x["at"])):
+        taken = min(row["n"] - (row["q"] == row["r"]), left.setdefault(row["q"], k))
+        left[row["q"]] -= taken
+        if taken:
+            pairs[row["q"], row["r"]] = taken
+    return pairs
+
+
+def reaching(there: np.ndarray, mine: np.ndarray, weight: np.ndarray, block: int, target: float) -> tuple[int, int, float]:
+    """Rows of a block, blocks on either side and recall of the first windows that find `target` of the pairs; places are (pairs, curves)."""
+    wide, radius = block, 1
+    while True:
+        met = (np.abs(there // wide - mine // wide) <= radius).any(1)
+        recall = float(weight[met].sum() / weight.sum())
+        if recall >= target:
+            return wide, radius, recall
+        wide, radius = (2 * wide, 1) if wide < WIDEST * block else (wide, radius + 1)
+
+
+def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = CURVES, block: int = BLOCK, dims: int = DIMS, bits: int = BITS, seed: int = 7, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors(vec_id, embedding) that satisfies `query` (a condition on vec_id), its k nearest found."""
     base = plain_keys(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -119,8 +175,12 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     starts = counts.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("begin"))
     # a few rows for each partition; the join is on both
     at = F.sum(F.when(~F.col("is_query"), 1).otherwise(0)).over(Window.partitionBy("curve", "part").orderBy("row")) - F.when(~F.col("is_query"), 1).otherwise(0)
-    ranked = placed.withColumn("at", at).join(starts, ["curve", "part"]).withColumn("block", ((F.col("begin") + F.col("at")) / block).cast("long")).drop("part", "row", "begin", "at", "key")
-    cells = ranked.where("not is_query").union(ranked.where("is_query").select(*[c for c in ranked.columns if c != "block"], F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")))
+    located = placed.withColumn("at", at).join(starts, ["curve", "part"]).withColumn("at", F.col("begin") + F.col("at")).drop("part", "row", "begin", "key")
+    wide, radius, recall = fitted(located, reps, asked, k, curves, block, dim, target)
+    log.info("windows of %d x %d rows on %d curves, recall of the sample %.4f", 2 * radius + 1, wide, curves, recall)
+    ranked = located.withColumn("block", F.floor(F.col("at") / wide)).drop("at")
+    beside = F.sequence(F.col("block") - radius, F.col("block") + radius)
+    cells = ranked.where("not is_query").union(ranked.where("is_query").select(*[c for c in ranked.columns if c != "block"], F.explode(beside).alias("block")))
 
     def windows(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -129,7 +189,7 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
         rows, asked_rows = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         if not len(rows):
             return
-        for at in np.array_split(asked_rows, max(1, len(asked_rows) // 256)):
+        for at in np.array_split(asked_rows, max(1, len(asked_rows) * max(1, len(rows) // BLOCK) // 256)):
             if not len(at):
                 continue
             score = x[at] @ x[rows].T
@@ -144,6 +204,20 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     return ranks(best, reps, asked, k)
 
 
+def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves: int, block: int, dim: int, target: float) -> tuple[int, int, float]:
+    """The windows that reach the target on a bounded sample of the queries, from the places (curve, rep, is_query, at) on the curves."""
+    drawn = asked.select("rep").distinct().orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
+    sample = reps.join(F.broadcast(drawn), "rep").select("rep", "v").collect()
+    pairs = true_pairs(true_neighbours(reps, sample, k, dim).collect(), k) if sample else {}
+    if not pairs:
+        return block, 1, 1.0
+    ends = {(q, True) for q, _ in pairs} | {(r, False) for _, r in pairs}
+    few = located.sparkSession.createDataFrame(sorted(ends), "rep long, is_query boolean")
+    place = {(x["rep"], x["is_query"], x["curve"]): x["at"] for x in located.select("curve", "rep", "is_query", "at").join(F.broadcast(few), ["rep", "is_query"]).collect()}
+    on = lambda rep, is_query: [place[rep, is_query, c] for c in range(curves)]
+    return reaching(np.array([on(r, False) for _, r in pairs]), np.array([on(q, True) for q, _ in pairs]), np.array(list(pairs.values())), block, target)
+
+
 def ranks(best: DataFrame, reps: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Candidates (q, r: representatives) to the k nearest ids of each query, scored anew on the original vectors."""
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -113,6 +113,21 @@ def test_neighbours_with_ties_and_bad_vectors(spark):
     assert set(got) == set(range(0, 300, 20))
 
 
+def test_neighbours_widen_their_windows_to_the_target(spark):
+    # 3 blocks of 16 rows on 2 curves hold 96 of 3000 rows: windows of a fixed size lose most neighbours of vectors without structure
+    x = np.random.default_rng(1).normal(size=(3000, 32)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in hilbert.neighbours(df, F.col("vec_id") % 20 == 0, 5, curves=2, block=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (150 * 5) >= 0.95
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     rng = random.Random(3)
     clean = [(k, ". ".join("The " + sentence(rng, 9) + " of it" for _ in range(8)) + ".") for k in range(200)]
