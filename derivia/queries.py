@@ -240,6 +240,16 @@ def q_backfill_keyset(spark, sf):
     return state.jobs.select(order_key(), "status")
 
 
+def q_backfill_all(spark, sf):
+    """The chunked scan carried to its end: every order is queued."""
+    rows = table(spark, sf, "orders")
+    state, d = declared(spark, rows, "orders", ("o_orderkey",), ("o_orderpriority",), config={"backfill_chunk": 100_000})
+    while d.backfill_pending:
+        state, d, _ = capture.backfill_step(state, d, rows, NOW)
+        state = state.materialized("jobs")
+    return state.jobs.select(order_key(), "status")
+
+
 def jobs_of_events(spark, sf) -> DataFrame:
     """A job for each event: pending, claimed or dead by type, attempts and times read off the ids."""
     e = table(spark, sf, "events")
@@ -482,6 +492,7 @@ ORACLE = {
     "q_budgets": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CASE WHEN c = 'shaky' THEN 0.001::DOUBLE END AS budget_usd, round(sum({COST}), 6) AS spent, CASE WHEN c = 'shaky' THEN round(0.001::DOUBLE - sum({COST}), 6) END AS remaining, c = 'shaky' AND sum({COST}) >= 0.001 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
     "q_spent_month": "SELECT p AS period, round(CAST(coalesce(sum((user_id % 7 + 1) / 1000.0) FILTER (WHERE CASE p WHEN 'day' THEN event_id % 40 = 0 WHEN 'month' THEN event_id % 40 <= 14 ELSE true END), 0) AS DOUBLE), 6) AS spent FROM events, (SELECT unnest(['day', 'month', 'total']) AS p) GROUP BY p",
     "q_backfill_keyset": "SELECT o_orderkey, 'pending' AS status FROM orders ORDER BY o_orderkey LIMIT 2100",
+    "q_backfill_all": "SELECT o_orderkey, 'pending' AS status FROM orders",
     "q_claim_topk": f"SELECT event_id FROM ({JOBS_SQL}) WHERE status = 'pending' AND wait_s <= 0 ORDER BY wait_s, event_id LIMIT 250",
     "q_backoff": f"SELECT event_id, CASE WHEN event_id % 7 = 0 OR attempts >= 5 THEN 'dead' ELSE 'pending' END AS status, attempts, CAST(CASE WHEN event_id % 7 = 0 OR attempts >= 5 THEN wait_s ELSE floor(30 * pow(2, attempts - 1)) END AS BIGINT) AS wait_s FROM ({JOBS_SQL}) WHERE status = 'claimed'",
     "q_reclaim": f"SELECT event_id, CASE WHEN attempts >= 4 THEN 'dead' ELSE 'pending' END AS status, attempts FROM ({JOBS_SQL}) WHERE status = 'claimed' AND wait_s < -300",

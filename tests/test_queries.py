@@ -24,3 +24,16 @@ def test_queries_equal_their_sql(spark):
     for name in ("q_derive_enum", "q_held", "q_stale_after_update", "q_diff_enqueue", "q_override_release", "q_columns_view", "q_budgets", "q_backoff", "q_retry_dead", "q_decision_fanout", "q_calibration", "q_failure_audit", "q_stream_equals_batch"):
         got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
         assert rows(got) == rows(want), name
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables aren't here")
+def test_backfill_goes_on_to_the_last_order(spark):
+    from derivia import queries
+
+    # more than one full chunk
+    orders = "/root/testdata/sf0.1/orders.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}'")
+    got = queries.queries()["q_backfill_all"](spark, "/root/testdata/sf0.1").toPandas()
+    assert len(got) == spark.read.parquet(orders).count() > 100_000
+    assert rows(got) == rows(con.execute(queries.ORACLE["q_backfill_all"]).df())
