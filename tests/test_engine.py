@@ -283,3 +283,44 @@ def test_pure_helpers():
     with pytest.raises(ValueError):
         check_reply("text", {"max_length": 2}, {"value": "abc"})
     assert isinstance(HashProvider().embed("m", ["a"], {})[0], Answer)
+
+
+def streamed(spark, folder, batch, rows, **options):
+    """One more file of rows through the stream of tickets kept in folder."""
+    schema = "id long, body string, at int"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    if not batch:
+        empty = State.empty(spark)
+        catalog, _ = Catalog().add_column("ticket", "urgency", ("id",), ("body",), "enum", prompt="urgency?", model="m", schema=LEVELS)
+        store.commit(State(catalog, empty.jobs, empty.results, empty.spend, empty.cells), 0)
+    changes = spark.readStream.schema(schema).parquet(f"{folder}/in")
+    runtime.on_stream(changes, store, "ticket", ("id",), KeywordProvider(("urgente",)), f"{folder}/checkpoint", lambda: NOW, **options).awaitTermination()
+    return store
+
+
+def test_stream_keeps_the_last_update_and_all_earlier_rows(spark, tmp_path):
+    updates = [(1, "calm", k) for k in range(1, 20)] + [(1, "urgente", 20)] + [(1, "calm", 0), (2, "hello", 1)]
+    store = streamed(spark, tmp_path, 0, updates, order="at")
+    store.commit(store.load(), store.head())  # a commit by another makes no snapshot
+    store = streamed(spark, tmp_path, 1, [(3, "thanks", 1), (1, "calm", 5)], order="at")
+    rows = spark.read.parquet(f"{store.path}/rows/ticket/{store.head()}")
+    assert sorted(map(tuple, rows.collect())) == [(1, "urgente", 20), (2, "hello", 1), (3, "thanks", 1)]
+    state = store.load()
+    assert {r["id"]: r["urgency"] for r in views.with_values(state, state.catalog.by_id(1), rows).collect()} == {1: "high", 2: "low", 3: "low"}
+
+
+def test_stream_fails_on_a_snapshot_it_cannot_read(spark, tmp_path):
+    store = streamed(spark, tmp_path, 0, [(1, "a", 1)])
+    for part in (tmp_path / "store" / "rows" / "ticket" / str(store.head())).glob("part-*"):
+        part.write_bytes(b"not parquet")
+    for crc in (tmp_path / "store" / "rows" / "ticket" / str(store.head())).glob(".part-*"):
+        crc.unlink()
+    with pytest.raises(Exception):
+        streamed(spark, tmp_path, 1, [(2, "b", 1)])
+    assert store.head() == 2
+
+
+def test_stream_refuses_updates_it_cannot_order(spark, tmp_path):
+    with pytest.raises(Exception, match="order column"):
+        streamed(spark, tmp_path, 0, [(1, "a", 1), (1, "b", 2)])
