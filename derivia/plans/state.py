@@ -58,9 +58,11 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, or our own where none is set."""
+    """A folder that driver and executors share: the session's checkpoint folder. On a local master that has none we set our own; elsewhere that would be a folder of one machine, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
