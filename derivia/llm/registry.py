@@ -37,7 +37,7 @@ def op2_risk_controlled_rules(spark, sf_dir):
 def op3_soft_mixing(spark, sf_dir):
     from derivia.llm.mixing import label_domains, mixed
 
-    return mixed(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+    return mixed(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX, tokenizer=tokenizer_path())
 
 
 def op4_perspective_rotation(spark, sf_dir):
