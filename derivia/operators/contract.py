@@ -228,8 +228,10 @@ def disabled(state: State, table: str, column: str) -> State:
     return replace(state, catalog=state.catalog.set_enabled(table, column, False))
 
 
-def dropped(state: State, table: str, column: str) -> State:
-    """Gone from the catalog's live columns; live jobs go, history, spend and cells stay."""
+def dropped(state: State, table: str, column: str, drop_target: bool = False) -> State:
+    """Gone from the catalog's live columns; waiting and claimed jobs go, so that an answer still on its way is cancelled. History and spend stay, and the cells unless the target is dropped, too."""
     d = state.catalog.find(table, column)
-    state = state.put(jobs=state.jobs.where(~((F.col("def_id") == d.def_id) & (F.col("status") == "pending"))))
+    state = state.put(jobs=state.jobs.where(~((F.col("def_id") == d.def_id) & is_live())))
+    if drop_target:
+        state = state.put(cells=state.cells.where(F.col("def_id") != d.def_id))
     return replace(state, catalog=state.catalog.drop_column(table, column))

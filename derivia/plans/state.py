@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class State:
-    """jobs: live and finished work; results: every value ever, with what is current; spend: cost by UTC day; cells: what the columns hold."""
+    """jobs: live and finished work; results: every value ever, with what is current; spend: cost by UTC day; cells: what the columns hold; snapshots: where the last rows of streamed tables are."""
 
     catalog: Catalog
     jobs: DataFrame
@@ -32,6 +33,7 @@ class State:
     spend: DataFrame
     cells: DataFrame
     seq: int = 0
+    snapshots: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def empty(spark: SparkSession) -> State:
@@ -74,38 +76,67 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def published(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file `path` with this content, whole or not at all; False if there is one already.
+
+    The content is written under another name and then renamed, which fails where the name is taken: one
+    step of the file system on HDFS. A writer that dies leaves a file that nobody looks at.
+    """
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    target = files.makeQualified(target)
+    draft = hadoop.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    none = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration()).rename(draft, target, none)
+    except Exception as e:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder without drafts; none where it doesn't exist."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return [x for x in names if not x.startswith(("_", "."))]
+
+
 class Store:
-    """Committed states under a path. A commit writes new folders and then creates manifest N + 1; whoever creates it first wins."""
+    """Committed states under a path. A commit writes new folders and then publishes manifest N + 1, which names them; whoever does so first wins, and a writer that dies before has changed nothing."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._at = lambda p: hadoop.Path(f"{self.path}/{p}")
-        self._fs = self._at("manifests").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def head(self) -> int:
-        if not self._fs.exists(self._at("manifests")):
-            return 0
-        return max((int(f.getPath().getName()) for f in self._fs.listStatus(self._at("manifests"))), default=0)
+        return max((int(x) for x in listed(self.spark, f"{self.path}/manifests") if x.isdigit()), default=0)
+
+    def manifest(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{version}", wholetext=True).first()["value"])
 
     def commit(self, state: State, parent: int) -> int:
-        """Store the state as the successor of `parent`; Conflict if that has one already."""
+        """Store the state as the successor of `parent`; Conflict if that has one already. Snapshots that the parent names stay named."""
         folder = uuid.uuid4().hex
         for name in TABLES:
             getattr(state, name).write.parquet(f"{self.path}/{name}/{folder}")
-        try:
-            out = self._fs.create(self._at(f"manifests/{parent + 1}"), False)
-        except Exception as e:
-            if "exists" in str(e).lower():
-                raise Conflict(f"manifest {parent + 1} exists") from None
-            raise
-        out.write(bytearray(f"{folder}\n{state.seq}\n{state.catalog.to_json()}".encode()))
-        out.close()
+        kept = (self.manifest(parent)["snapshots"] if parent else {}) | state.snapshots
+        if not published(self.spark, f"{self.path}/manifests/{parent + 1}", json.dumps({"folder": folder, "seq": state.seq, "catalog": state.catalog.to_json(), "snapshots": kept})):
+            raise Conflict(f"manifest {parent + 1} exists")
         return parent + 1
 
     def load(self, version: int | None = None) -> State:
         version = version or self.head()
         if not version:
             return State.empty(self.spark)
-        lines = [r["value"] for r in self.spark.read.text(f"{self.path}/manifests/{version}").collect()]
-        return State(Catalog.from_json(lines[2]), *(self.spark.read.schema(s).parquet(f"{self.path}/{n}/{lines[0]}") for n, s in TABLES.items()), seq=int(lines[1]))
+        m = self.manifest(version)
+        tables = (self.spark.read.schema(s).parquet(f"{self.path}/{n}/{m['folder']}") for n, s in TABLES.items())
+        return State(Catalog.from_json(m["catalog"]), *tables, seq=m["seq"], snapshots=m["snapshots"])
