@@ -3,12 +3,14 @@
 A batch of changes becomes signed rows (source, lang, tokenizer, docs, tokens): an insert adds, a delete
 takes away, a revision takes the old count away and adds the new one. Spark sums them by key before
 anything is stored, so a commit has one row for each key that changed. A commit is a data folder and
-then a marker named after the batch, created only if it doesn't exist: whoever creates it has committed,
-a batch that comes again changes nothing, and data without a marker is never read. Totals are the sums
-over committed batches; `compact` folds them into one.
-
-Defined cases: null sources and languages are keys of their own; null counts add no tokens; keys whose
-totals are all zero are left out; an empty batch commits and adds nothing; extra columns are ignored.
+then a marker named after the batch, which appears whole under its name or not at all: whoever makes it
+has committed, a batch that comes again changes nothing, and data without a marker is never read. Totals
+are the sums over committed batches; `compact` folds them into one by a marker of the same kind.
+
+Defined cases: null sources and languages are keys of their own; null counts add no tokens; repeated rows
+of a batch are changes of their own; a null or unknown op fails its batch, and nothing of it counts; keys
+whose totals are all zero are left out; an empty batch commits and adds nothing; an empty table gives
+empty totals; a null text has no token, a very long one is counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from derivia.llm.common import plain_keys, written
+from derivia.plans.state import listed, published
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -29,81 +32,80 @@ LETTERED = "[^\\x20\\x09-\\x0D]*[0-9A-Za-z\\x{80}-\\x{10FFFF}][^\\x20\\x09-\\x0D
 
 
 def signed(changes: DataFrame) -> DataFrame:
-    """changes(op, source, lang, tokenizer, tokens, old_tokens) to summed signed rows; op is insert, delete or revise."""
+    """changes(op, source, lang, tokenizer, tokens, old_tokens) to summed signed rows, and how many have no known op (insert, delete or revise)."""
     c = plain_keys(changes, "op", *KEYS, "tokens", "old_tokens")
-    known = F.col("op").isin("insert", "delete", "revise")
-    docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).cast("long")
+    op = F.coalesce(F.col("op").cast("string"), F.lit(""))
+    docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0).cast("long")
     new, old = (F.coalesce(F.col(x).cast("long"), F.lit(0).cast("long")) for x in ("tokens", "old_tokens"))
-    tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -new).otherwise(new - old)
-    return c.where(known).select(*KEYS, docs.alias("docs"), tokens.alias("tokens")).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    tokens = F.when(op == "insert", new).when(op == "delete", -new).when(op == "revise", new - old).otherwise(0)
+    rows = c.select(*[F.col(k).cast("string").alias(k) for k in KEYS], docs.alias("docs"), tokens.cast("long").alias("tokens"), (~op.isin("insert", "delete", "revise")).cast("long").alias("unknown"))
+    return rows.groupBy(*KEYS).agg(*[F.sum(x).alias(x) for x in ("docs", "tokens", "unknown")])
 
 
 class Rollup:
-    """Totals by source, language and tokenizer version in a folder that all executors see."""
+    """Totals by source, language and tokenizer version in a folder that all executors see.
+
+    batches/<name> says in which data folder a batch's sums are. compactions/<n> names a data folder that
+    has the sums of many batches, and covered/<the same name> lists them; the newest counts. Both kinds
+    of file appear whole or not at all, and nothing that they name is ever changed.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
-        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"batches/{batch}"))
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/{batch}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply the batch once; False if it had been committed before."""
-        if not re.fullmatch(r"[\w.-]+", batch):
+        """Apply the batch once; False if it had been committed before. ValueError, and nothing applied, where a change has no known op."""
+        if not re.fullmatch(r"\w[\w.-]*", batch, re.ASCII) or batch.startswith("_"):
             raise ValueError(f"not a batch name: {batch!r}")
         if self.committed(batch):
             return False
         data = uuid.uuid4().hex
         signed(changes).write.parquet(f"{self.path}/data/{data}")
-        return self._mark(batch, data)
-
-    def _mark(self, batch: str, data: str) -> bool:
-        try:
-            out = self._fs.create(self._at(f"batches/{batch}"), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
-        out.write(bytearray(data.encode()))
-        out.close()
-        return True
-
-    def _folders(self) -> list[str]:
-        if not self._fs.exists(self._at("batches")):
-            return []
-        rows = self.spark.read.text(f"{self.path}/batches").distinct().collect()  # one line for each batch since the last compaction
-        return [f"{self.path}/data/{r['value']}" for r in rows]
-
-    def totals(self) -> DataFrame:
-        folders = self._folders()
+        unknown = self.spark.read.parquet(f"{self.path}/data/{data}").agg(F.sum("unknown")).first()[0]
+        if unknown:
+            raise ValueError(f"{unknown} changes have an op other than insert, delete or revise")
+        return published(self.spark, f"{self.path}/batches/{batch}", data)
+
+    def _compacted(self) -> tuple[int, str | None]:
+        """Number and data folder of the newest compaction."""
+        last = max((int(x) for x in listed(self.spark, f"{self.path}/compactions")), default=0)
+        return last, self.spark.read.text(f"{self.path}/compactions/{last}").first()["value"] if last else None
+
+    def _batches(self, compacted: str | None) -> DataFrame:
+        """(batch, data) of the batches that the compaction doesn't have."""
+        if not listed(self.spark, f"{self.path}/batches"):
+            return self.spark.createDataFrame([], "batch string, data string")
+        rows = self.spark.read.text(f"{self.path}/batches").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("batch"), F.col("value").alias("data"))
+        return rows.join(self.spark.read.parquet(f"{self.path}/covered/{compacted}"), "batch", "left_anti") if compacted else rows
+
+    def _sums(self, compacted: str | None, batches: DataFrame) -> DataFrame:
+        folders = [compacted] * bool(compacted) + [r["data"] for r in batches.select("data").collect()]  # one for each batch since the last compaction
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        stored = self.spark.read.schema(SCHEMA).parquet(*folders)
+        stored = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/data/{x}" for x in folders])
         return stored.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold what is committed into one data folder; the batches stay known, so that they can't be applied again.
+    def totals(self) -> DataFrame:
+        _, compacted = self._compacted()
+        return self._sums(compacted, self._batches(compacted))
+
+    def compact(self) -> bool:
+        """Fold what is committed into one data folder: one more file, after which totals read that. False if another compaction came first.
 
-        One writer at a time: markers are rewritten after the folded data is complete. The first marker
-        gets all of it, the others an empty folder, by renames; totals must not be read meanwhile.
+        Batches stay known, and those committed meanwhile are added to the folded ones. A run that dies
+        leaves the totals as they are.
         """
-        folders = self._folders()
-        if len(folders) < 2:
-            return
-        whole, empty = uuid.uuid4().hex, uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.path}/data/{whole}")
-        self.spark.createDataFrame([], SCHEMA).write.parquet(f"{self.path}/data/{empty}")
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("batches")))
-        fresh = self._at(f"batches-{whole}")
-        for k, name in enumerate(names):
-            out = self._fs.create(self._at(f"batches-{whole}/{name}"), False)
-            out.write(bytearray((whole if k == 0 else empty).encode()))
-            out.close()
-        self._fs.rename(self._at("batches"), self._at(f"old-{whole}"))
-        self._fs.rename(fresh, self._at("batches"))
+        last, compacted = self._compacted()
+        fresh, data = self._batches(compacted), uuid.uuid4().hex
+        rows = self.spark.createDataFrame(fresh.collect(), fresh.schema)  # fixed now: what comes later isn't folded
+        self._sums(compacted, rows).write.parquet(f"{self.path}/data/{data}")
+        known = rows.select("batch")
+        (known.union(self.spark.read.parquet(f"{self.path}/covered/{compacted}")) if compacted else known).write.parquet(f"{self.path}/covered/{data}")
+        return published(self.spark, f"{self.path}/compactions/{last + 1}", data)
 
 
 def counted(docs: DataFrame) -> DataFrame:
