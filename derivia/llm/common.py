@@ -57,6 +57,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fits_broadcast(df: DataFrame, limit_rows: int) -> bool:
     """Whether df has at most limit_rows rows; reads no more than it must to tell."""
     return df.limit(limit_rows + 1).count() <= limit_rows

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from derivia.llm.common import Words, plain_keys, slices, text_buffer, written
+from derivia.llm.common import Words, plain_keys, slices, text_buffer, unused, written
 from derivia.llm.linear import BITS, features, fit_on, probabilities
 from derivia.llm.packing import encoder
 
@@ -177,9 +177,7 @@ def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget:
     model = domain_model(base, labels, domains)
     members = written(members_of(base, model, len(domains), tokenizer), "members")
     residuals = residuals_of(members, list(targets.values()), budget, STEPS)
-    name = "_rate"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "_rate")
 
     def apply(batches):
         for batch in slices(batches):

@@ -7,18 +7,22 @@ model on hashed word and shape features is fitted to the posteriors of a bounded
 from better and worse patterns alike and corrected for their real shares, and scores all documents.
 
 Defined cases: null, empty and white-space-only texts have score 0 and are rejected; equal texts get
-equal scores; an empty table gives an empty result; where no pattern looks bad, or none good, the
-posterior itself is the score; extra columns are ignored.
+equal scores; a score at the threshold is kept; of the rows of an id the sample takes one; a very long
+text is measured whole; an empty table gives an empty result; where no pattern looks bad, or none good,
+the posterior itself is the score; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from derivia.llm.common import LOWER, U64, Words, mix, plain_keys, slices, written
+from derivia.llm.common import LOWER, U64, Words, mix, plain_keys, slices, unused, written
 from derivia.llm.linear import BITS, features, fit_on, probabilities
 
 LABELLERS = ("signs", "edges", "echo", "windows", "capitals", "bare", "short", "stops")
@@ -125,10 +129,9 @@ def posteriors(counts: dict[int, int], k: int = len(LABELLERS), rounds: int = 20
     return dict(zip(pats.tolist(), p.tolist(), strict=True)), rates
 
 
-def scored(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, score (0 to 1) and kept for each row of docs(doc_id, text)."""
-    names = list(dict.fromkeys((*keep, "doc_id", "text")))
-    docs = plain_keys(docs, *names).withColumn("text", F.col("text").cast("string"))
+def scorer(docs: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """The function texts -> scores (0 to 1) that docs(doc_id, text) teach; it travels to the tasks with its model."""
+    docs = plain_keys(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
 
     def vote(batches):
         for batch in slices(batches):
@@ -138,44 +141,55 @@ def scored(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("do
     voted = written(docs.select("doc_id", "text").mapInArrow(vote, f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int, has_words boolean"), "votes")
     counts = {r["pattern"]: r["count"] for r in voted.where("has_words").groupBy("pattern").count().collect()}  # at most 3 ** labellers
     table, _ = posteriors(counts) if counts else ({}, None)
+    known = docs.sparkSession.createDataFrame(sorted(table.items()), "pattern int, good double")  # as many rows
+    rated = voted.where("has_words and doc_id is not null").join(F.broadcast(known), "pattern")
 
-    # a bounded sample from both sides, by the hash of the id
-    sides = []
-    for good in (True, False):
-        pats = [p for p, x in table.items() if (x > 0.5) == good]
-        if pats:
-            sides.append(voted.where(F.col("pattern").isin(pats) & F.col("doc_id").isNotNull()).select("doc_id", "pattern", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SIDE_ROWS))
+    # a bounded sample from both sides, by the hash of the id; of an id's rows one counts
     model = None
-    if len(sides) == 2:
+    if any(x > 0.5 for x in table.values()) and any(x <= 0.5 for x in table.values()):
+        rated = rated.groupBy("doc_id").agg(F.min("good").alias("good")).withColumn("h", F.xxhash64("doc_id"))
+        side = lambda condition: rated.where(condition).orderBy("h", "doc_id").limit(SIDE_ROWS)
+        ids = written(side("good > 0.5").union(side("good <= 0.5")).select("doc_id", "good"), "sample")
         # the sample's ids are bounded by SIDE_ROWS, so this join needs no shuffle of the texts
-        ids = written(sides[0].union(sides[1]).dropDuplicates(["doc_id"]), "sample")
-        target = F.create_map(*[F.lit(x) for p, q in table.items() for x in (p, q)])[F.col("pattern")]
-        sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.array(target, 1 - target).alias("target"))
-        model = fit_on(sample, 2)
+        sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+        model = fit_on(sample.select("text", F.array("good", 1 - F.col("good")).alias("target")), 2)
+        there = ids.agg(F.avg("good")).first()[0]
     if model is not None:
         # the sample has both sides in other shares than the corpus
         share = sum(table[p] * n for p, n in counts.items()) / sum(counts.values())
-        there = ids.agg(F.avg(target)).first()[0]
         model = model[0], model[1] + np.log([share / there, (1 - share) / (1 - there)])
 
-    def score(batches):
+    def score(column: pa.Array) -> np.ndarray:
+        if model is None:
+            m = measures(column)
+            p, words = np.array([table.get(int(x), 0.0) for x in pattern(votes(m))], float), m["words"]
+        else:
+            row, bucket, value = features(column, BITS)
+            p, words = probabilities(row, bucket, value, len(column), *model)[:, 0], np.bincount(row, minlength=len(column))
+        return np.where(words > 0, p, 0.0).astype(float)
+
+    return score
+
+
+def scored(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score (0 to 1) and kept for each row of docs(doc_id, text)."""
+    score = scorer(docs)
+
+    def run(batches):
         for batch in slices(batches):
-            column = batch.column("text")
-            if model is None:
-                m = measures(column)
-                p = np.array([table.get(int(x), 0.0) for x in pattern(votes(m))])
-                words = m["words"]
-            else:
-                row, bucket, value = features(column, BITS)
-                p = probabilities(row, bucket, value, batch.num_rows, *model)[:, 0]
-                words = np.bincount(row, minlength=batch.num_rows)
-            p = np.where(words > 0, p, 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p.astype(float)), pa.array(p >= threshold)], [*keep, "score", "kept"])
-
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, kept boolean")
+            p = score(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
+
+    docs = plain_keys(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, kept boolean")
 
 
 def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that the classifier keeps, with their columns."""
-    return scored(docs, threshold, tuple(docs.columns)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score, name = scorer(docs), unused(docs, "_kept")
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column("text")) >= threshold)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BooleanType())])).where(F.col(name)).drop(name)
