@@ -10,9 +10,13 @@ holds for the whole sequence; Bonferroni covers strata and rules. With probabili
 most epsilon of the good documents of every stratum. A stratum with too few labels gets no cutoff, and the
 base rules alone decide there.
 
+Windows are equal when the 64-bit hashes of their words' hashes are.
+
 Defined cases: a null text has no words, and fewer than 20 words fail the base rules; a null stratum
 is 'und'; of several labels of a document the worst counts; unlabelled documents aren't used in tests;
-repeated rows are judged each; an empty table gives an empty result; extra columns are ignored.
+repeated rows are judged each, and are one trial of the test, with the largest share of each rule; a share
+equal to a cutoff is kept; a very long text is one row like any other, counted whole; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,7 +71,11 @@ def log_factorial(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, rate) where k is below the mean (1 elsewhere): terms from k downwards, the far ones as a geometric series."""
+    """P(X <= k) for X ~ Binomial(n, rate) where k is below the mean (1 elsewhere): terms from k downwards.
+
+    After 4096 terms the rest is bounded from above by a geometric series, as terms fall off ever faster;
+    so the value is exact up to that many rejections, and never too small.
+    """
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate)))
     ratio = lambda j: (k - j) * (1 - rate) / ((n - k + j + 1) * rate)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
@@ -82,13 +90,13 @@ def shares() -> list[Column]:
 
 
 def cutoffs(judged: DataFrame, epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """(stratum, one column for each rule: its strictest certified cutoff or null) from rows (stratum, the shares) of labelled good documents."""
+    """(stratum, one column for each rule: its strictest certified cutoff or null) from rows (stratum, the shares), one for each labelled good document."""
     counts = judged.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(r) > g).cast("long")).alias(f"{r}_{i}") for r in RULES for i, g in enumerate(GRID)])
+    counts = written(counts, "counts")
+    level = alpha / (max(1, counts.count()) * len(RULES))
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(g).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, g in enumerate(GRID)])
-    strata = counts.select("stratum", "n", tests.alias("tests"), F.lit(1).alias("one"))
-    size = counts.agg(F.count(F.lit(1)).alias("strata"))
-    flat = strata.crossJoin(F.broadcast(size)).select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
-    passed = flat.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), epsilon / len(RULES)) <= alpha / (F.col("strata") * len(RULES)))
+    flat = counts.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
+    passed = flat.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), epsilon / len(RULES)) <= level)
     # the sequence ends at the first failure
     first = passed.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("i"))), F.lit(len(GRID))).alias("fail"))
     grid = F.array(*[F.lit(g) for g in GRID])
@@ -124,7 +132,9 @@ def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
 def certified(stats: DataFrame, labels: DataFrame, epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
     """The cutoffs that the labelled good documents in stats(doc_id, stratum, the counts) certify."""
     tested = stats.where(~base_failed()).select("doc_id", "stratum", *shares()).join(good_documents(labels), "doc_id", "left_semi")
-    return written(cutoffs(tested, epsilon, alpha), "cutoffs")
+    # a document is one trial, however many rows it has: the largest of its shares count
+    once = tested.groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *[F.max(r).alias(r) for r in RULES])
+    return written(cutoffs(once, epsilon, alpha), "cutoffs")
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", epsilon: float = 0.02, alpha: float = 0.05) -> DataFrame:
