@@ -7,8 +7,9 @@ change of language, and runs of one language are spans. A text's language is the
 
 Defined cases: null texts and texts without a letter are 'und' with score 0; ties go to the language first
 in alphabetical order; words in a script that no language uses have no say; without any learnt
-language all is 'und'; equal texts get equal results; an empty table gives an empty result; extra
-columns are ignored. Languages are at most MOST_LANGUAGES (ValueError beyond).
+language all is 'und'; equal texts get equal results, and repeated rows count as often in learning; a very
+long text is labelled whole; an empty table gives an empty result; extra columns are ignored. Languages
+are at most MOST_LANGUAGES (ValueError beyond), as every task holds their tables.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def labelled(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
 
     def predict(batches):
         table, allowed = shared.value
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=(16 << 20) // max(4, len(names))):  # scores of a slice stay near 64 MB
             column, n = batch.column("text"), batch.num_rows
             runs = Runs(column)
             letters = has_letter(column, runs)

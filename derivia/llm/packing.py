@@ -7,9 +7,10 @@ bounded histogram (open bins with the same residual are one class), and the piec
 the slots of the bins by their rank within their length. No piece passes through the driver and no
 task holds a group: ranks come from salted runs of about RUN_ROWS pieces, as many as a length needs.
 
-Defined cases: a null text is an empty one (it holds the end token alone); repeated rows are pieces of
-their own; an empty table gives an empty result; extra columns are ignored; a piece that breaks a
-capacity on its own can't be packed and raises ValueError.
+Defined cases: a null text is an empty one (it holds the end token alone); a null doc_id stays null;
+repeated rows are pieces of their own; a very long text is encoded whole and cut; ties of bins go to the
+one opened first; an empty table gives an empty result; extra columns of documents are ignored, those of
+pieces stay; a piece that breaks a capacity on its own can't be packed and raises ValueError.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from derivia.llm.common import plain_keys, slices, written
 END_ID = 2
 #: Pieces of one length that one run should get.
 RUN_ROWS = 200_000
+#: Runs up to which the table of their first ranks is sent to all tasks (that of 10^11 pieces).
+FEW_RUNS = 500_000
 #: Characters on which both tokenizer libraries split alike; other texts go to the slower one.
 PLAIN = re.compile(r"[\x00-\x7f\xa1-ɏ‐-‧‰-⁞€]*")
 
@@ -173,26 +176,27 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_docs: int = 1024, max_at
     every RUN_ROWS pieces.
     """
     spark = pieces.sparkSession
-    stored = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    whole = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("_piece")
+    stored = written(pieces.select(whole, F.col("length").cast("long").alias("_length"), F.monotonically_increasing_id().alias("_row")), "pieces")
     capacity = (float(max_tokens), float(max_docs), float(max_attention if max_attention is not None else max_tokens * max_tokens))
-    of_length = stored.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).alias("_runs"))  # at most max_tokens rows
-    salted = stored.join(F.broadcast(of_length), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_runs"))).drop("_runs")
-    runs = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
+    of_length = stored.groupBy("_length").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).alias("_runs"))  # at most max_tokens rows
+    salted = stored.join(F.broadcast(of_length), "_length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_runs"))).drop("_runs")
+    runs = salted.groupBy("_length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     found = runs.collect()  # at most max_tokens rows, and one more for every RUN_ROWS pieces
     counts: dict[int, int] = {}
     begins = []
-    for r in sorted(found, key=lambda r: (r["length"], r["_salt"])):
-        begins.append((r["length"], r["_salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    for r in sorted(found, key=lambda r: (r["_length"], r["_salt"])):
+        begins.append((r["_length"], r["_salt"], counts.get(r["_length"], 0)))
+        counts[r["_length"]] = counts.get(r["_length"], 0) + r["n"]
     slots = slot_table(best_fit(counts, capacity, rule, weights))
-    starts = spark.createDataFrame(begins, "length long, _salt long, _begin long")
+    starts = spark.createDataFrame(begins, "_length long, _salt long, _begin long")
     places = spark.createDataFrame(slots, "length long, _from long, _to long, _bin long, _per long, _at long")
-    ranked = salted.join(F.broadcast(starts), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_begin") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1)
-    p = F.broadcast(places.withColumnRenamed("length", "_length"))
-    out = ranked.join(p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    ranked = salted.join(F.broadcast(starts) if len(begins) <= FEW_RUNS else starts, ["_length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_begin") + F.row_number().over(Window.partitionBy("_length", "_salt").orderBy("_row")) - 1)
+    out = ranked.join(F.broadcast(places), (F.col("_length") == F.col("length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     within = F.col("_rank") - F.col("_from")
-    return out.select(*pieces.columns, (F.col("_bin") + F.floor(within / F.col("_per"))).cast("long").alias("sequence_id"), (F.col("_at") + F.pmod(within, F.col("_per")) * F.col("length")).cast("long").alias("offset"))
+    bin_, at = (F.col("_bin") + F.floor(within / F.col("_per"))).cast("long"), (F.col("_at") + F.pmod(within, F.col("_per")) * F.col("_length")).cast("long")
+    return out.select("_piece.*", bin_.alias("sequence_id"), at.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, **limits) -> DataFrame:
