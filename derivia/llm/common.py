@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from derivia.plans.state import work_folder
 
 U64 = np.uint64
-#: Text bytes that one numpy step handles, so that its arrays stay near 100 MB.
-SLICE_BYTES = 1 << 20
+#: Text bytes that one numpy step handles, so that its arrays stay near 50 MB.
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch of texts, where the session hasn't set a number of its own.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python tasks in batches of BATCH_ROWS rows, if the session has Spark's default number (10,000 rows of long texts take a good part of an executor)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from derivia.llm.common import U64, Scratch, Words, fits_broadcast, mix, plain_keys, shingle_hashes, slices, written
+from derivia.llm.common import U64, Scratch, Words, fits_broadcast, mix, plain_keys, shingle_hashes, slices, small_batches, written
 from derivia.llm.components import connected
 from derivia.llm.slabs import gathered, slab_rows
 
@@ -58,7 +58,7 @@ from derivia.llm.slabs import gathered, slab_rows
 BUCKET = 1_000_000
 FLUSH = 1_200_000
 #: Text bytes hashed at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Entries beyond the expected noise of a sketch cell that make its shingles long.
 LONG = 64
 #: Entries of a long list that one task compares with one another, or with as many others.
@@ -483,6 +483,7 @@ def met_on_lists(entries: DataFrame) -> DataFrame:
 
 def node_groups(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, n, node) of docs(doc_id, text), and (node, root) of the nodes that link; both written."""
+    small_batches(docs.sparkSession)
     work = Scratch()
     bits = max(16, min(24, (16 * docs.count()).bit_length()))
     scanned = written(scan(docs, words, bits), "scan")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from derivia.llm.common import LOWER, plain_keys, slices, text_buffer
+from derivia.llm.common import LOWER, plain_keys, slices, small_batches, text_buffer
 from derivia.llm.slabs import gathered, slab_rows
 
 GRAMS = 1 << 16
@@ -94,6 +94,7 @@ def has_letter(column: pa.Array, runs: Runs) -> np.ndarray:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log scores (GRAMS, languages), allowed (scripts, languages)) from all rows with a language."""
+    small_batches(docs.sparkSession)
     docs = plain_keys(docs, text, lang).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
     names = sorted(r["lang"] for r in docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:

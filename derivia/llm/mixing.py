@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from derivia.llm.common import Words, plain_keys, slices, text_buffer, unused, written
+from derivia.llm.common import Words, plain_keys, slices, small_batches, text_buffer, unused, written
 from derivia.llm.linear import BITS, features, fit_on, probabilities
 from derivia.llm.packing import encoder
 
@@ -54,6 +54,7 @@ def domain_model(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tupl
 
     Of several rows of a labelled doc_id the one with the smallest text counts, so that the rows are bounded, too.
     """
+    small_batches(docs.sparkSession)
     known = plain_keys(labels, "doc_id", "domain").where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = written(known.where(F.col("domain").isin(domains)).withColumn("h", F.xxhash64("doc_id")), "labels")
     share = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from derivia.llm.common import plain_keys, slices, written
+from derivia.llm.common import plain_keys, slices, small_batches, written
 
 END_ID = 2
 #: Pieces of one length that one run should get.
@@ -69,6 +69,7 @@ def encoder(path: str):
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents of over max_tokens are cut, and only their first piece is shorter."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from derivia.llm.common import LOWER, U64, Words, mix, plain_keys, slices, unused, written
+from derivia.llm.common import LOWER, U64, Words, mix, plain_keys, slices, small_batches, unused, written
 from derivia.llm.linear import BITS, features, fit_on, probabilities
 
 LABELLERS = ("signs", "edges", "echo", "windows", "capitals", "bare", "short", "stops")
@@ -131,6 +131,7 @@ def posteriors(counts: dict[int, int], k: int = len(LABELLERS), rounds: int = 20
 
 def scorer(docs: DataFrame) -> Callable[[pa.Array], np.ndarray]:
     """The function texts -> scores (0 to 1) that docs(doc_id, text) teach; it travels to the tasks with its model."""
+    small_batches(docs.sparkSession)
     docs = plain_keys(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
 
     def vote(batches):
