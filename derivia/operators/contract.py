@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import row_key, source_hash, source_text, value_error
@@ -14,6 +14,8 @@ from derivia.operators.capture import KEY, enqueued, is_live, keyed
 from derivia.plans.catalog import Definition
 from derivia.plans.state import State, materialized
 
+#: What tells the newest of a row's dead jobs.
+NEWEST = ("seq", "updated_at", "attempts", "last_error")
 CLAIMED = "def_id long, row_key string, version int, source_hash string, text string, attempts int"
 COMPUTED = "def_id long, row_key string, source_hash string, value string, confidence float, model string, prompt_tokens double, completion_tokens double, cost double, latency_ms int, details string, error string, retryable boolean, rate_limited boolean"
 
@@ -185,11 +187,14 @@ def retried_dead(state: State, d: Definition, now, keys: DataFrame | None = None
     dead = state.jobs.where(mine)
     if keys is not None:
         dead = dead.join(keys.select("row_key"), "row_key", "left_semi")
-    newest = dead.groupBy(*KEY).agg(F.max("seq").alias("newest"))
+    newest = dead.groupBy(*KEY).agg(F.max(F.struct(*NEWEST)).alias("newest"))
     live = state.jobs.where(is_live() & (F.col("def_id") == d.def_id)).select(*KEY, F.lit(True).alias("_live"))
     j = state.jobs.join(newest, KEY, "left").join(live, KEY, "left")
     hit = mine & F.col("newest").isNotNull()
-    j = j.where(~hit | (F.col("_live").isNull() & (F.col("seq") == F.col("newest"))))
+    j = j.where(~hit | (F.col("_live").isNull() & F.struct(*NEWEST).eqNullSafe(F.col("newest"))))
+    # of jobs that are equal in all of that one becomes live
+    at = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq"))
+    j = j.where(~hit).unionByName(j.where(hit).withColumn("_at", at).where("_at = 1").drop("_at"))
     return state.put(jobs=j.withColumns({"attempts": F.when(hit, 0).otherwise(F.col("attempts")), "next_attempt_at": F.when(hit, F.lit(now)).otherwise(F.col("next_attempt_at")), "status": F.when(hit, "pending").otherwise(F.col("status"))}))
 
 

@@ -217,6 +217,12 @@ def q_budgets(spark, sf):
     return b.select("def_id", "budget_usd", F.round("spent", 6).alias("spent"), F.round("remaining", 6).alias("remaining"), "exhausted")
 
 
+def q_budgets_exact(spark, sf):
+    """What is spent in whole decimals, before any rounding."""
+    use = contract.budget_use(three_columns(spark, sf), NOW).where("not deleted")
+    return use.select("def_id", F.col("spent").cast("decimal(38,12)").alias("spent"), F.coalesce(F.col("spent") >= F.col("budget_usd").cast("decimal(38,12)"), F.lit(False)).alias("exhausted"))
+
+
 def spend_of_events(spark, sf):
     """A cost of (user_id mod 7 + 1) / 1000 USD for each event, on days before NOW."""
     e = table(spark, sf, "events")
@@ -332,6 +338,33 @@ def q_decision_fanout(spark, sf):
     return calls.select(doc_key(), F.col("call").cast("long").alias("call"), F.size("jobs").cast("long").alias("questions"))
 
 
+def q_lanes(spark, sf):
+    """Three backends at the same time over one table: what each lane has written."""
+    rows = documents(spark, sf)
+    state, d = declared(spark, rows, "documents", ("doc_id",), ("text",))
+    state, _ = capture.backfilled(state, d, rows, NOW)
+    state, d = declared(spark, rows, "documents", ("doc_id",), ("text",), "vector", {"dimensions": 3}, state, "place", backend="embedding", prompt=None)
+    state, _ = capture.backfilled(state, d, rows, NOW)
+    state, d = declared(spark, rows, "documents", ("doc_id",), ("text",), "boolean", {}, state, "flag", backend="decision", prompt="Is it?")
+    state, _ = capture.backfilled(state, d, rows, NOW)
+    state, done = runtime.lanes(state.materialized("jobs"), {"documents": rows}, LengthEmbedder(), NOW)
+    lane = spark.createDataFrame([(k, v.get("written", 0)) for k, v in done.items()], "backend string, written long")
+    cells = state.cells.groupBy("def_id").agg(F.count(F.lit(1)).alias("cells")).join(state.defs().select("def_id", "backend"), "def_id")
+    return lane.join(cells, "backend").select("backend", "written", "cells")
+
+
+def q_drop_column(spark, sf):
+    """A column dropped while its jobs are claimed: late answers are cancelled, and nothing of it is live or stored."""
+    rows = documents(spark, sf)
+    state, d = declared(spark, rows, "documents", ("doc_id",), ("text",))
+    state, _ = capture.backfilled(state, d, rows, NOW)
+    state, claimed = contract.claim(state.materialized("jobs"), {"documents": rows}, "w", NOW, None)
+    answers = compute.computed(state, claimed, HashProvider())
+    state, outcomes = contract.complete(contract.dropped(state, "documents", "derived", drop_target=True), answers, NOW)
+    left = state.jobs.where(capture.is_live()).count() + state.cells.count()
+    return outcomes.select(doc_key(), "outcome", F.lit(left).alias("left_over"))
+
+
 def q_questions_per_call(spark, sf):
     state, claimed = decision_state(spark, sf, 3)
     state, _ = contract.complete(state, compute.computed(state, claimed, HashProvider()), NOW)
@@ -490,6 +523,7 @@ ORACLE = {
     "q_dead_jobs": f"SELECT 'shaky' AS column_name, doc_id, 1 AS attempts, 'server error' AS last_error FROM documents WHERE {byte(h('Which?'), 3)} < 8",
     "q_cost_by_column": f"SELECT c AS column_name, 1 AS version, 'hash-1' AS model, count(*) AS results, CAST(sum(length(text) // 4 + 10) AS BIGINT) AS prompt_tokens, 8 * count(*) AS completion_tokens, round(sum({COST}), 6) AS cost_usd, CAST(round(avg(20 + {byte('h', 2)})) AS BIGINT) AS avg_latency_ms FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
     "q_budgets": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CASE WHEN c = 'shaky' THEN 0.001::DOUBLE END AS budget_usd, round(sum({COST}), 6) AS spent, CASE WHEN c = 'shaky' THEN round(0.001::DOUBLE - sum({COST}), 6) END AS remaining, c = 'shaky' AND sum({COST}) >= 0.001 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
+    "q_budgets_exact": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CAST(sum(CAST((length(text) // 4 + 10) * 5 + 160 AS DECIMAL(38,12))) / 10000000 AS DECIMAL(38,12)) AS spent, c = 'shaky' AND sum((length(text) // 4 + 10) * 5 + 160) >= 10000 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
     "q_spent_month": "SELECT p AS period, round(CAST(coalesce(sum((user_id % 7 + 1) / 1000.0) FILTER (WHERE CASE p WHEN 'day' THEN event_id % 40 = 0 WHEN 'month' THEN event_id % 40 <= 14 ELSE true END), 0) AS DOUBLE), 6) AS spent FROM events, (SELECT unnest(['day', 'month', 'total']) AS p) GROUP BY p",
     "q_backfill_keyset": "SELECT o_orderkey, 'pending' AS status FROM orders ORDER BY o_orderkey LIMIT 2100",
     "q_backfill_all": "SELECT o_orderkey, 'pending' AS status FROM orders",
@@ -501,6 +535,8 @@ ORACLE = {
     "q_progress": f"SELECT count(*) FILTER (WHERE c = 'flag' AND {byte('h', 3)} < 8) AS pending, 0::BIGINT AS claimed, CAST(count(*) FILTER (WHERE {byte('h', 3)} >= 8) + {FILLED} AS BIGINT) AS done, count(*) FILTER (WHERE c = 'shaky' AND {byte('h', 3)} < 8) AS dead FROM {BOTH}",
     "q_top_errors": "SELECT 'boom' AS last_error, count(*) AS n FROM events WHERE event_type = 'error'",
     "q_decision_fanout": "SELECT doc_id, call, CASE call WHEN 0 THEN 16 ELSE 3 END::BIGINT AS questions FROM documents, (SELECT unnest([0, 1])::BIGINT AS call)",
+    "q_lanes": "SELECT unnest(['decision', 'embedding', 'llm']) AS backend, count(*) AS written, count(*) AS cells FROM documents",
+    "q_drop_column": "SELECT doc_id, 'cancelled' AS outcome, 0::BIGINT AS left_over FROM documents",
     "q_questions_per_call": "SELECT d AS def_id, count(*) AS results, 3.0::DOUBLE AS questions_per_call, 0::BIGINT AS retries FROM documents, (SELECT unnest([1, 2, 3])::BIGINT AS d) GROUP BY d",
     "q_embed_batches": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks, 0::BIGINT AS stored_values FROM documents",
     "q_similar_topk": "SELECT e.vec_id, round(CAST(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE), 4) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id LIMIT 20",
