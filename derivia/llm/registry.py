@@ -14,10 +14,10 @@ from derivia.llm.rules import oracle as rules_oracle
 MIX = {"clean": 0.88, "toxic": 0.06, "low": 0.06}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_warc_zstd(spark, sf_dir):
@@ -79,7 +79,14 @@ def op9_best_fit_packing(spark, sf_dir):
 def op10_delta_rollup(spark, sf_dir):
     from derivia.llm.rollup import document_rollup
 
-    return document_rollup(table(spark, sf_dir, "documents"), fresh_path(spark, "rollup"))
+    return document_rollup(table(spark, sf_dir, "documents"), {"byte_bpe_50k-1": tokenizer_path(), "piece_bpe_32k-1": tokenizer_path("piece_bpe_32k.model")}, fresh_path(spark, "rollup"))
+
+
+def rollup_words_bytes(spark, sf_dir):
+    """op10's deliveries with counts that SQL can tell."""
+    from derivia.llm.rollup import word_rollup
+
+    return word_rollup(table(spark, sf_dir, "documents"), fresh_path(spark, "rollup"))
 
 
 ORACLE: dict[str, str] = {
@@ -93,14 +100,14 @@ ORACLE: dict[str, str] = {
         FROM g""",
     "op2_risk_controlled_rules": rules_oracle(),
     "op4_perspective_rotation": perspectives_oracle(),
-    "op10_delta_rollup": rollup_oracle(),
+    "rollup_words_bytes": rollup_oracle(),
 }
 
 
 def queries():
     import corpus_pipeline
 
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"rollup_words_bytes": rollup_words_bytes, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import lru_cache, partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from derivia.llm.common import plain_keys, written
+from derivia.llm.common import Words, plain_keys, slices, small_batches, written
+from derivia.llm.packing import encoder
 from derivia.plans.state import listed, published
 
 KEYS = ("source", "lang", "tokenizer")
@@ -108,28 +111,64 @@ class Rollup:
         return published(self.spark, f"{self.path}/compactions/{last + 1}", data)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """source, lang, n_words, n_lettered, n_bytes of each row of docs(text, source, lang)."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = plain_keys(docs, "text", "source", "lang").select("source", "lang", t.alias("text"))
-    return base.select("source", "lang", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.regexp_count("text", F.lit(LETTERED)).cast("long").alias("n_lettered"), F.octet_length("text").cast("long").alias("n_bytes"))
+@lru_cache(maxsize=4)
+def id_counter(path: str):
+    """texts -> numbers of ids by the tokenizer file at path: a tokenizers file (.json) or a sentencepiece model (.model)."""
+    if path.endswith(".model"):
+        import sentencepiece
 
+        encode = partial(sentencepiece.SentencePieceProcessor(model_file=path).encode, num_threads=1)
+    else:
+        encode = encoder(path)
+    return lambda texts: [len(ids) for ids in encode(texts)]
 
-def document_rollup(docs: DataFrame, path: str) -> DataFrame:
-    """Totals of the documents after four deliveries: all are inserted with two tokenizer versions; those of under 20 words are deleted; word counts are revised to words with a letter or digit; the deletes come a second time."""
-    per = written(counted(docs), "counts")
-    both = F.explode(F.array(F.struct(F.lit("words-1").alias("tokenizer"), F.col("n_words").alias("tokens")), F.struct(F.lit("bytes-1").alias("tokenizer"), F.col("n_bytes").alias("tokens")))).alias("t")
-    change = lambda rows, op: rows.select(F.lit(op).alias("op"), "source", "lang", both).select("op", "source", "lang", "t.*")
-    few: Column = F.col("n_words") < 20
-    rollup = Rollup(docs.sparkSession, path)
+
+def token_counts(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
+    """source, lang, n_words and n (map of tokenizer version to number of ids) of each row of docs(text, source, lang); every whole text is encoded by every tokenizer, once."""
+    small_batches(docs.sparkSession)
+    base = plain_keys(docs, "text", "source", "lang").select(*[F.col(c).cast("string") for c in ("text", "source", "lang")])
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            columns = [batch.column("source"), batch.column("lang"), pa.array(Words(batch.column("text")).per_row, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(id_counter(path)(texts), pa.int64()) for path in tokenizers.values()], ["source", "lang", "n_words", *(f"n{i}" for i in range(len(tokenizers)))])
+
+    counts = base.mapInArrow(run, "source string, lang string, n_words long" + "".join(f", n{i} long" for i in range(len(tokenizers))))
+    return counts.select("source", "lang", "n_words", F.create_map(*[x for i, t in enumerate(tokenizers) for x in (F.lit(t), F.col(f"n{i}"))]).alias("n"))
+
+
+def delivered(per: DataFrame, few: Column, revised: DataFrame, path: str) -> DataFrame:
+    """Totals after four deliveries of rows (source, lang, n: map of tokenizer version to tokens): all are inserted; the few are deleted; counts are revised; the deletes come a second time."""
+    change = lambda rows, op: rows.select(F.lit(op).alias("op"), "source", "lang", F.explode("n").alias("tokenizer", "tokens"))
+    rollup = Rollup(per.sparkSession, path)
     rollup.commit("inserts-1", change(per, "insert"))
     rollup.commit("deletes-1", change(per.where(few), "delete"))
-    rollup.commit("recount-1", per.where(~few & (F.col("n_words") != F.col("n_lettered"))).select(F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("n_lettered").alias("tokens"), F.col("n_words").alias("old_tokens")))
+    rollup.commit("recount-1", revised)
     rollup.commit("deletes-1", change(per.where(few), "delete"))
     return rollup.totals()
 
 
+def document_rollup(docs: DataFrame, tokenizers: dict[str, str], path: str) -> DataFrame:
+    """Token totals of the documents by source, language and tokenizer version (a name and its file): all are inserted, those of under 20 words are deleted, and the first version's counts are revised to have the end id of each document, too."""
+    per = written(token_counts(docs, tokenizers), "counts")
+    few: Column = F.col("n_words") < 20
+    first = F.lit(next(iter(tokenizers)))
+    return delivered(per, few, per.where(~few).select(F.lit("revise").alias("op"), "source", "lang", first.alias("tokenizer"), (F.col("n")[first] + 1).alias("tokens"), F.col("n")[first].alias("old_tokens")), path)
+
+
+def word_rollup(docs: DataFrame, path: str) -> DataFrame:
+    """The same deliveries with counts that SQL can tell: words (then revised to words with a letter or digit) and bytes."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = plain_keys(docs, "text", "source", "lang").select("source", "lang", t.alias("text"))
+    count = lambda rule: F.regexp_count("text", F.lit(rule)).cast("long")
+    per = written(base.select("source", "lang", count(LETTERED).alias("n_lettered"), F.create_map(F.lit("words-1"), count(WORD), F.lit("bytes-1"), F.octet_length("text").cast("long")).alias("n")), "counts")
+    words = F.col("n")["words-1"]
+    return delivered(per, words < 20, per.where((words >= 20) & (words != F.col("n_lettered"))).select(F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("n_lettered").alias("tokens"), words.alias("old_tokens")), path)
+
+
 def oracle() -> str:
+    """SQL of `word_rollup`."""
     return r"""
     WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
     n AS (SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, len(regexp_extract_all(t, '[^\x20\x09-\x0D]*[0-9A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')) AS l, strlen(t) AS b FROM d),

@@ -231,6 +231,28 @@ def test_rollup_commits_once(spark, tmp_path):
     assert [tuple(x) for x in r.totals().collect()] == want and not r.commit("b2", then)
 
 
+def test_token_rollup_equals_a_plain_count(odd, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    # repeated rows, nulls, an empty and a very long text, text beyond ASCII, a special token's string, extra columns of our own names
+    more = odd.sparkSession.createDataFrame([(900, "наука и жизнь " * 20, "ru", "a", 0), (901, "<|endoftext|> <s> " * 15, "en", None, 0), (902, "x" * 40_000, "en", "b", 0), (903, "語" * 300 + " a" * 30, None, "b", 0)], DOC)
+    docs = odd.union(more).selectExpr("*", "1 as n", "2 as n_words", "3 as tokens", "'delete' as op")
+    bpe, piece = Tokenizer.from_file(tokenizer_path()), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    want = {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        if len(text.split()) >= 20:
+            for version, n in (("bpe", len(bpe.encode(text, add_special_tokens=False).ids) + 1), ("piece", len(piece.encode(text)))):
+                total = want.setdefault((r["source"], r["lang"], version), [0, 0])
+                total[0] += 1
+                total[1] += n
+    files = {"bpe": tokenizer_path(), "piece": tokenizer_path("piece_bpe_32k.model")}
+    got = rollup.document_rollup(docs, files, str(tmp_path / "r")).collect()
+    assert {tuple(r)[:3]: list(tuple(r)[3:]) for r in got} == want and len(got) == len(want)
+    assert rollup.document_rollup(docs.limit(0), files, str(tmp_path / "none")).count() == 0
+
+
 def test_operators_take_empty_tables(odd):
     none = odd.limit(0)
     labels = odd.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
