@@ -1,7 +1,9 @@
 """Nearest neighbours by inner product through shifted space-filling curves.
 
 Vectors are lifted to equal length (one more coordinate), so that the largest inner product is the
-smallest distance. Each of several curves rotates them onto a few random directions, shifts the grid and
+smallest distance. That is done by classes of length (each goes down to half of its longest, thin ones
+side by side are one), so that a few long vectors don't gather all others in one spot; a query looks
+into every class. Each of several curves rotates them onto a few random directions, shifts the grid and
 takes their place on a Hilbert curve. Spark range-partitions every curve by key; a row's rank there
 gives its block, and a query meets the rows of its own block and of those beside it.
 The best k of each window are merged over the curves and reranked by the exact inner product.
@@ -14,7 +16,8 @@ either side are met, until the sample's recall is `target` or more. The rule is
 Work and traffic are (curves x rows) for the orderings, (SAMPLE x rows) for the measurement and (curves
 x queries x window) for the windows. Where neighbours lie near each other on the curves, windows stay
 as they are when a table grows; in vectors without structure they grow with it, so that the work grows
-with the square of the table. Equal vectors go through the curves once, with the k + 1 smallest ids
+with the square of the table. A class of less than two blocks has one curve, as its windows hold all of
+it; so there are at most two classes for each block of rows. Equal vectors go through the curves once, with the k + 1 smallest ids
 that any result can hold; a vector that a third of all rows share fills no window.
 
 Defined cases: null, zero-length or all-zero vectors, those with null or non-finite components and rows
@@ -84,6 +87,24 @@ def curve_frame(curve: int, dim: int, dims: int, seed: int) -> tuple[np.ndarray,
     return axes, rng.uniform(0, 1, axes.shape[1])
 
 
+def length_classes(bands: list[tuple[int, int, float]], block: int, curves: int) -> tuple[dict[int, int], list[float], list[int]]:
+    """Bands (number, rows, largest square of a length) to the class of each band and, by class, the largest square and the number of curves.
+
+    Neighbouring bands of under `block` rows are one class until it has `block` rows; less than two blocks hold it all.
+    """
+    class_of, longest, rows = {}, [], []
+    thin = False
+    for band, n, square in sorted(bands):
+        if not (thin and n < block and rows[-1] < block):
+            longest.append(square)
+            rows.append(0)
+        thin = n < block
+        class_of[band] = len(rows) - 1
+        rows[-1] += n
+        longest[-1] = max(longest[-1], square)
+    return class_of, longest, [1 if n < 2 * block else curves for n in rows]
+
+
 def true_neighbours(reps: DataFrame, sample: list, k: int, dim: int) -> DataFrame:
     """(q, r, score, ids): the k + 1 representatives of the largest product with each of a bounded sample (rep, v) of queries, among all rows."""
     asked, mine = np.array([s["rep"] for s in sample]), np.array([s["v"] for s in sample], np.float64)
@@ -147,27 +168,41 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     reps = written(reps, "reps")
     asked = written(base.where(query).select("vec_id", "v", F.xxhash64("v").alias("h")).distinct().join(reps.select(F.xxhash64("v").alias("h"), F.col("v").alias("w"), "rep"), "h").where("v = w").select(F.col("vec_id").alias("query_id"), "rep"), "asked")
     wanted = reps.join(asked.select("rep").distinct().withColumn("asked", F.lit(True)), "rep", "left").select("rep", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
-    longest = reps.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    top = reps.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]  # squares of components over this can't overflow
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))
+    most = reps.agg(F.max(square)).first()[0]
+    # a band goes down to half of its longest, from the longest of all; what has no square left in double precision is in the last
+    wanted = wanted.withColumn("square", square).withColumn("band", F.when(F.col("square") > 0, F.floor(F.log2(most / F.greatest("square", F.lit(1e-300))) / 2)).otherwise(1000).cast("int"))
+    wanted = written(wanted, "wanted")
+    bands = [tuple(r) for r in wanted.groupBy("band").agg(F.count(F.lit(1)), F.max("square")).collect()]  # some hundred at most
+    class_of, longest, curves_of = length_classes(bands, block, curves)
 
     def keyed(batches):
+        spread = 3 / (dim + 1) ** 0.5  # three deviations of a random direction either way
         for batch in batches:
-            x = matrix(batch.column("v"), dim)
-            asked_ = np.asarray(batch.column("asked"))
-            lift = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None]
-            # a candidate is lifted onto the sphere, a query is stretched onto it: the nearest on the sphere has the largest product
-            there = np.hstack([x, lift]) / longest**0.5
-            mine = np.hstack([x, np.zeros_like(lift)]) / np.sqrt((x * x).sum(1))[:, None]
-            for c in range(curves):
+            x = matrix(batch.column("v"), dim) / top
+            own = np.array([class_of[b] for b in batch.column("band").to_pylist()], np.int64)
+            squares = batch.column("square").to_numpy()
+            reach = np.array(longest)[own]
+            # a candidate is lifted onto the sphere of its class, a query is stretched onto it: the nearest on the sphere has the largest product
+            safe = lambda y: np.sqrt(np.where(y > 0, y, 1))[:, None]
+            there = np.hstack([x, np.sqrt(np.maximum(reach - squares, 0))[:, None]]) / safe(reach)
+            queries = np.flatnonzero(np.asarray(batch.column("asked")))
+            mine = np.hstack([x, np.zeros((len(x), 1))])[queries] / safe(squares[queries])
+            for c in range(max(curves_of)):
                 axes, shift = curve_frame(c, dim + 1, dims, seed)
-                spread = 3 / (dim + 1) ** 0.5  # three deviations of a random direction either way
                 grid = lambda y: np.clip(((y @ axes / spread + 1) / 3 + shift / 3) * (1 << bits), 0, (1 << bits) - 1).astype(np.uint32)  # noqa: B023, E731
-                for rows, is_query in ((np.arange(len(x)), False), (np.flatnonzero(asked_), True)):
-                    if len(rows):
-                        keys = hilbert_keys(grid((mine if is_query else there)[rows]), bits).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(keys), batch.column("rep").take(pa.array(rows)), pa.array(np.full(len(rows), is_query)), batch.column("v").take(pa.array(rows))], ["curve", "key", "rep", "is_query", "v"])
+                keys, asked_keys = (hilbert_keys(grid(y), bits).view(np.int64) for y in (there, mine))
+                for g in range(len(longest)):
+                    if c >= curves_of[g]:
+                        continue
+                    here = np.flatnonzero(own == g)
+                    for rows, key, is_query in ((here, keys[here], False), (queries, asked_keys, True)):
+                        if len(rows):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g * curves + c, np.int32)), pa.array(key), batch.column("rep").take(pa.array(rows)), pa.array(np.full(len(rows), is_query)), batch.column("v").take(pa.array(rows))], ["curve", "key", "rep", "is_query", "v"])
 
     parts = max(1, int(spark_parts(vectors)))
-    keys = wanted.select("rep", "v", "asked").mapInArrow(keyed, "curve int, key long, rep long, is_query boolean, v array<double>")
+    keys = wanted.select("rep", "v", "asked", "square", "band").mapInArrow(keyed, "curve int, key long, rep long, is_query boolean, v array<double>")
     order = ["curve", "key", "rep", "is_query"]
     placed = keys.withColumn("v", F.col("v").cast("array<float>") if floats(vectors) else F.col("v"))
     placed = written(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "curves")
@@ -176,8 +211,8 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     # a few rows for each partition; the join is on both
     at = F.sum(F.when(~F.col("is_query"), 1).otherwise(0)).over(Window.partitionBy("curve", "part").orderBy("row")) - F.when(~F.col("is_query"), 1).otherwise(0)
     located = placed.withColumn("at", at).join(starts, ["curve", "part"]).withColumn("at", F.col("begin") + F.col("at")).drop("part", "row", "begin", "key")
-    wide, radius, recall = fitted(located, reps, asked, k, curves, block, dim, target)
-    log.info("windows of %d x %d rows on %d curves, recall of the sample %.4f", 2 * radius + 1, wide, curves, recall)
+    wide, radius, recall = fitted(located, reps, asked, k, curves, curves_of, block, dim, target)
+    log.info("windows of %d x %d rows on %d curves of %d classes, recall of the sample %.4f", 2 * radius + 1, wide, sum(curves_of), len(curves_of), recall)
     ranked = located.withColumn("block", F.floor(F.col("at") / wide)).drop("at")
     beside = F.sequence(F.col("block") - radius, F.col("block") + radius)
     cells = ranked.where("not is_query").union(ranked.where("is_query").select(*[c for c in ranked.columns if c != "block"], F.explode(beside).alias("block")))
@@ -204,8 +239,8 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     return ranks(best, reps, asked, k)
 
 
-def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves: int, block: int, dim: int, target: float) -> tuple[int, int, float]:
-    """The windows that reach the target on a bounded sample of the queries, from the places (curve, rep, is_query, at) on the curves."""
+def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves: int, curves_of: list[int], block: int, dim: int, target: float) -> tuple[int, int, float]:
+    """The windows that reach the target on a bounded sample of the queries, from the places (curve, rep, is_query, at) on the curves of each class (numbers from class x curves on, as many as curves_of says)."""
     drawn = asked.select("rep").distinct().orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
     sample = reps.join(F.broadcast(drawn), "rep").select("rep", "v").collect()
     pairs = true_pairs(true_neighbours(reps, sample, k, dim).collect(), k) if sample else {}
@@ -214,8 +249,10 @@ def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves
     ends = {(q, True) for q, _ in pairs} | {(r, False) for _, r in pairs}
     few = located.sparkSession.createDataFrame(sorted(ends), "rep long, is_query boolean")
     place = {(x["rep"], x["is_query"], x["curve"]): x["at"] for x in located.select("curve", "rep", "is_query", "at").join(F.broadcast(few), ["rep", "is_query"]).collect()}
-    on = lambda rep, is_query: [place[rep, is_query, c] for c in range(curves)]
-    return reaching(np.array([on(r, False) for _, r in pairs]), np.array([on(q, True) for q, _ in pairs]), np.array(list(pairs.values())), block, target)
+    class_of = {rep: curve // curves for rep, is_query, curve in place if not is_query}
+    # a class of fewer curves has the place on its first one instead
+    on = lambda rep, is_query, g: [place[rep, is_query, g * curves + c % curves_of[g]] for c in range(curves)]
+    return reaching(np.array([on(r, False, class_of[r]) for _, r in pairs]), np.array([on(q, True, class_of[r]) for q, r in pairs]), np.array(list(pairs.values())), block, target)
 
 
 def ranks(best: DataFrame, reps: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -128,6 +128,33 @@ def test_neighbours_widen_their_windows_to_the_target(spark):
     assert hits / (150 * 5) >= 0.95
 
 
+def test_long_vectors_do_not_widen_the_windows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)] + rng.normal(scale=0.3, size=(2000, 16))
+    far = x.copy()
+    far[7] *= 50
+    far[[30, 31]] *= 1e150
+    far[300:500] /= 40
+    widths, real = [], hilbert.fitted
+    monkeypatch.setattr(hilbert, "fitted", lambda *a: widths.append(real(*a)) or widths[-1])
+    for rows in (x, far):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in hilbert.neighbours(df, F.col("vec_id") % 20 == 0, 5, block=32).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 2000, 20):
+            s = rows @ rows[q]
+            s[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        assert hits / (100 * 5) >= 0.9
+    assert widths[1][0] * (2 * widths[1][1] + 1) <= widths[0][0] * (2 * widths[0][1] + 1)
+
+
+def test_length_classes():
+    assert hilbert.length_classes([(0, 1, 9.0), (1, 2, 2.0), (3, 90, 0.5), (4, 3, 0.1), (1000, 8, 0.0)], 10, 4) == ({0: 0, 1: 0, 3: 1, 4: 2, 1000: 2}, [9.0, 0.5, 0.1], [1, 4, 1])
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     rng = random.Random(3)
     clean = [(k, ". ".join("The " + sentence(rng, 9) + " of it" for _ in range(8)) + ".") for k in range(200)]
