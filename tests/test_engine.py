@@ -1,12 +1,13 @@
 """Behaviour of the derived-column engine on a three-row table, played by hand."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import row_key, value_error
-from derivia.functions.providers import Answer, HashProvider, KeywordProvider, check_reply, classify, decided, parse_json_object, priced, question
+from derivia.functions.providers import Answer, HashProvider, check_reply, classify, decided, parse_json_object, priced, question
 from derivia.operators import capture, compute, contract, views
 from derivia.plans.catalog import Catalog, DefinitionError
 from derivia.plans.state import Conflict, State, Store
@@ -16,21 +17,33 @@ NOW = dt.datetime(2026, 1, 15, 12)
 LEVELS = ["low", "medium", "high"]
 
 
+def level_provider():
+    """Notes that tell a level of 5 m or more are 'high', others 'low'. The class is local, so that it goes to workers by value."""
+
+    class LevelProvider(HashProvider):
+        def derive(self, job):
+            told = re.search(r"level (\d+(?:\.\d+)?) m", job["text"] or "")
+            high = told is not None and float(told[1]) >= 5
+            return Answer(high if job["output_type"] == "boolean" else "high" if high else "low", 0.9 if high else 0.4, "levels", {"prompt_tokens": len(job["text"] or ""), "completion_tokens": 1, "cost": 2e-5}, 30)
+
+    return LevelProvider()
+
+
 @pytest.fixture
-def tickets(spark):
-    return spark.createDataFrame([(1, "the shop is down, urgente", "Acme"), (2, "invoice?", "Beta"), (3, "thanks", "Gamma")], "id long, body string, customer string")
+def gauges(spark):
+    return spark.createDataFrame([(1, "level 7.2 m and rising", "Elbe"), (2, "level 3.1 m", "Oder"), (3, "gauge dry", "Main")], "id long, note string, river string")
 
 
 def start(spark, rows, scan=True, **options):
-    options = {"output_type": "enum", "prompt": "urgency?", "model": "m", "schema": LEVELS} | options
+    options = {"output_type": "enum", "prompt": "is it an alert?", "model": "m", "schema": LEVELS} | options
     empty = State.empty(spark)
-    catalog, d = Catalog().add_column("ticket", "urgency", ("id",), ("body",), fields=dict(rows.dtypes), **options)
+    catalog, d = Catalog().add_column("gauge", "alert", ("id",), ("note",), fields=dict(rows.dtypes), **options)
     state = State(catalog, empty.jobs, empty.results, empty.spend, empty.cells)
     return capture.backfilled(state, d, rows, NOW) if scan else (state, d)
 
 
 def fill(state, rows, now=NOW, provider=None, **options):
-    return runtime.run_once(state, {"ticket": rows}, provider or KeywordProvider(("urgente",)), now, **options)
+    return runtime.run_once(state, {"gauge": rows}, provider or level_provider(), now, **options)
 
 
 def jobs(state, cols="row_key, status, attempts"):
@@ -42,21 +55,21 @@ def answer(state, claimed, value='"high"', confidence=0.9, key=None):
     return rows.select("def_id", "row_key", "source_hash", F.lit(value).alias("value"), F.lit(confidence).cast("float").alias("confidence"), F.lit("m").alias("model"), *[F.lit(1.0).alias(c) for c in ("prompt_tokens", "completion_tokens")], F.lit(0.0001).alias("cost"), F.lit(5).alias("latency_ms"), *[F.lit(None).cast("string").alias(c) for c in ("details", "error")], F.lit(True).alias("retryable"), F.lit(False).alias("rate_limited"))
 
 
-def test_declare_fill_and_read(spark, tickets):
-    state, d = start(spark, tickets)
+def test_declare_fill_and_read(spark, gauges):
+    state, d = start(spark, gauges)
     assert [j[1:] for j in jobs(state)] == [("pending", 0)] * 3
-    state, done = fill(state, tickets)
+    state, done = fill(state, gauges)
     assert done == {"written": 3}
-    got = {r["id"]: r["urgency"] for r in views.with_values(state, d, tickets).collect()}
+    got = {r["id"]: r["alert"] for r in views.with_values(state, d, gauges).collect()}
     assert got == {1: "high", 2: "low", 3: "low"}
-    assert fill(state, tickets)[1] == {}
+    assert fill(state, gauges)[1] == {}
 
 
-def test_declarations_that_cannot_be(tickets):
-    fields = dict(tickets.dtypes)
+def test_declarations_that_cannot_be(gauges):
+    fields = dict(gauges.dtypes)
     good = {"output_type": "enum", "prompt": "p", "model": "m", "schema": LEVELS, "fields": fields}
-    for bad in ({"pk": ()}, {"sources": ()}, {"sources": ("nope",)}, {"column": "body"}, {"schema": []}, {"model": ""}, {"prompt": None}, {"output_type": "vector", "schema": {"dimensions": 3}}, {"config": {"budget_usd": -1}}, {"config": {"backfill_chunk": 0}}, {"backend": "decision"}):
-        args = {"table": "t", "column": "u", "pk": ("id",), "sources": ("body",)} | good | bad
+    for bad in ({"pk": ()}, {"sources": ()}, {"sources": ("nope",)}, {"column": "note"}, {"schema": []}, {"model": ""}, {"prompt": None}, {"output_type": "vector", "schema": {"dimensions": 3}}, {"config": {"budget_usd": -1}}, {"config": {"backfill_chunk": 0}}, {"backend": "decision"}):
+        args = {"table": "t", "column": "u", "pk": ("id",), "sources": ("note",)} | good | bad
         with pytest.raises(DefinitionError):
             Catalog().add_column(**args)
 
@@ -66,11 +79,11 @@ def test_key_check_rejects_repeats(spark):
         capture.check_key(spark.createDataFrame([(1,), (1,)], "id long"), ("id",))
 
 
-def test_source_edited_while_claimed_is_requeued(spark, tickets):
-    state, d = start(spark, tickets)
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW)
-    later = tickets.withColumn("body", F.when(F.col("id") == 1, "new text").otherwise(F.col("body")))
-    state = capture.captured(state, d, tickets, later, NOW)
+def test_source_edited_while_claimed_is_requeued(spark, gauges):
+    state, d = start(spark, gauges)
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW)
+    later = gauges.withColumn("note", F.when(F.col("id") == 1, "new text").otherwise(F.col("note")))
+    state = capture.captured(state, d, gauges, later, NOW)
     state, out = contract.complete(state, answer(state, claimed), NOW)
     assert {r["row_key"]: r["outcome"] for r in out.collect()} == {'{"id":1}': "stale_requeued", '{"id":2}': "written", '{"id":3}': "written"}
     assert state.results.where("not is_current and not written").count() == 1
@@ -80,59 +93,59 @@ def test_source_edited_while_claimed_is_requeued(spark, tickets):
     assert {r["outcome"] for r in contract.complete(state, answer(state, claimed), NOW)[1].collect()} == {"cancelled"}
 
 
-def test_version_changed_while_claimed(spark, tickets):
-    state, d = start(spark, tickets)
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW)
-    state = contract.redefined(state, "ticket", "urgency", NOW, prompt="new")
+def test_version_changed_while_claimed(spark, gauges):
+    state, d = start(spark, gauges)
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW)
+    state = contract.redefined(state, "gauge", "alert", NOW, prompt="new")
     with pytest.raises(DefinitionError):
-        state.catalog.update_column("ticket", "urgency", prompt="new")
+        state.catalog.update_column("gauge", "alert", prompt="new")
     state, out = contract.complete(state, answer(state, claimed), NOW)
     assert {r["outcome"] for r in out.collect()} == {"stale_requeued"}
-    state, done = fill(state, tickets)
+    state, done = fill(state, gauges)
     assert done == {"written": 3} and views.stale_rows(state).count() == 0
 
 
-def test_override_pin_and_release(spark, tickets):
+def test_override_pin_and_release(spark, gauges):
     for policy, expected in (("pin", "medium"), ("until_source_change", "high")):
-        state, d = start(spark, tickets, config={"override_policy": policy})
-        state, _ = fill(state, tickets)
-        before = views.with_values(state, d, tickets)
-        after = before.withColumn("urgency", F.when(F.col("id") == 2, "medium").otherwise(F.col("urgency")))
+        state, d = start(spark, gauges, config={"override_policy": policy})
+        state, _ = fill(state, gauges)
+        before = views.with_values(state, d, gauges)
+        after = before.withColumn("alert", F.when(F.col("id") == 2, "medium").otherwise(F.col("alert")))
         state = capture.captured(state, d, before, after, NOW).materialized()
         assert views.columns(state).first()["human_overrides"] == 1
-        later = after.withColumn("body", F.when(F.col("id") == 2, "urgente now").otherwise(F.col("body")))
+        later = after.withColumn("note", F.when(F.col("id") == 2, "level 8 m").otherwise(F.col("note")))
         state, _ = fill(capture.captured(state, d, after, later, NOW).materialized(), later)
-        assert {r["id"]: r["urgency"] for r in views.with_values(state, d, later).collect()}[2] == expected
+        assert {r["id"]: r["alert"] for r in views.with_values(state, d, later).collect()}[2] == expected
 
 
-def test_null_override_asks_again_and_delete_forgets(spark, tickets):
-    state, d = start(spark, tickets)
-    state, _ = fill(state, tickets)
-    before = views.with_values(state, d, tickets)
-    after = before.where("id <> 3").withColumn("urgency", F.when(F.col("id") != 1, F.col("urgency")))
+def test_null_override_asks_again_and_delete_forgets(spark, gauges):
+    state, d = start(spark, gauges)
+    state, _ = fill(state, gauges)
+    before = views.with_values(state, d, gauges)
+    after = before.where("id <> 3").withColumn("alert", F.when(F.col("id") != 1, F.col("alert")))
     state = capture.captured(state, d, before, after, NOW)
     assert sorted(r[0] for r in state.results.where("is_current").select("row_key").collect()) == ['{"id":2}']
     assert [j[0] for j in jobs(state) if j[1] == "pending"] == ['{"id":1}']
     assert state.results.count() == 3
 
 
-def test_hold_and_review(spark, tickets):
-    state, d = start(spark, tickets, config={"low_confidence_policy": "hold"})
-    state, done = fill(state, tickets)
+def test_hold_and_review(spark, gauges):
+    state, d = start(spark, gauges, config={"low_confidence_policy": "hold"})
+    state, done = fill(state, gauges)
     assert done == {"written": 1, "held": 2}
     assert views.needs_review(state).where("not written").count() == 2
 
 
-def test_threshold_compares_as_float(spark, tickets):
-    state, _ = start(spark, tickets)
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW)
+def test_threshold_compares_as_float(spark, gauges):
+    state, _ = start(spark, gauges)
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW)
     state, _ = contract.complete(state, answer(state, claimed, confidence=0.7), NOW)
     assert views.needs_review(state).count() == 0
 
 
-def test_bad_value_is_an_error_not_a_crash(spark, tickets):
-    state, _ = start(spark, tickets)
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW)
+def test_bad_value_is_an_error_not_a_crash(spark, gauges):
+    state, _ = start(spark, gauges)
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW)
     state, out = contract.complete(state, answer(state, claimed, '"huge"'), NOW)
     assert {r["outcome"] for r in out.collect()} == {"rejected"}
     assert {j[1] for j in jobs(state)} == {"dead"}
@@ -145,44 +158,44 @@ def test_value_errors(spark):
         assert (got is None) == fine, (kind, value, got)
 
 
-def test_fail_backs_off_then_dies_and_retries(spark, tickets):
+def test_fail_backs_off_then_dies_and_retries(spark, gauges):
     class Down(HashProvider):
         def derive(self, job):
             raise TimeoutError("no answer")
 
-    state, d = start(spark, tickets, config={"max_attempts": 2, "backoff_base_seconds": 60})
-    state, done = fill(state, tickets, provider=Down())
+    state, d = start(spark, gauges, config={"max_attempts": 2, "backoff_base_seconds": 60})
+    state, done = fill(state, gauges, provider=Down())
     assert done == {"failed": 3}
     assert {r[0] for r in state.jobs.select("next_attempt_at").collect()} == {NOW + dt.timedelta(seconds=60)}
-    assert fill(state, tickets)[1] == {}
-    state, _ = fill(state, tickets, NOW + dt.timedelta(minutes=2), Down())
+    assert fill(state, gauges)[1] == {}
+    state, _ = fill(state, gauges, NOW + dt.timedelta(minutes=2), Down())
     assert {j[1:] for j in jobs(state)} == {("dead", 2)}
     state = contract.retried_dead(state, d, NOW)
     assert {j[1:] for j in jobs(state)} == {("pending", 0)}
 
 
-def test_reclaim_is_strict_and_kills_at_the_last_attempt(spark, tickets):
-    state, _ = start(spark, tickets, config={"max_attempts": 1})
-    state, _ = contract.claim(state, {"ticket": tickets}, "w", NOW)
+def test_reclaim_is_strict_and_kills_at_the_last_attempt(spark, gauges):
+    state, _ = start(spark, gauges, config={"max_attempts": 1})
+    state, _ = contract.claim(state, {"gauge": gauges}, "w", NOW)
     assert {j[1] for j in jobs(contract.reclaimed(state, NOW + dt.timedelta(minutes=5)))} == {"claimed"}
     assert {j[1] for j in jobs(contract.reclaimed(state, NOW + dt.timedelta(minutes=6)))} == {"dead"}
 
 
-def test_requeue_skips_pinned(spark, tickets):
-    state, d = start(spark, tickets)
-    state, _ = fill(state, tickets)
-    before = views.with_values(state, d, tickets)
-    after = before.withColumn("urgency", F.when(F.col("id") == 2, "medium").otherwise(F.col("urgency")))
+def test_requeue_skips_pinned(spark, gauges):
+    state, d = start(spark, gauges)
+    state, _ = fill(state, gauges)
+    before = views.with_values(state, d, gauges)
+    after = before.withColumn("alert", F.when(F.col("id") == 2, "medium").otherwise(F.col("alert")))
     state = capture.captured(state, d, before, after, NOW).materialized()
-    state = contract.requeued(state, d, tickets, NOW)
-    state = contract.requeued(state, d, tickets, NOW)
+    state = contract.requeued(state, d, gauges, NOW)
+    state = contract.requeued(state, d, gauges, NOW)
     assert [j[0] for j in jobs(state) if j[1] == "pending"] == ['{"id":1}', '{"id":3}']
-    state = contract.unpinned(state, d, tickets.select(row_key(("id",)).alias("row_key")), tickets, NOW)
+    state = contract.unpinned(state, d, gauges.select(row_key(("id",)).alias("row_key")), gauges, NOW)
     assert sum(j[1] == "pending" for j in jobs(state)) == 3
 
 
-def test_backfill_by_chunks(spark, tickets):
-    rows = tickets.union(spark.createDataFrame([(4, "d", "x"), (5, "e", "y")], tickets.schema))
+def test_backfill_by_chunks(spark, gauges):
+    rows = gauges.union(spark.createDataFrame([(4, "d", "x"), (5, "e", "y")], gauges.schema))
     state, d = start(spark, rows, scan=False, config={"backfill_chunk": 2})
     seen = []
     while d.backfill_pending:
@@ -191,62 +204,62 @@ def test_backfill_by_chunks(spark, tickets):
     assert seen == [(2, 2), (4, 4), (5, 5)]
 
 
-def test_budget_stops_claims(spark, tickets):
-    state, _ = start(spark, tickets, config={"budget_usd": 0.0001})
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW, 1)
+def test_budget_stops_claims(spark, gauges):
+    state, _ = start(spark, gauges, config={"budget_usd": 0.0001})
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW, 1)
     state, _ = contract.complete(state, answer(state, claimed), NOW)
-    assert contract.claim(state, {"ticket": tickets}, "w", NOW, 5)[1].count() == 0
+    assert contract.claim(state, {"gauge": gauges}, "w", NOW, 5)[1].count() == 0
     assert views.budgets(state, NOW).first()["exhausted"]
-    catalog, _ = state.catalog.configure("ticket", "urgency", {"budget_usd": 1})
+    catalog, _ = state.catalog.configure("gauge", "alert", {"budget_usd": 1})
     state = State(catalog, state.jobs, state.results, state.spend, state.cells, state.seq)
-    assert contract.claim(state, {"ticket": tickets}, "w", NOW, 5)[1].count() == 2
+    assert contract.claim(state, {"gauge": gauges}, "w", NOW, 5)[1].count() == 2
 
 
-def test_two_claimers_are_disjoint_and_gone_rows_drop_out(spark, tickets):
-    state, _ = start(spark, tickets)
-    state, a = contract.claim(state, {"ticket": tickets}, "a", NOW, 2)
-    state, b = contract.claim(state, {"ticket": tickets.where("id < 3")}, "b", NOW, 2)
+def test_two_claimers_are_disjoint_and_gone_rows_drop_out(spark, gauges):
+    state, _ = start(spark, gauges)
+    state, a = contract.claim(state, {"gauge": gauges}, "a", NOW, 2)
+    state, b = contract.claim(state, {"gauge": gauges.where("id < 3")}, "b", NOW, 2)
     assert [r["row_key"] for r in a.collect()] == ['{"id":1}', '{"id":2}'] or a.count() == 2
     assert b.count() == 0 and state.jobs.count() == 2
 
 
-def test_disable_and_drop(spark, tickets):
-    state, _ = start(spark, tickets)
-    off = contract.disabled(state, "ticket", "urgency")
-    assert off.jobs.count() == 0 and fill(off, tickets)[1] == {}
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW)
-    gone = contract.dropped(state, "ticket", "urgency")
+def test_disable_and_drop(spark, gauges):
+    state, _ = start(spark, gauges)
+    off = contract.disabled(state, "gauge", "alert")
+    assert off.jobs.count() == 0 and fill(off, gauges)[1] == {}
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW)
+    gone = contract.dropped(state, "gauge", "alert")
     assert {r["outcome"] for r in contract.complete(gone, answer(gone, claimed), NOW)[1].collect()} == {"cancelled"}
-    again, d = gone.catalog.add_column("ticket", "urgency", ("id",), ("body",), "enum", prompt="p", model="m", schema=LEVELS)
+    again, d = gone.catalog.add_column("gauge", "alert", ("id",), ("note",), "enum", prompt="p", model="m", schema=LEVELS)
     assert d.def_id == 2
 
 
-def test_decision_siblings_share_a_call(spark, tickets):
-    state, _ = start(spark, tickets, scan=False, backend="decision", output_type="boolean", schema={})
+def test_decision_siblings_share_a_call(spark, gauges):
+    state, _ = start(spark, gauges, scan=False, backend="decision", output_type="boolean", schema={})
     for k in range(16):
-        catalog, d = state.catalog.add_column("ticket", f"c{k}", ("id",), ("body",), "boolean", backend="decision", prompt=f"q{k}", model="m", schema={})
+        catalog, d = state.catalog.add_column("gauge", f"c{k}", ("id",), ("note",), "boolean", backend="decision", prompt=f"q{k}", model="m", schema={})
         state = State(catalog, state.jobs, state.results, state.spend, state.cells, state.seq)
     for d in state.catalog.defs:
-        state, _ = capture.backfilled(state, d, tickets, NOW)
+        state, _ = capture.backfilled(state, d, gauges, NOW)
     state = state.materialized("jobs")
-    state, claimed = contract.claim(state, {"ticket": tickets}, "w", NOW, 2)
+    state, claimed = contract.claim(state, {"gauge": gauges}, "w", NOW, 2)
     assert claimed.count() >= 17
     calls = compute.fanned_out(claimed, list(state.catalog.defs))
     assert sorted(r[0] for r in calls.groupBy("row_key").agg(F.max(F.size("jobs"))).select("max(size(jobs))").collect())[-1] == 16
 
 
-def test_embedding_batches_and_no_lineage_of_vectors(spark, tickets):
-    state, d = start(spark, tickets, backend="embedding", output_type="vector", prompt=None, schema={"dimensions": 3}, backend_config={"batch_size": 2})
-    state, done = fill(state, tickets, provider=HashProvider())
+def test_embedding_batches_and_no_lineage_of_vectors(spark, gauges):
+    state, d = start(spark, gauges, backend="embedding", output_type="vector", prompt=None, schema={"dimensions": 3}, backend_config={"batch_size": 2})
+    state, done = fill(state, gauges, provider=HashProvider())
     assert done == {"written": 3} and state.results.where("value is not null").count() == 0
-    assert views.with_values(state, d, tickets).where("size(urgency) = 3").count() == 3
+    assert views.with_values(state, d, gauges).where("size(alert) = 3").count() == 3
 
 
-def test_retention_keeps_what_is_current(spark, tickets):
-    state, d = start(spark, tickets, config={"lineage_retention_days": 30})
-    state, _ = fill(state, tickets)
-    state = contract.redefined(state, "ticket", "urgency", NOW, prompt="new")
-    state, _ = fill(capture.backfilled(state, state.catalog.find("ticket", "urgency"), tickets, NOW)[0].materialized("jobs"), tickets)
+def test_retention_keeps_what_is_current(spark, gauges):
+    state, d = start(spark, gauges, config={"lineage_retention_days": 30})
+    state, _ = fill(state, gauges)
+    state = contract.redefined(state, "gauge", "alert", NOW, prompt="new")
+    state, _ = fill(capture.backfilled(state, state.catalog.find("gauge", "alert"), gauges, NOW)[0].materialized("jobs"), gauges)
     assert state.results.count() == 6
     later = NOW + dt.timedelta(days=31)
     assert contract.pruned(state, later).results.count() == 3
@@ -254,8 +267,8 @@ def test_retention_keeps_what_is_current(spark, tickets):
     assert contract.pruned(state, NOW).results.count() == 6
 
 
-def test_store_refuses_a_second_writer(spark, tickets, tmp_path):
-    state, _ = start(spark, tickets)
+def test_store_refuses_a_second_writer(spark, gauges, tmp_path):
+    state, _ = start(spark, gauges)
     store = Store(spark, str(tmp_path / "s"))
     assert store.commit(state, 0) == 1
     with pytest.raises(Conflict):
@@ -286,35 +299,35 @@ def test_pure_helpers():
 
 
 def streamed(spark, folder, batch, rows, **options):
-    """One more file of rows through the stream of tickets kept in folder."""
-    schema = "id long, body string, at int"
+    """One more file of rows through the stream of gauges kept in folder."""
+    schema = "id long, note string, at int"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     store = Store(spark, f"{folder}/store")
     if not batch:
         empty = State.empty(spark)
-        catalog, _ = Catalog().add_column("ticket", "urgency", ("id",), ("body",), "enum", prompt="urgency?", model="m", schema=LEVELS)
+        catalog, _ = Catalog().add_column("gauge", "alert", ("id",), ("note",), "enum", prompt="is it an alert?", model="m", schema=LEVELS)
         store.commit(State(catalog, empty.jobs, empty.results, empty.spend, empty.cells), 0)
     changes = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    runtime.on_stream(changes, store, "ticket", ("id",), KeywordProvider(("urgente",)), f"{folder}/checkpoint", lambda: NOW, **options).awaitTermination()
+    runtime.on_stream(changes, store, "gauge", ("id",), level_provider(), f"{folder}/checkpoint", lambda: NOW, **options).awaitTermination()
     return store
 
 
 def test_stream_keeps_the_last_update_and_all_earlier_rows(spark, tmp_path):
-    updates = [(1, "calm", k) for k in range(1, 20)] + [(1, "urgente", 20)] + [(1, "calm", 0), (2, "hello", 1)]
+    updates = [(1, "calm", k) for k in range(1, 20)] + [(1, "level 9 m", 20)] + [(1, "calm", 0), (2, "hello", 1)]
     store = streamed(spark, tmp_path, 0, updates, order="at")
     store.commit(store.load(), store.head())  # a commit by another makes no snapshot
     store = streamed(spark, tmp_path, 1, [(3, "thanks", 1), (1, "calm", 5)], order="at")
-    rows = spark.read.parquet(f"{store.path}/rows/ticket/{store.head()}")
-    assert sorted(map(tuple, rows.collect())) == [(1, "urgente", 20), (2, "hello", 1), (3, "thanks", 1)]
+    rows = spark.read.parquet(f"{store.path}/rows/gauge/{store.head()}")
+    assert sorted(map(tuple, rows.collect())) == [(1, "level 9 m", 20), (2, "hello", 1), (3, "thanks", 1)]
     state = store.load()
-    assert {r["id"]: r["urgency"] for r in views.with_values(state, state.catalog.by_id(1), rows).collect()} == {1: "high", 2: "low", 3: "low"}
+    assert {r["id"]: r["alert"] for r in views.with_values(state, state.catalog.by_id(1), rows).collect()} == {1: "high", 2: "low", 3: "low"}
 
 
 def test_stream_fails_on_a_snapshot_it_cannot_read(spark, tmp_path):
     store = streamed(spark, tmp_path, 0, [(1, "a", 1)])
-    for part in (tmp_path / "store" / "rows" / "ticket" / str(store.head())).glob("part-*"):
+    for part in (tmp_path / "store" / "rows" / "gauge" / str(store.head())).glob("part-*"):
         part.write_bytes(b"not parquet")
-    for crc in (tmp_path / "store" / "rows" / "ticket" / str(store.head())).glob(".part-*"):
+    for crc in (tmp_path / "store" / "rows" / "gauge" / str(store.head())).glob(".part-*"):
         crc.unlink()
     with pytest.raises(Exception):
         streamed(spark, tmp_path, 1, [(2, "b", 1)])

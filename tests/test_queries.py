@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from derivia import queries
+
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 
@@ -14,22 +16,23 @@ def rows(frame):
     return sorted(map(str, frame[cols].astype(object).where(frame[cols].notna(), None).values.tolist()))
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
-def test_queries_equal_their_sql(spark):
-    from derivia import queries
-
+@pytest.fixture(scope="module")
+def tables():
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    for name in ("q_derive_enum", "q_held", "q_stale_after_update", "q_diff_enqueue", "q_override_release", "q_columns_view", "q_budgets", "q_backoff", "q_retry_dead", "q_decision_fanout", "q_calibration", "q_failure_audit", "q_stream_equals_batch"):
-        got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
-        assert rows(got) == rows(want), name
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_its_sql(spark, tables, name):
+    got, want = queries.queries()[name](spark, SF).toPandas(), tables.execute(queries.ORACLE[name]).df()
+    assert rows(got) == rows(want)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables aren't here")
 def test_backfill_goes_on_to_the_last_order(spark):
-    from derivia import queries
-
     # more than one full chunk
     orders = "/root/testdata/sf0.1/orders.parquet"
     con = duckdb.connect()
