@@ -68,8 +68,9 @@ def progress(columns: DataFrame) -> DataFrame:
 
 
 def next_ready(jobs: DataFrame, now) -> DataFrame:
-    """Seconds until the next waiting job may be claimed (0 if one may now)."""
-    return jobs.where("status = 'pending'").agg(F.greatest(F.min("next_attempt_at").cast("double") - F.lit(now).cast("timestamp").cast("double"), F.lit(0.0)).alias("seconds"))
+    """Seconds until the next waiting job may be claimed: 0 if one may now, null if none waits."""
+    first = F.min("next_attempt_at").cast("double")
+    return jobs.where("status = 'pending'").agg(F.when(first.isNotNull(), F.greatest(first - F.lit(now).cast("timestamp").cast("double"), F.lit(0.0))).alias("seconds"))
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
