@@ -1,20 +1,23 @@
 """WARC archives with Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 Writing stays one Spark stage after the look-up of repeated payloads: each task trains a dictionary on
-the first payloads of its partition (a bounded part), and emits the dictionary frame and then a frame
-per record. Spark's own text sink commits the files, so a retried task leaves no half archive. Its
-line separator is an empty skippable frame, which Zstandard readers pass over; so every file is a
-plain .zst stream of records.
+the first payloads of its partition (a bounded part), and emits whole archives of a bounded size: the
+dictionary frame and then a frame per record. Spark's own text sink commits them, a file for each, so
+a retried task leaves no half archive. Its line separator is an empty skippable frame, which Zstandard
+readers pass over; so every file is a plain .zst stream of records.
 
 Reading takes any archive that Spark can list: files come through the binaryFile source, frames are
 decoded one at a time, headers and lengths are validated, and a bad record or file becomes a row with
-its `error` set instead of failing the job or vanishing.
+its `error` set instead of failing the job or vanishing. That source holds a file in memory, so what
+is written here is rolled at ARCHIVE_BYTES, and a foreign file beyond MOST_BYTES is not read: it gives
+one row that says so.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import pyarrow as pa
@@ -36,6 +39,14 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DICT_BYTES = 32 << 10
 TRAIN_BYTES = 1 << 20
 LEVEL = 3
+#: Payload bytes of an archive; one record more may go in.
+ARCHIVE_BYTES = 64 << 20
+#: Bytes of the largest file that is read.
+MOST_BYTES = 1 << 30
+#: Shares of the pages of one payload, so that a payload of a third of all pages isn't one task's.
+SALTS = 16
+LONG_MAX = (1 << 63) - 1
+DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?", re.ASCII)
 
 FIELDS = [
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
@@ -49,8 +60,17 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(record: str | None) -> int | None:
-    body = (record or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(body) if body.lstrip("-").isdigit() else None
+    """The page of one of our record ids; None for ids of others, which are no long."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", record or "")
+    page = int(found[1]) if found else None
+    return page if page is not None and -LONG_MAX - 1 <= page <= LONG_MAX else None
+
+
+def length_of(text: str, name: str) -> int:
+    """A length as a header states it; ValueError for what is no number or no long."""
+    if not re.fullmatch(r"[0-9]{1,19}", text) or int(text) > LONG_MAX:
+        raise ValueError("bad " + name)
+    return int(text)
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, date: str) -> bytes:
@@ -83,58 +103,71 @@ def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
 def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """pages plus payload, digest, refers_to and revisit.
 
-    The pages of a payload are found by its digest in one shuffle; the build side has one row per
-    repeated payload, and adaptive execution splits a payload that a third of all pages share. Small
-    payloads get keys of their own so that they spread.
+    The pages of a payload are found by its digest in one shuffle; the build side has SALTS rows per
+    repeated payload, so that the pages of one that a third of all pages share are dealt to SALTS keys.
+    Small payloads get keys of their own so that they spread.
     """
     base = plain_keys(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.withColumn("digest", F.sha1("payload"))
     base = base.withColumn("_key", F.when(F.octet_length("payload") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    base = base.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     lead = base.where(F.octet_length("payload") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _lead is not null").drop("_n")
-    joined = base.join(lead.hint("shuffle_hash"), "_key", "left")
+    lead = lead.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = base.join(lead.hint("shuffle_hash"), ["_key", "_salt"], "left")
     revisit = F.col("_lead").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_lead")))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("_lead")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row of pages (page_id, url, html; a null html is an empty payload) into archives under path.
 
     Of rows with equal payloads of at least least_bytes, those of the largest page_id are responses
-    and the others revisit it (a null page_id counts as the smallest). An empty table writes no record.
+    and the others revisit it (a null page_id counts as the smallest; equal ones are all responses).
+    An empty table writes no record. An archive is closed once it has archive_bytes of payloads; a
+    text of more than that makes an archive of its own size.
     """
 
-    def frames(batches):
+    def archives(batches):
         pending: list[tuple] = []
-        size, packer = 0, None
-
-        def start():
-            trained = train([p[2][:16384] for p in pending if p[2]])
-            if trained is None:
-                return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True), []
-            raw = trained.as_bytes()
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True, write_checksum=True), [struct.pack("<II", DICT_FRAME_MAGIC, len(raw)) + raw]
+        frames: list[bytes] = []
+        size = held = 0
+        packer, lead = None, b""
 
-        def emit(rows, first=()):
-            return pa.RecordBatch.from_arrays([pa.array([*first, *(packer.compress(record_bytes(*r, date)) for r in rows)], pa.binary())], ["frame"])
+        def pack():
+            nonlocal packer, lead
+            if packer is None:
+                trained = train([p[2][:16384] for p in pending if p[2]])
+                given = {"level": LEVEL, "write_content_size": True, "write_checksum": True}
+                if trained is not None:
+                    raw = trained.as_bytes()
+                    given["dict_data"], lead = trained, struct.pack("<II", DICT_FRAME_MAGIC, len(raw)) + raw
+                packer = zstandard.ZstdCompressor(**given)
+            frames.extend(packer.compress(record_bytes(*r, date)) for r in pending)
+            pending.clear()
+
+        def closed():
+            out = pa.RecordBatch.from_arrays([pa.array([b"".join((lead, *frames))], pa.binary())], ["archive"])
+            frames.clear()
+            return out
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")), strict=True):
                 pending.append(row)
                 size += len(row[2])
-                if size >= TRAIN_BYTES:
-                    first = ()
-                    if packer is None:
-                        packer, first = start()
-                    yield emit(pending, first)
-                    pending, size = [], 0
+                held += len(row[2])
+                if size >= TRAIN_BYTES or held >= archive_bytes:
+                    pack()
+                    size = 0
+                if held >= archive_bytes:
+                    yield closed()
+                    held = 0
         if pending:
-            first = ()
-            if packer is None:
-                packer, first = start()
-            yield emit(pending, first)
+            pack()
+        if frames:
+            yield closed()
 
-    made = with_revisits(pages, least_bytes).mapInArrow(frames, "frame binary")
-    made.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
+    made = with_revisits(pages, least_bytes).mapInArrow(archives, "archive binary")
+    made.select(F.col("archive").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_record(raw: bytes) -> dict:
@@ -153,9 +186,9 @@ def parse_record(raw: bytes) -> dict:
         head[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
     if missing := [k for k in REQUIRED if not head.get(k)]:
         raise ValueError("missing header " + missing[0])
-    if not head["content-length"].isdigit():
-        raise ValueError("bad content-length")
-    block, length = raw[end + 4 :], int(head["content-length"])
+    if not DATE.fullmatch(head["warc-date"]):
+        raise ValueError("bad warc-date")
+    block, length = raw[end + 4 :], length_of(head["content-length"], "content-length")
     if len(block) != length + 4:
         raise ValueError(f"content-length {length}, block of {len(block) - 4}")
     if block[length:] != b"\r\n\r\n":
@@ -175,15 +208,15 @@ def parse_record(raw: bytes) -> dict:
         known = (base64.b32decode(digest) if len(digest) == 32 else bytes.fromhex(digest)).hex() if digest else None
     except ValueError:
         raise ValueError("bad payload digest") from None
-    stated = head.get("warc-payload-length")
-    if stated is not None and not stated.isdigit():
-        raise ValueError("bad payload length")
+    stated = length_of(head["warc-payload-length"], "payload length") if "warc-payload-length" in head else None
     if kind == "revisit":
-        return out | {"refers_to": page_of(head.get("warc-refers-to")), "payload_digest": known, "payload_bytes": int(stated) if stated is not None else None}
+        if not head.get("warc-profile"):
+            raise ValueError("a revisit without a profile")
+        return out | {"refers_to": page_of(head.get("warc-refers-to")), "payload_digest": known, "payload_bytes": stated}
     found = hashlib.sha1(payload).hexdigest()
     if known is not None and found != known:
         raise ValueError("the payload doesn't have its digest")
-    if stated is not None and int(stated) != len(payload):
+    if stated is not None and stated != len(payload):
         raise ValueError("the payload doesn't have its length")
     return out | {"payload": payload, "payload_digest": found, "payload_bytes": len(payload)}
 
@@ -214,7 +247,9 @@ def decode_frames(content: bytes):
             if at + 8 + size > len(view):
                 yield at, "truncated skippable frame"
                 return
-            if magic == DICT_FRAME_MAGIC and first:
+            if magic == DICT_FRAME_MAGIC and not first:
+                yield at, "a dictionary frame that doesn't lead"
+            elif magic == DICT_FRAME_MAGIC:
                 raw = bytes(view[at + 8 : at + 8 + size])
                 try:
                     if raw[:4] == struct.pack("<I", ZSTD_MAGIC):
@@ -242,11 +277,12 @@ def decode_frames(content: bytes):
         at = end
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The records of the archives under path, one row each, in no order.
 
-    A record that breaks the format, and the rest of a file that can't be decoded further, give a row
-    with `error` set and what is known of it. payload=False leaves the payload column null.
+    A record that breaks the format, the rest of a file that can't be decoded further, and a file of
+    more than most_bytes give a row with `error` set and what is known of it. Records of one id are
+    all there. payload=False leaves the payload column null.
     """
 
     def parse(batches):
@@ -269,4 +305,6 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, READ_SCHEMA)
+    files = spark.read.format("binaryFile").load(path)
+    unread = files.where(F.col("length") > most_bytes).select(F.col("path").alias("archive"), F.concat(F.lit("a file of "), F.col("length"), F.lit(" bytes is not read")).alias("error"))
+    return files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(parse, READ_SCHEMA).unionByName(unread, allowMissingColumns=True)

@@ -72,7 +72,70 @@ def test_warc_round_trip_and_damage(spark, tmp_path):
         assert got[k]["record_type"] == ("revisit" if revisit else "response") and got[k]["refers_to"] == (39 if revisit else None)
         assert revisit or bytes(got[k]["payload"]) == (html or "").encode()
     with pytest.raises(ValueError):
-        warc.parse_record(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: x\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+        warc.parse_record(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 2020-01-01\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+
+
+def test_warc_archives_roll_and_keep_repeated_pages(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(k, f"http://h/{k}", sentence(rng, 500)) for k in range(200)] + [(7, "again", None), (7, "again", None), (None, None, "x" * 3000), (None, "u", "x" * 3000), (300, "u", "x" * 3000), (300, "v", "x" * 3000)]
+    pages = spark.createDataFrame([(*r, 1, "clash") for r in rows], "page_id long, url string, html string, payload int, error string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages.repartition(2), path, archive_bytes=40_000)
+    got = warc.read_archives(spark, path).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["archive"], []).append(r["payload_bytes"])
+    assert len(per) > 8 and all(sum(x) - x[-1] < 50_000 for x in per.values())
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "", x[2])
+    assert sorted([(r["page_id"], r["url"], r["payload_bytes"]) for r in got], key=key) == sorted([(a, b, len(c or "")) for a, b, c in rows], key=key)
+    twins = [r for r in got if r["payload_bytes"] == 3000]
+    assert sorted((r["record_type"], r["refers_to"]) for r in twins if r["page_id"] is None) == [("revisit", 300)] * 2
+    assert [(r["record_type"], r["refers_to"]) for r in twins if r["page_id"] == 300] == [("response", None)] * 2
+
+    empty = str(tmp_path / "none")
+    warc.write_archives(pages.limit(0), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
+def record(date="2020-01-01T00:00:00Z", ident="<urn:page:1>", kind="response", **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": date, "Content-Length": "20", **{k.replace("_", "-"): v for k, v in more.items()}}
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\nHTTP/1.1 200 OK\r\n\r\nx\r\n\r\n").encode()
+
+
+def test_warc_damage_becomes_rows(spark, tmp_path):
+    import struct
+
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(write_checksum=True).compress
+    good = pack(record())
+    broken = bytearray(good)
+    broken[-1] ^= 1
+    lead = lambda x: struct.pack("<II", warc.DICT_FRAME_MAGIC, len(x)) + x
+    huge = "9" * 20
+    files = {
+        "whole": (good + pack(record(ident="<urn:page:2>")), [None, None]),
+        "cut": (good + good[:-3], [None, "truncated frame"]),
+        "sum": (bytes(broken), ["bad frame"]),
+        "foreign": (b"GIF89a, and so on", ["not a Zstandard frame"]),
+        "late": (good + lead(b"d" * 16) + good, [None, "a dictionary frame that doesn't lead", None]),
+        "dictionary": (lead(struct.pack("<I", warc.ZSTD_MAGIC) + b"no frame") + good, ["bad dictionary"]),
+        "skip": (good + struct.pack("<II", 0x184D2A50, 99) + b"x", [None, "truncated skippable frame"]),
+        "long": (pack(record(WARC_Payload_Length=huge)) + pack(record(ident=f"<urn:page:{huge}>")), ["bad payload length", None]),
+        "date": (pack(record(date="yesterday")) + pack(record(kind="revisit")), ["bad warc-date", "a revisit without a profile"]),
+        "head": (pack(b"WARC/1.1\r\n") + pack(record().replace(b"1.1", b"9.9", 1)) + pack(record(WARC_Payload_Digest="md5:00")), ["the header has no end", "unknown version line", "unknown digest"]),
+        "empty": (b"", []),
+        "large": (good * 40, ["a file of"]),
+    }
+    for name, (content, _) in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for r in warc.read_archives(spark, str(tmp_path), most_bytes=len(good) * 39).orderBy("archive", "position").collect():
+        got.setdefault(r["archive"].rsplit("/", 1)[1], []).append(r)
+    for name, (_, errors) in files.items():
+        found = [r["error"] for r in got.get(name, [])]
+        assert len(found) == len(errors) and all((a is None) == (b is None) and (b is None or a.startswith(b)) for a, b in zip(found, errors, strict=True)), (name, found)
+    assert [r["page_id"] for r in got["whole"]] == [1, 2] and got["long"][1]["page_id"] is None
 
 
 def test_rules_count_as_brute_force(odd):
