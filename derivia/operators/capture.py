@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,20 @@ def keyed(d: Definition, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(d.def_id).cast("long").alias("def_id"), row_key(d.pk).alias("row_key"), row_order(d.pk, dict(rows.dtypes)).alias("row_order"), source_hash(d.sources).alias("source_hash"))
 
 
+def keyed_all(defs: list[Definition], rows: DataFrame) -> DataFrame:
+    """keyed of several definitions of one table with one key, in one scan; a set of sources is hashed once."""
+    pk = defs[0].pk
+    hashes = {s: f"_hash_{k}" for k, s in enumerate(dict.fromkeys(d.sources for d in defs))}
+    once = rows.select(row_key(pk).alias("row_key"), row_order(pk, dict(rows.dtypes)).alias("row_order"), *[source_hash(s).alias(h) for s, h in hashes.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(d.def_id).cast("long").alias("def_id"), F.col(hashes[d.sources]).alias("source_hash")) for d in defs]))
+    return once.select("row_key", "row_order", each.alias("_each")).select("_each.def_id", "row_key", "row_order", "_each.source_hash")
+
+
+def by_definition(values: dict[int, object]) -> Column:
+    """The value that belongs to the row's def_id; there are as many as declarations."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k).cast("long"), F.lit(v))])[F.col("def_id")]
+
+
 def check_key(rows: DataFrame, pk) -> None:
     """Raise unless the key columns are never null and never repeat."""
     bad = rows.groupBy(*pk).count().where(F.col("count").__gt__(1) | F.expr(" or ".join(f"`{c}` is null" for c in pk)))
@@ -43,16 +58,16 @@ def enqueued(state: State, todo: DataFrame, now) -> State:
     return state.put(jobs=fresh.union(state.jobs.where(~is_live()).select(*fresh.columns)))
 
 
-def needing_work(state: State, d: Definition, keys: DataFrame, backfill: bool) -> DataFrame:
-    """Rows without a current value on their sources under the present version.
+def needing_work(state: State, defs: list[Definition], keys: DataFrame, backfill: bool) -> DataFrame:
+    """Rows of the definitions without a current value on their sources under the present version.
 
     A scan of the table passes over what people set; a change of sources only under the policy 'pin'.
     """
-    current = state.results.where(F.col("is_current") & (F.col("def_id") == d.def_id))
+    current = state.results.where(F.col("is_current") & F.col("def_id").isin([d.def_id for d in defs]))
     human = F.col("source") == "human"
-    blocks = human if backfill or d.config["override_policy"] == "pin" else F.lit(False)
-    held = current.select("row_key", F.col("source_hash").alias("_hash"), blocks.alias("_pinned"), (~human & (F.col("version") == d.current.number)).alias("_now"))
-    joined = keys.join(held, "row_key", "left")
+    blocks = human & by_definition({d.def_id: backfill or d.config["override_policy"] == "pin" for d in defs})
+    held = current.select(*KEY, F.col("source_hash").alias("_hash"), blocks.alias("_pinned"), (~human & (F.col("version") == by_definition({d.def_id: d.current.number for d in defs}))).alias("_now"))
+    joined = keys.join(held, KEY, "left")
     fine = F.coalesce(F.col("_pinned") | (F.col("_now") & (F.col("_hash") == F.col("source_hash"))), F.lit(False))
     return joined.where(~fine).select(*KEY, "row_order", "source_hash")
 
@@ -66,7 +81,7 @@ def changed_rows(d: Definition, before: DataFrame, after: DataFrame) -> DataFram
 def captured(state: State, d: Definition, before: DataFrame, after: DataFrame, now) -> State:
     """Apply the difference of two snapshots: queue what changed, take over values set by people, forget what is gone - in that order, so that a person's value wins."""
     if d.enabled and not d.deleted:
-        state = enqueued(state, needing_work(state, d, changed_rows(d, before, after), False), now)
+        state = enqueued(state, needing_work(state, [d], changed_rows(d, before, after), False), now)
     if d.column in before.columns and d.column in after.columns:
         was = before.select(row_key(d.pk).alias("row_key"), F.col(f"`{d.column}`").alias("_was"))
         own = as_json(d.output_type, F.col("_is"))
@@ -110,7 +125,7 @@ def backfill_step(state: State, d: Definition, rows: DataFrame, now) -> tuple[St
     part = left.orderBy(*[F.col(f"`{c}`") for c in d.pk]).limit(chunk)
     seen = part.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*[F.col(f"`{c}`") for c in d.pk])).alias("last")).first()
     last = tuple(seen["last"]) if seen["n"] else d.backfill_cursor
-    todo = needing_work(state, d, keyed(d, part), True)
+    todo = needing_work(state, [d], keyed(d, part), True)
     d = replace(d, backfill_scanned=d.backfill_scanned + seen["n"], backfill_cursor=last, backfill_pending=seen["n"] == chunk)
     state = enqueued(state, todo, now)
     return replace(state, catalog=state.catalog.put(d)), d, seen["n"]
@@ -118,9 +133,21 @@ def backfill_step(state: State, d: Definition, rows: DataFrame, now) -> tuple[St
 
 def backfilled(state: State, d: Definition, rows: DataFrame, now) -> tuple[State, Definition]:
     """Scan the whole table in one pass: what Spark does where the reference design needs chunks."""
-    state = enqueued(state, needing_work(state, d, keyed(d, rows), True), now).materialized("jobs")
-    d = replace(d, backfill_pending=False, backfill_scanned=rows.count())
-    return replace(state, catalog=state.catalog.put(d)), d
+    state, (d,) = backfilled_all(state, [d], rows, now)
+    return state, d
+
+
+def backfilled_all(state: State, defs: list[Definition], rows: DataFrame, now) -> tuple[State, list[Definition]]:
+    """backfilled for several definitions of one table: a scan for each key, one join with the results, one write of the jobs. All are queued at once."""
+    if not defs:
+        return state, []
+    keys = reduce(DataFrame.union, [keyed_all([d for d in defs if d.pk == pk], rows) for pk in dict.fromkeys(d.pk for d in defs)])
+    state = enqueued(state, needing_work(state, defs, keys, True), now).materialized("jobs")
+    n = rows.count()
+    defs = [replace(d, backfill_pending=False, backfill_scanned=n) for d in defs]
+    for d in defs:
+        state = replace(state, catalog=state.catalog.put(d))
+    return state, defs
 
 
 def driven(state: State, tables: dict[str, DataFrame], now, open_ids: set[int], steps: int = 10) -> State:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import row_key, source_hash, source_text, value_error
-from derivia.operators.capture import KEY, enqueued, is_live, keyed
+from derivia.operators.capture import KEY, by_definition, enqueued, is_live, keyed
 from derivia.plans.catalog import Definition
 from derivia.plans.state import State, materialized
 
@@ -52,44 +52,44 @@ def claimable(state: State, now, open_ids: set[int]) -> DataFrame:
 
 
 def picked(state: State, now, open_ids: set[int], batch_size: int | None) -> DataFrame:
-    """Keys of the jobs to claim: the first by (next_attempt_at, when queued, key), and ready decision jobs on the same rows for the same model, whatever their definition."""
+    """Keys and attempts of the jobs to claim: the first by (next_attempt_at, when queued, key), and ready decision jobs on the same rows for the same model, whatever their definition."""
     ready = claimable(state, now, open_ids)
     defs = {d.def_id: d for d in state.catalog.defs}
+    job = [*KEY, "attempts"]
     if batch_size is None:
-        return ready.select(*KEY)
-    first = materialized(ready.orderBy("next_attempt_at", "seq", "def_id", "row_order").limit(batch_size).select(*KEY, "row_order"), "picked")
+        return ready.select(*job)
+    first = materialized(ready.orderBy("next_attempt_at", "seq", "def_id", "row_order").limit(batch_size).select(*job), "picked")
     decisions = [d for d in defs.values() if d.def_id in open_ids and d.current.backend == "decision"]
-    out = first.select(*KEY)
+    out = first.select(*job)
     for same in {(d.table, d.current.model) for d in decisions}:
         ids = [d.def_id for d in decisions if (d.table, d.current.model) == same]
         rows = first.where(F.col("def_id").isin(ids)).select("row_key").distinct()
-        out = out.union(ready.where(F.col("def_id").isin(ids)).join(rows, "row_key", "left_semi").select(*KEY))
+        out = out.union(ready.where(F.col("def_id").isin(ids)).join(rows, "row_key", "left_semi").select(*job))
     return out.distinct()
 
 
 def claim(state: State, tables: dict[str, DataFrame], worker: str, now, batch_size: int | None = 20, backends: list[str] | None = None) -> tuple[State, DataFrame]:
-    """Claim ready jobs and read their sources as they are now; jobs whose row is gone are dropped. Without a batch size all ready jobs are claimed, in one pass."""
+    """Claim ready jobs and read their sources as they are now; jobs whose row is gone are dropped. Without a batch size all ready jobs are claimed, in one pass.
+
+    Definitions on the same sources of a table share one scan of it.
+    """
     ids = open_definitions(state, now, backends)
-    keys = materialized(picked(state, now, ids, batch_size), "claim")
-    sources = []
-    for d in state.catalog.defs:
-        if d.def_id in ids:
-            rows = tables[d.table]
-            sources.append(rows.select(F.lit(d.def_id).cast("long").alias("def_id"), row_key(d.pk).alias("row_key"), source_hash(d.sources).alias("_now"), source_text(d.sources, dict(rows.dtypes)).alias("text"), F.lit(d.current.number).alias("version")))
-    if not sources:
+    defs = [d for d in state.catalog.defs if d.def_id in ids]
+    if not defs:
         return state, state.jobs.sparkSession.createDataFrame([], CLAIMED)
-    present = reduce(DataFrame.union, sources)
-    claimed = materialized(keys.join(present, KEY), "claimed")
-    hit = keys.join(claimed.select(*KEY, "version", "_now"), KEY, "left").withColumn("_picked", F.lit(True))
-    j = state.jobs.join(hit, KEY, "left")
+    places = {p: k for k, p in enumerate(dict.fromkeys((d.table, d.pk, d.sources) for d in defs))}
+    read = [tables[t].select(F.lit(k).alias("_place"), row_key(pk).alias("row_key"), source_hash(s).alias("_now"), source_text(s, dict(tables[t].dtypes)).alias("text")) for (t, pk, s), k in places.items()]
+    keys = picked(state, now, ids, batch_size).withColumn("_place", by_definition({d.def_id: places[d.table, d.pk, d.sources] for d in defs}))
+    found = keys.join(reduce(DataFrame.union, read), ["_place", "row_key"], "left").withColumn("version", by_definition({d.def_id: d.current.number for d in defs}))
+    found = materialized(found.select(*KEY, "version", "_now", "text", F.col("attempts") + 1).toDF(*KEY, "version", "_now", "text", "attempts"), "claimed")
+    j = state.jobs.join(found.select(*KEY, "version", "_now", F.lit(True).alias("_picked")), KEY, "left")
     take = is_live() & F.col("_picked").isNotNull()
-    j = j.where(~take | F.col("version").isNotNull())
+    j = j.where(~take | F.col("_now").isNotNull())
     when = lambda new, old: F.when(take, new).otherwise(F.col(old)).alias(old)
     changed = [when(F.lit("claimed"), "status"), when(F.col("attempts") + 1, "attempts"), when(F.lit(worker), "claimed_by"), when(F.lit(now), "claimed_at"), when(F.col("version"), "claimed_version"), when(F.col("_now"), "source_hash")]
     same = [c for c in state.jobs.columns if c not in ("status", "attempts", "claimed_by", "claimed_at", "claimed_version", "source_hash")]
     state = state.put(jobs=j.select(*same, *changed)).materialized("jobs")
-    out = claimed.join(state.jobs.where("status = 'claimed'").select(*KEY, "attempts", "source_hash"), KEY)
-    return state, out.select(*KEY, "version", "source_hash", "text", "attempts")
+    return state, found.where("_now is not null").select(*KEY, "version", F.col("_now").alias("source_hash"), "text", "attempts")
 
 
 def classified(state: State, computed: DataFrame) -> DataFrame:
@@ -131,23 +131,27 @@ def complete(state: State, computed: DataFrame, now) -> tuple[State, DataFrame]:
     cells = state.cells.join(written.select(*KEY), KEY, "left_anti").union(written)
     more = kept.groupBy("def_id").agg(F.coalesce(F.sum(F.col("cost").cast("decimal(38,12)")), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("results")).select("def_id", F.lit(now.date()).alias("day"), "cost", "results")
     spend = state.spend.union(more.select(*state.spend.columns)).groupBy("def_id", "day").agg(F.sum("cost").alias("cost"), F.sum("results").alias("results"))
-    jobs = state.jobs.join(c.select(*KEY, "outcome").where("outcome not in ('cancelled', 'failed', 'rejected')"), KEY, "left")
-    live = (F.col("status") == "claimed") & F.col("outcome").isNotNull()
+    wrong = F.col("outcome").isin("failed", "rejected")
+    jobs = state.jobs.join(c.where("outcome <> 'cancelled'").select(*KEY, "outcome", F.when(wrong, F.coalesce(F.substring("error", 1, 2000), F.lit(""))).alias("_error"), "retryable"), KEY, "left")
+    live = (F.col("status") == "claimed") & F.col("outcome").isNotNull() & ~wrong
     again = live & (F.col("outcome") == "stale_requeued")
-    done = jobs.withColumns({"status": F.when(again, "pending").when(live, "done").otherwise(F.col("status")), "next_attempt_at": F.when(again, F.lit(now)).otherwise(F.col("next_attempt_at")), "claimed_version": F.when(again, None).otherwise(F.col("claimed_version")), "updated_at": F.when(live, F.lit(now)).otherwise(F.col("updated_at"))}).drop("outcome")
-    state = state.put(jobs=done, results=retired.unionByName(rows, allowMissingColumns=True), spend=spend, cells=cells)
-    state = failed(state, c.where("outcome in ('failed', 'rejected')").select(*KEY, "error", "retryable"), now).materialized()
+    done = jobs.withColumns({"status": F.when(again, "pending").when(live, "done").otherwise(F.col("status")), "next_attempt_at": F.when(again, F.lit(now)).otherwise(F.col("next_attempt_at")), "claimed_version": F.when(again, None).otherwise(F.col("claimed_version")), "updated_at": F.when(live, F.lit(now)).otherwise(F.col("updated_at"))})
+    state = state.put(jobs=backed_off(state, done, now), results=retired.unionByName(rows, allowMissingColumns=True), spend=spend, cells=cells).materialized()
     return state, c.select(*KEY, F.regexp_replace("outcome", "_done$", "").alias("outcome"), "error")
 
 
 def failed(state: State, errors: DataFrame, now) -> State:
     """Failed claims (def_id, row_key, error, retryable): dead when final or out of attempts, else pending after base * 2^(attempts - 1) seconds."""
-    limits = F.broadcast(state.defs().select("def_id", "max_attempts", "backoff"))
-    j = state.jobs.join(errors.select(*KEY, F.substring("error", 1, 2000).alias("_error"), "retryable"), KEY, "left").join(limits, "def_id", "left")
+    return state.put(jobs=backed_off(state, state.jobs.join(errors.select(*KEY, F.substring("error", 1, 2000).alias("_error"), "retryable"), KEY, "left"), now))
+
+
+def backed_off(state: State, jobs: DataFrame, now) -> DataFrame:
+    """Jobs after the failures in their columns `_error` and `retryable`."""
+    j = jobs.join(F.broadcast(state.defs().select("def_id", "max_attempts", "backoff")), "def_id", "left")
     hit = (F.col("status") == "claimed") & F.col("_error").isNotNull()
     dead = hit & (~F.col("retryable") | (F.col("attempts") >= F.col("max_attempts")))
     wait = F.make_dt_interval(secs=(F.col("backoff") * F.pow(F.lit(2.0), F.col("attempts") - 1)).cast("decimal(18,6)"))
-    return state.put(jobs=j.withColumns({"next_attempt_at": F.when(hit & ~dead, F.lit(now) + wait).otherwise(F.col("next_attempt_at")), "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error")), "status": F.when(dead, "dead").when(hit, "pending").otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))}))
+    return j.withColumns({"next_attempt_at": F.when(hit & ~dead, F.lit(now) + wait).otherwise(F.col("next_attempt_at")), "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error")), "status": F.when(dead, "dead").when(hit, "pending").otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))})
 
 
 def reclaimed(state: State, now, timeout: dt.timedelta = dt.timedelta(minutes=5)) -> State:

@@ -58,7 +58,7 @@ def filled(spark, rows, name, pk, sources, provider=None, **options):
     """A declared column with all rows scanned, computed and completed in one pass each."""
     state, d = declared(spark, rows, name, pk, sources, **options)
     state, d = capture.backfilled(state, d, rows, NOW)
-    state, claimed = contract.claim(state.materialized("jobs"), {name: rows}, "w", NOW, None)
+    state, claimed = contract.claim(state, {name: rows}, "w", NOW, None)
     state, outcomes = contract.complete(state, compute.computed(state, claimed, provider or HashProvider()), NOW)
     return state, state.catalog.by_id(d.def_id), outcomes
 
@@ -117,7 +117,7 @@ def q_stale_after_update(spark, sf):
     rows, state, d, _ = orders_state(spark, sf)
     state = contract.redefined(state, "orders", "derived", NOW, prompt=PROMPT_2)
     state, d = capture.backfilled(state, state.catalog.find("orders", "derived"), rows, NOW)
-    state, claimed = contract.claim(state.materialized("jobs"), {"orders": rows}, "w", NOW, 500)
+    state, claimed = contract.claim(state, {"orders": rows}, "w", NOW, 500)
     state, _ = contract.complete(state, compute.computed(state, claimed, HashProvider()), NOW)
     return views.stale_rows(state).select(order_key(), "value", "version", "current_version")
 
@@ -194,9 +194,8 @@ def three_columns(spark, sf):
     state, _, _ = on_documents(spark, sf)
     state, b = declared(spark, rows, "documents", ("doc_id",), ("text",), "boolean", {}, state, "flag", prompt="Is it?")
     state, c = declared(spark, rows, "documents", ("doc_id",), ("text",), "enum", None, state, "shaky", prompt="Which?", config={"budget_usd": 0.001, "max_attempts": 1})
-    state, b = capture.backfilled(state, b, rows, NOW)
-    state, c = capture.backfilled(state, c, rows, NOW)
-    state, claimed = contract.claim(state.materialized("jobs"), {"documents": rows}, "w", NOW, None)
+    state, _ = capture.backfilled_all(state, [b, c], rows, NOW)
+    state, claimed = contract.claim(state, {"documents": rows}, "w", NOW, None)
     return contract.complete(state, compute.computed(state, claimed, HashProvider(fail_below=8)), NOW)[0]
 
 
@@ -326,10 +325,9 @@ def decision_state(spark, sf, n: int = 19):
     rows = documents(spark, sf)
     state = State.empty(spark)
     for k in range(n):
-        state, d = declared(spark, rows, "documents", ("doc_id",), ("text",), "boolean", {}, state, f"flag_{k}", prompt=f"Is it {k}?", backend="decision")
-        state, _ = capture.backfilled(state, d, rows, NOW)
-        state = state.materialized("jobs") if k % 6 == 5 else state
-    return contract.claim(state.materialized("jobs"), {"documents": rows}, "w", NOW, None)
+        state, _ = declared(spark, rows, "documents", ("doc_id",), ("text",), "boolean", {}, state, f"flag_{k}", prompt=f"Is it {k}?", backend="decision")
+    state, _ = capture.backfilled_all(state, list(state.catalog.defs), rows, NOW)
+    return contract.claim(state, {"documents": rows}, "w", NOW, None)
 
 
 def q_decision_fanout(spark, sf):
