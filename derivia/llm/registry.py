@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from derivia.llm.audit import oracle as audit_oracle
 from derivia.llm.common import fresh_path, table
 from derivia.llm.perspectives import oracle as perspectives_oracle
 from derivia.llm.rollup import oracle as rollup_oracle
@@ -82,6 +83,12 @@ def op10_delta_rollup(spark, sf_dir):
     return document_rollup(table(spark, sf_dir, "documents"), {"byte_bpe_50k-1": tokenizer_path(), "piece_bpe_32k-1": tokenizer_path("piece_bpe_32k.model")}, fresh_path(spark, "rollup"))
 
 
+def op11_order_replay_audit(spark, sf_dir):
+    from derivia.llm.audit import interaction_audit
+
+    return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def rollup_words_bytes(spark, sf_dir):
     """op10's deliveries with counts that SQL can tell."""
     from derivia.llm.rollup import word_rollup
@@ -100,6 +107,7 @@ ORACLE: dict[str, str] = {
         FROM g""",
     "op2_risk_controlled_rules": rules_oracle(),
     "op4_perspective_rotation": perspectives_oracle(),
+    "op11_order_replay_audit": audit_oracle(),
     "rollup_words_bytes": rollup_oracle(),
 }
 
