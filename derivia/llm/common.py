@@ -132,12 +132,13 @@ def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
 class Words:
     """The words of a text column: bytes, start and end of each word, and the row it is in."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, apart: np.ndarray = SPACE):
+        """apart: the bytes that stand between words."""
         self.data, self.rows = text_buffer(column)
         if lower:
             self.data = LOWER[self.data]
         n = len(self.data)
-        inside = ~SPACE[self.data]
+        inside = ~apart[self.data]
         first = np.zeros(n + 1, bool)
         first[self.rows] = True  # a row's first byte, and the end
         before = np.concatenate([[False], inside[:-1]]) if n else inside

@@ -9,6 +9,7 @@ from derivia.llm.common import fresh_path, table
 from derivia.llm.perspectives import oracle as perspectives_oracle
 from derivia.llm.rollup import oracle as rollup_oracle
 from derivia.llm.rules import oracle as rules_oracle
+from derivia.llm.search import oracle as search_oracle
 
 
 #: Weights of the domains after mixing: less of what is toxic or of low quality than there is.
@@ -89,6 +90,12 @@ def op11_order_replay_audit(spark, sf_dir):
     return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_impact_ordered_search(spark, sf_dir):
+    from derivia.llm.search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def rollup_words_bytes(spark, sf_dir):
     """op10's deliveries with counts that SQL can tell."""
     from derivia.llm.rollup import word_rollup
@@ -108,6 +115,7 @@ ORACLE: dict[str, str] = {
     "op2_risk_controlled_rules": rules_oracle(),
     "op4_perspective_rotation": perspectives_oracle(),
     "op11_order_replay_audit": audit_oracle(),
+    "op13_impact_ordered_search": search_oracle(),
     "rollup_words_bytes": rollup_oracle(),
 }
 
