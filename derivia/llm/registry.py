@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from derivia.llm.audit import oracle as audit_oracle
 from derivia.llm.common import fresh_path, table
 from derivia.llm.perspectives import oracle as perspectives_oracle
+from derivia.llm.pii import oracle as pii_oracle
 from derivia.llm.rollup import oracle as rollup_oracle
 from derivia.llm.rules import oracle as rules_oracle
 from derivia.llm.search import oracle as search_oracle
@@ -90,6 +91,19 @@ def op11_order_replay_audit(spark, sf_dir):
     return interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_weak_supervision_pii(spark, sf_dir):
+    from derivia.llm.pii import personal
+
+    return personal(table(spark, sf_dir, "documents"))
+
+
+def pii_base_patterns(spark, sf_dir):
+    """op12's columns that SQL can tell."""
+    from derivia.llm.pii import base_only
+
+    return base_only(table(spark, sf_dir, "documents"))
+
+
 def op13_impact_ordered_search(spark, sf_dir):
     from derivia.llm.search import ranked
 
@@ -116,6 +130,7 @@ ORACLE: dict[str, str] = {
     "op4_perspective_rotation": perspectives_oracle(),
     "op11_order_replay_audit": audit_oracle(),
     "op13_impact_ordered_search": search_oracle(),
+    "pii_base_patterns": pii_oracle(),
     "rollup_words_bytes": rollup_oracle(),
 }
 
@@ -123,7 +138,7 @@ ORACLE: dict[str, str] = {
 def queries():
     import corpus_pipeline
 
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"rollup_words_bytes": rollup_words_bytes, "pipeline": corpus_pipeline.run}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pii_base_patterns": pii_base_patterns, "rollup_words_bytes": rollup_words_bytes, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
