@@ -150,6 +150,14 @@ def backfilled_all(state: State, defs: list[Definition], rows: DataFrame, now) -
     return state, defs
 
 
+def scanned(state: State, tables: dict[str, DataFrame], now, open_ids: set[int]) -> State:
+    """Carry running scans of enabled definitions within budget to their end, those of a table together."""
+    running = [d for d in state.catalog.defs if d.backfill_pending and d.enabled and not d.deleted and d.def_id in open_ids]
+    for name in dict.fromkeys(d.table for d in running):
+        state, _ = backfilled_all(state, [d for d in running if d.table == name], tables[name], now)
+    return state
+
+
 def driven(state: State, tables: dict[str, DataFrame], now, open_ids: set[int], steps: int = 10) -> State:
     """Continue running scans of enabled definitions within budget until a chunk of pending jobs waits, `steps` chunks at most."""
     for d in state.catalog.defs:
