@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from derivia.functions.keys import as_json, keyset_after, row_key, row_order, source_hash
 from derivia.plans.catalog import Definition
-from derivia.plans.state import State
+from derivia.plans.state import RESULTS, Layer, State, conform, counted
 
 LIVE = ("pending", "claimed")
 KEY = ["def_id", "row_key"]
@@ -46,16 +46,43 @@ def check_key(rows: DataFrame, pk) -> None:
         raise ValueError(f"{', '.join(pk)} isn't a key: it is null or repeats")
 
 
+def declared(state: State, rows: DataFrame, table: str, column: str, pk, sources, output_type: str, **options) -> tuple[State, Definition]:
+    """A new derived column of a table whose rows are at hand: names and types are checked against them, and that pk is a key, unless another column of the table has the same."""
+    catalog, d = state.catalog.add_column(table, column, pk, sources, output_type, fields=dict(rows.dtypes), **options)
+    if not any((x.table, x.pk, x.deleted) == (table, d.pk, False) for x in state.catalog.defs):
+        check_key(rows, d.pk)
+    return replace(state, catalog=catalog), d
+
+
 def enqueued(state: State, todo: DataFrame, now) -> State:
-    """Queue rows (def_id, row_key, row_order, source_hash): a live job only gets the new hash, others become pending."""
+    """Queue rows (def_id, row_key, row_order, source_hash): a live job only gets the new hash, others become pending. What is written are these rows."""
     t = todo.select(*KEY, F.col("row_order").alias("_order"), F.col("source_hash").alias("_hash"))
-    live = state.jobs.where(is_live()).join(t, KEY, "full_outer")
+    rows = t.join(state.jobs.where(is_live()), KEY, "left").where(~F.col("_hash").eqNullSafe(F.col("source_hash")))
     known = F.col("status").isNotNull()
-    fresh = live.select(
-        *KEY, F.coalesce("row_order", "_order").alias("row_order"), F.coalesce("_hash", "source_hash").alias("source_hash"), F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
+    return state.changed(jobs=rows.select(
+        *KEY, F.coalesce("row_order", "_order").alias("row_order"), F.col("_hash").alias("source_hash"), F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
         F.coalesce("next_attempt_at", F.lit(now)).alias("next_attempt_at"), "claimed_by", "claimed_at", "claimed_version", "last_error", F.when(known, F.col("seq")).otherwise(F.lit(state.seq)).alias("seq"), F.coalesce("updated_at", F.lit(now)).alias("updated_at"),
-    )
-    return state.put(jobs=fresh.union(state.jobs.where(~is_live()).select(*fresh.columns)))
+    ))
+
+
+def retired(state: State, keys: DataFrame) -> DataFrame:
+    """The current results of the keys (def_id, row_key), current no more."""
+    return state.results.where("is_current").join(keys.select(*KEY).distinct(), KEY, "left_semi").withColumn("is_current", F.lit(False))
+
+
+def with_state(state: State, rows: DataFrame, name: str) -> Layer:
+    """The rows, with the live job and the current result of their keys as structs `_job` and `_old`; written."""
+    live = state.jobs.where(is_live()).select(*KEY, F.struct(*state.jobs.columns).alias("_job"))
+    current = state.results.where("is_current").select(*KEY, F.struct(*state.results.columns).alias("_old"))
+    return counted(rows.join(live, KEY, "left").join(current, KEY, "left"), name)
+
+
+def without_jobs(found: DataFrame) -> DataFrame:
+    return found.where("_job is not null").select("_job.*").withColumn("_gone", F.lit(True))
+
+
+def without_current(found: DataFrame) -> DataFrame:
+    return conform(found.where("_old is not null").select("_old.*").withColumn("is_current", F.lit(False)), RESULTS)
 
 
 def needing_work(state: State, defs: list[Definition], keys: DataFrame, backfill: bool) -> DataFrame:
@@ -92,24 +119,23 @@ def captured(state: State, d: Definition, before: DataFrame, after: DataFrame, n
 
 def overridden(state: State, d: Definition, values: DataFrame, now) -> State:
     """People's values (row_key, row_order, source_hash, value as JSON): they become current and end live jobs; null asks for a new computation instead."""
-    hit = values.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", F.lit(True).alias("_hit"))
-    kept = state.results.join(hit, KEY, "left").withColumn("is_current", F.col("is_current") & F.col("_hit").isNull()).drop("_hit")
-    human = values.where("value is not null")
-    rows = human.select(F.lit(d.def_id).alias("def_id"), "row_key", "source_hash", "value", F.lit("human").alias("source"), F.lit(True).alias("is_current"), F.lit(True).alias("written"), F.lit(state.seq).alias("seq"), F.lit(now).alias("created_at"))
-    cells = state.cells.join(hit.drop("_hit"), KEY, "left_anti").union(human.select(F.lit(d.def_id).cast("long"), "row_key", "value"))
-    jobs = state.jobs.join(human.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", F.lit(True).alias("_hit")), KEY, "left").where(~is_live() | F.col("_hit").isNull()).drop("_hit")
-    state = state.put(results=kept.unionByName(rows, allowMissingColumns=True), cells=cells, jobs=jobs)
-    if not d.enabled:
+    found = with_state(state, values.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", "row_order", "source_hash", "value"), "overrides")
+    if not found.n:
         return state
-    return enqueued(state, values.where("value is null").select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", "row_order", "source_hash"), now)
+    human = found.rows.where("value is not null")
+    rows = human.select(*KEY, "source_hash", "value", F.lit("human").alias("source"), F.lit(True).alias("is_current"), F.lit(True).alias("written"), F.lit(state.seq).alias("seq"), F.lit(now).alias("created_at"))
+    sizes = {"results": 2 * found.n, "cells": found.n, "jobs": found.n}
+    state = state.changed(sizes, results=conform(rows, RESULTS).union(without_current(found.rows)), cells=found.rows.select(*KEY, "value", F.col("value").isNull().alias("_gone")), jobs=without_jobs(human))
+    return enqueued(state, found.rows.where("value is null").select(*KEY, "row_order", "source_hash"), now) if d.enabled else state
 
 
 def forgotten(state: State, d: Definition, gone: DataFrame) -> State:
     """Rows that no longer exist: nothing of theirs is current or live; history stays."""
-    hit = gone.select("def_id", "row_key", F.lit(True).alias("_gone"))
-    results = state.results.join(hit, KEY, "left").withColumn("is_current", F.col("is_current") & F.col("_gone").isNull()).drop("_gone")
-    jobs = state.jobs.join(hit, KEY, "left").where(~is_live() | F.col("_gone").isNull()).drop("_gone")
-    return state.put(results=results, jobs=jobs, cells=state.cells.join(hit.drop("_gone"), KEY, "left_anti"))
+    found = with_state(state, gone.select("def_id", "row_key"), "gone")
+    if not found.n:
+        return state
+    sizes = {"results": found.n, "cells": found.n, "jobs": found.n}
+    return state.changed(sizes, results=without_current(found.rows), jobs=without_jobs(found.rows), cells=found.rows.select(*KEY, F.lit(True).alias("_gone")))
 
 
 def forgotten_missing(state: State, d: Definition, rows: DataFrame) -> State:

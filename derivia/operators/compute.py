@@ -50,11 +50,15 @@ def derived(jobs: DataFrame, d: Definition, provider: Provider) -> DataFrame:
     s = settings(d)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(1, int(s["config"]["concurrency"]))) as pool:
+        threads = max(1, int(s["config"]["concurrency"]))
+        one = lambda x: row_of(x, tried(lambda: [provider.derive(s | x)], 1)[0], s["config"])
+        with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                todo = [s | x for x in batch.to_dict("records")]
-                answers = pool.map(lambda j: tried(lambda: [provider.derive(j)], 1)[0], todo)
-                yield frame([row_of(j, a, s["config"]) for j, a in zip(todo, answers, strict=True)])
+                todo = batch.to_dict("records")
+                # a thread takes some rows at a time, but leaves enough for the others
+                part = max(1, min(32, len(todo) // (4 * threads)))
+                parts = pool.map(lambda k: [one(x) for x in todo[k : k + part]], range(0, len(todo), part))  # noqa: B023
+                yield frame([r for p in parts for r in p])
 
     return jobs.mapInPandas(run, COMPUTED)
 

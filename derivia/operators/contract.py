@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import replace
 from functools import reduce
 
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import row_key, source_hash, source_text, value_error
-from derivia.operators.capture import KEY, by_definition, enqueued, is_live, keyed
+from derivia.operators.capture import KEY, by_definition, enqueued, is_live, keyed, retired
 from derivia.plans.catalog import Definition
-from derivia.plans.state import State, materialized
+from derivia.plans.state import FEW_ROWS, RESULTS, SPEND, State, conform, counted, materialized
 
 #: What tells the newest of a row's dead jobs.
 NEWEST = ("seq", "updated_at", "attempts", "last_error")
@@ -52,26 +53,26 @@ def claimable(state: State, now, open_ids: set[int]) -> DataFrame:
 
 
 def picked(state: State, now, open_ids: set[int], batch_size: int | None) -> DataFrame:
-    """Keys and attempts of the jobs to claim: the first by (next_attempt_at, when queued, key), and ready decision jobs on the same rows for the same model, whatever their definition."""
+    """The jobs to claim: the first by (next_attempt_at, when queued, key), and ready decision jobs on the same rows for the same model, whatever their definition."""
     ready = claimable(state, now, open_ids)
-    defs = {d.def_id: d for d in state.catalog.defs}
-    job = [*KEY, "attempts"]
     if batch_size is None:
-        return ready.select(*job)
-    first = materialized(ready.orderBy("next_attempt_at", "seq", "def_id", "row_order").limit(batch_size).select(*job), "picked")
-    decisions = [d for d in defs.values() if d.def_id in open_ids and d.current.backend == "decision"]
-    out = first.select(*job)
+        return ready
+    first = ready.orderBy("next_attempt_at", "seq", "def_id", "row_order").limit(batch_size)
+    decisions = [d for d in state.catalog.defs if d.def_id in open_ids and d.current.backend == "decision"]
+    if not decisions:
+        return first
+    out = first = materialized(first, "picked")
     for same in {(d.table, d.current.model) for d in decisions}:
         ids = [d.def_id for d in decisions if (d.table, d.current.model) == same]
         rows = first.where(F.col("def_id").isin(ids)).select("row_key").distinct()
-        out = out.union(ready.where(F.col("def_id").isin(ids)).join(rows, "row_key", "left_semi").select(*job))
+        out = out.union(ready.where(F.col("def_id").isin(ids)).join(rows, "row_key", "left_semi").select(*first.columns))
     return out.distinct()
 
 
 def claim(state: State, tables: dict[str, DataFrame], worker: str, now, batch_size: int | None = 20, backends: list[str] | None = None) -> tuple[State, DataFrame]:
     """Claim ready jobs and read their sources as they are now; jobs whose row is gone are dropped. Without a batch size all ready jobs are claimed, in one pass.
 
-    Definitions on the same sources of a table share one scan of it.
+    Definitions on the same sources of a table share one scan of it. What is written are the claimed jobs.
     """
     ids = open_definitions(state, now, backends)
     defs = [d for d in state.catalog.defs if d.def_id in ids]
@@ -81,27 +82,42 @@ def claim(state: State, tables: dict[str, DataFrame], worker: str, now, batch_si
     read = [tables[t].select(F.lit(k).alias("_place"), row_key(pk).alias("row_key"), source_hash(s).alias("_now"), source_text(s, dict(tables[t].dtypes)).alias("text")) for (t, pk, s), k in places.items()]
     keys = picked(state, now, ids, batch_size).withColumn("_place", by_definition({d.def_id: places[d.table, d.pk, d.sources] for d in defs}))
     found = keys.join(reduce(DataFrame.union, read), ["_place", "row_key"], "left").withColumn("version", by_definition({d.def_id: d.current.number for d in defs}))
-    found = materialized(found.select(*KEY, "version", "_now", "text", F.col("attempts") + 1).toDF(*KEY, "version", "_now", "text", "attempts"), "claimed")
-    j = state.jobs.join(found.select(*KEY, "version", "_now", F.lit(True).alias("_picked")), KEY, "left")
-    take = is_live() & F.col("_picked").isNotNull()
-    j = j.where(~take | F.col("_now").isNotNull())
-    when = lambda new, old: F.when(take, new).otherwise(F.col(old)).alias(old)
-    changed = [when(F.lit("claimed"), "status"), when(F.col("attempts") + 1, "attempts"), when(F.lit(worker), "claimed_by"), when(F.lit(now), "claimed_at"), when(F.col("version"), "claimed_version"), when(F.col("_now"), "source_hash")]
-    same = [c for c in state.jobs.columns if c not in ("status", "attempts", "claimed_by", "claimed_at", "claimed_version", "source_hash")]
-    state = state.put(jobs=j.select(*same, *changed)).materialized("jobs")
-    return state, found.where("_now is not null").select(*KEY, "version", F.col("_now").alias("source_hash"), "text", "attempts")
+    found = counted(found.drop("_place"), "claimed")
+    new = {"status": F.lit("claimed"), "attempts": F.col("attempts") + 1, "claimed_by": F.lit(worker), "claimed_at": F.lit(now), "claimed_version": F.col("version"), "source_hash": F.coalesce("_now", "source_hash"), "_gone": F.col("_now").isNull()}
+    state = state.changed({"jobs": found.n}, jobs=found.rows.withColumns(new))
+    return state, found.rows.where("_now is not null").select(*KEY, "version", F.col("_now").alias("source_hash"), "text", (F.col("attempts") + 1).alias("attempts"))
+
+
+def one_each(computed: DataFrame) -> DataFrame:
+    """One answer for each job, however often it was delivered: one without an error before others, then by its fields."""
+    others = [c for c in computed.columns if c not in KEY]
+    at = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("error").isNotNull(), *others))
+    return computed.withColumn("_at", at).where("_at = 1").drop("_at")
 
 
 def classified(state: State, computed: DataFrame) -> DataFrame:
-    """computed plus `outcome`: cancelled, rejected (its error set), failed, stale_requeued, held or written."""
-    jobs = state.jobs.where("status = 'claimed'").select(*KEY, F.col("source_hash").alias("job_hash"), "claimed_version")
+    """computed plus `outcome`: cancelled, rejected (its error set), failed, stale_requeued, held or written; the job, and the result that was current, as structs `_job` and `_old`."""
+    jobs = state.jobs.where("status = 'claimed'")
+    jobs = jobs.select(*KEY, F.struct(*jobs.columns).alias("_job"), F.col("source_hash").alias("job_hash"), "claimed_version")
+    old = state.results.where("is_current").select(*KEY, F.struct(*state.results.columns).alias("_old"))
     defs = F.broadcast(state.defs().select("def_id", F.col("version").alias("now_version"), "deleted", "backend", "threshold", "policy"))
-    c = computed.join(jobs, KEY, "left").join(defs, "def_id", "left")
-    wrong: Column = F.lit(None).cast("string")
+    if computed.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        # of few answers the jobs and results are found without a shuffle of all jobs and results
+        keys = F.broadcast(computed.select(*KEY).distinct())
+        jobs, old = jobs.join(keys, KEY, "left_semi"), old.join(keys, KEY, "left_semi")
+    c = one_each(computed).join(jobs, KEY, "left").join(old, KEY, "left").join(defs, "def_id", "left")
+    # what claims can refer to: versions that waited or were claimed since; one check for each different schema
+    checks: dict[tuple, list[tuple[int, int]]] = {}
     for d in state.catalog.defs:
         for v in d.versions:
-            wrong = F.when((F.col("def_id") == d.def_id) & (F.col("claimed_version") == v.number), value_error(d.output_type, v.schema, F.col("value"))).otherwise(wrong)
-    c = c.withColumn("wrong", wrong)
+            checks.setdefault((d.output_type, json.dumps(v.schema)), []).append((d.def_id, v.number))
+    place = {pair: k for k, pairs in enumerate(checks.values()) for pair in pairs}
+    which = computed.sparkSession.createDataFrame([(d, v, k) for (d, v), k in place.items()] or [], "def_id long, claimed_version int, _check int")
+    c = c.join(F.broadcast(which), ["def_id", "claimed_version"], "left")
+    wrong: Column = F.lit(None).cast("string")
+    for k, (kind, schema) in enumerate(checks):
+        wrong = F.when(F.col("_check") == k, value_error(kind, json.loads(schema), F.col("value"))).otherwise(wrong)
+    c = c.withColumn("wrong", wrong).drop("_check")
     low = F.col("backend").isin("llm", "decision") & (F.col("confidence") < F.col("threshold").cast("float")) & (F.col("policy") == "hold")
     outcome = (
         F.when(F.col("job_hash").isNull(), "cancelled").when(F.col("error").isNotNull(), "failed").when(F.col("wrong").isNotNull(), "rejected")
@@ -112,37 +128,41 @@ def classified(state: State, computed: DataFrame) -> DataFrame:
 
 
 def complete(state: State, computed: DataFrame, now) -> tuple[State, DataFrame]:
-    """Apply computed values (COMPUTED, a row for each job at most). Returns the state and the outcomes.
+    """Apply computed values (COMPUTED; of several answers for a job one counts). Returns the state and the outcomes.
 
-    computed is read several times: pass it written, or the model is called again.
+    One table is written, a row for each answer; what changes in jobs, results, cells and spend is read
+    from it. computed is read once.
     """
-    c = materialized(classified(state, computed), "outcomes")
+    written = counted(classified(state, computed), "outcomes")
+    c = written.rows
     kept = c.where(F.col("outcome").isin("stale_requeued", "held", "written"))
     current = F.col("outcome").isin("held", "written")
     vector = [d.def_id for d in state.catalog.defs if d.output_type in ("vector", "halfvec")]
-    models = {(d.def_id, v.number): v.model for d in state.catalog.defs for v in d.versions}
-    model = reduce(lambda a, k: F.when((F.col("def_id") == k[0]) & (F.col("claimed_version") == k[1]), F.lit(models[k])).otherwise(a), models, F.lit(None).cast("string"))
-    rows = kept.select(
+    versions = c.sparkSession.createDataFrame([(d.def_id, v.number, v.model) for d in state.catalog.defs for v in d.versions], "def_id long, claimed_version int, _model string")
+    rows = kept.join(F.broadcast(versions), ["def_id", "claimed_version"], "left").select(
         *KEY, F.col("claimed_version").alias("version"), "source_hash", F.when(~F.col("def_id").isin(*vector, -1), F.col("value")).alias("value"), "confidence", F.lit("model").alias("source"), current.alias("is_current"), (F.col("outcome") == "written").alias("written"),
-        F.coalesce("model", model).alias("model"), "prompt_tokens", "completion_tokens", "cost", "latency_ms", "details", F.lit(state.seq).alias("seq"), F.lit(now).alias("created_at"),
+        F.coalesce("model", "_model").alias("model"), "prompt_tokens", "completion_tokens", "cost", "latency_ms", "details", F.lit(state.seq).alias("seq"), F.lit(now).alias("created_at"),
     )
-    retired = state.results.join(c.where(current).select(*KEY, F.lit(True).alias("_new")), KEY, "left").withColumn("is_current", F.col("is_current") & F.col("_new").isNull()).drop("_new")
-    written = c.where("outcome = 'written'").select(*KEY, "value")
-    cells = state.cells.join(written.select(*KEY), KEY, "left_anti").union(written)
-    more = kept.groupBy("def_id").agg(F.coalesce(F.sum(F.col("cost").cast("decimal(38,12)")), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("results")).select("def_id", F.lit(now.date()).alias("day"), "cost", "results")
-    spend = state.spend.union(more.select(*state.spend.columns)).groupBy("def_id", "day").agg(F.sum("cost").alias("cost"), F.sum("results").alias("results"))
+    old = c.where(current & F.col("_old").isNotNull()).select("_old.*").withColumn("is_current", F.lit(False))
+    # a row for each definition, which is what spend has for a day
+    more = kept.groupBy("def_id").agg(F.coalesce(F.sum(F.col("cost").cast("decimal(38,12)")), F.lit(0)).alias("cost"), F.count(F.lit(1)).alias("results"))
+    before = state.spend.where(F.col("day") == F.lit(now.date())).select("def_id", "cost", "results")
+    spent_now = conform(more, SPEND).union(conform(before, SPEND)).groupBy("def_id").agg(F.sum("cost").alias("cost"), F.sum("results").alias("results")).collect()
+    spend = c.sparkSession.createDataFrame([(r["def_id"], now.date(), r["cost"], r["results"]) for r in spent_now], SPEND)
     wrong = F.col("outcome").isin("failed", "rejected")
-    jobs = state.jobs.join(c.where("outcome <> 'cancelled'").select(*KEY, "outcome", F.when(wrong, F.coalesce(F.substring("error", 1, 2000), F.lit(""))).alias("_error"), "retryable"), KEY, "left")
-    live = (F.col("status") == "claimed") & F.col("outcome").isNotNull() & ~wrong
-    again = live & (F.col("outcome") == "stale_requeued")
+    jobs = c.where("outcome <> 'cancelled'").select("_job.*", "outcome", F.when(wrong, F.coalesce(F.substring("error", 1, 2000), F.lit(""))).alias("_error"), "retryable")
+    live = ~wrong
+    again = F.col("outcome") == "stale_requeued"
     done = jobs.withColumns({"status": F.when(again, "pending").when(live, "done").otherwise(F.col("status")), "next_attempt_at": F.when(again, F.lit(now)).otherwise(F.col("next_attempt_at")), "claimed_version": F.when(again, None).otherwise(F.col("claimed_version")), "updated_at": F.when(live, F.lit(now)).otherwise(F.col("updated_at"))})
-    state = state.put(jobs=backed_off(state, done, now), results=retired.unionByName(rows, allowMissingColumns=True), spend=spend, cells=cells).materialized()
+    sizes = {"jobs": written.n, "results": 2 * written.n, "cells": written.n, "spend": len(spent_now)}
+    state = state.changed(sizes, jobs=backed_off(state, done, now), results=rows.unionByName(conform(old, RESULTS)), cells=c.where("outcome = 'written'").select(*KEY, "value"), spend=spend)
     return state, c.select(*KEY, F.regexp_replace("outcome", "_done$", "").alias("outcome"), "error")
 
 
 def failed(state: State, errors: DataFrame, now) -> State:
     """Failed claims (def_id, row_key, error, retryable): dead when final or out of attempts, else pending after base * 2^(attempts - 1) seconds."""
-    return state.put(jobs=backed_off(state, state.jobs.join(errors.select(*KEY, F.substring("error", 1, 2000).alias("_error"), "retryable"), KEY, "left"), now))
+    told = errors.select(*KEY, F.substring("error", 1, 2000).alias("_error"), "retryable")
+    return state.changed(jobs=backed_off(state, state.jobs.where("status = 'claimed'").join(told, KEY), now))
 
 
 def backed_off(state: State, jobs: DataFrame, now) -> DataFrame:
@@ -156,9 +176,8 @@ def backed_off(state: State, jobs: DataFrame, now) -> DataFrame:
 
 def reclaimed(state: State, now, timeout: dt.timedelta = dt.timedelta(minutes=5)) -> State:
     """Claims older than the timeout go back, or die when out of attempts; their turn stays."""
-    j = state.jobs.join(F.broadcast(state.defs().select("def_id", "max_attempts")), "def_id", "left")
-    hit = (F.col("status") == "claimed") & (F.col("claimed_at") < F.lit(now - timeout))
-    return state.put(jobs=j.withColumns({"last_error": F.when(hit, "reclaimed: the worker gave no answer in time").otherwise(F.col("last_error")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at")), "status": F.when(hit & (F.col("attempts") >= F.col("max_attempts")), "dead").when(hit, "pending").otherwise(F.col("status"))}))
+    late = state.jobs.where((F.col("status") == "claimed") & (F.col("claimed_at") < F.lit(now - timeout))).join(F.broadcast(state.defs().select("def_id", "max_attempts")), "def_id", "left")
+    return state.changed(jobs=late.withColumns({"last_error": F.lit("reclaimed: the worker gave no answer in time"), "updated_at": F.lit(now), "status": F.when(F.col("attempts") >= F.col("max_attempts"), "dead").otherwise("pending")}))
 
 
 def prune_counts(state: State, now, limit: int | None = 10_000, jobs_older: dt.timedelta = dt.timedelta(days=7)) -> tuple[DataFrame, DataFrame]:
@@ -216,31 +235,29 @@ def requeued(state: State, d: Definition, rows: DataFrame, now) -> State:
 def unpinned(state: State, d: Definition, keys: DataFrame, rows: DataFrame, now) -> State:
     """Let go of people's values of the keys (row_key, as stored) and queue those rows that exist."""
     free = materialized(keys.select("row_key").join(pinned(state, d), "row_key", "left_semi"), "unpin")
-    hit = free.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", F.lit(True).alias("_free"))
-    results = state.results.join(hit, KEY, "left").withColumn("is_current", F.col("is_current") & F.col("_free").isNull()).drop("_free")
-    state = state.put(results=results)
+    state = state.changed(results=retired(state, free.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key")))
     return enqueued(state, keyed(d, rows).join(free, "row_key", "left_semi"), now) if d.enabled else state
 
 
 def redefined(state: State, table: str, column: str, now, **changes) -> State:
     """A new version: waiting jobs start anew, claimed ones end as stale; the scan of the table starts again."""
     catalog, d = state.catalog.update_column(table, column, **changes)
-    mine = (F.col("def_id") == d.def_id) & (F.col("status") == "pending")
-    jobs = state.jobs.withColumns({"attempts": F.when(mine, 0).otherwise(F.col("attempts")), "next_attempt_at": F.when(mine, F.lit(now)).otherwise(F.col("next_attempt_at")), "last_error": F.when(~mine, F.col("last_error"))})
-    return replace(state.put(jobs=jobs), catalog=catalog)
+    mine = state.jobs.where((F.col("def_id") == d.def_id) & (F.col("status") == "pending"))
+    jobs = mine.withColumns({"attempts": F.lit(0), "next_attempt_at": F.lit(now), "last_error": F.lit(None)})
+    return replace(state.changed(jobs=jobs), catalog=catalog)
 
 
 def disabled(state: State, table: str, column: str) -> State:
     """Off: waiting jobs go, claimed ones finish as ever."""
     d = state.catalog.find(table, column)
-    state = state.put(jobs=state.jobs.where(~((F.col("def_id") == d.def_id) & (F.col("status") == "pending"))))
+    state = state.changed(jobs=state.jobs.where((F.col("def_id") == d.def_id) & (F.col("status") == "pending")).withColumn("_gone", F.lit(True)))
     return replace(state, catalog=state.catalog.set_enabled(table, column, False))
 
 
 def dropped(state: State, table: str, column: str, drop_target: bool = False) -> State:
     """Gone from the catalog's live columns; waiting and claimed jobs go, so that an answer still on its way is cancelled. History and spend stay, and the cells unless the target is dropped, too."""
     d = state.catalog.find(table, column)
-    state = state.put(jobs=state.jobs.where(~((F.col("def_id") == d.def_id) & is_live())))
+    state = state.changed(jobs=state.jobs.where((F.col("def_id") == d.def_id) & is_live()).withColumn("_gone", F.lit(True)))
     if drop_target:
         state = state.put(cells=state.cells.where(F.col("def_id") != d.def_id))
     return replace(state, catalog=state.catalog.drop_column(table, column))

@@ -49,9 +49,7 @@ ORDER_TEXT = "'o_orderstatus: ' || o_orderstatus || chr(10) || 'o_orderpriority:
 
 
 def declared(spark: SparkSession, rows: DataFrame, name: str, pk, sources, output: str = "enum", schema=None, state: State | None = None, column: str = "derived", **options) -> tuple[State, object]:
-    state = state or State.empty(spark)
-    catalog, d = state.catalog.add_column(name, column, pk, sources, output, prompt=options.pop("prompt", PROMPT), model=options.pop("model", "hash-1"), schema=LABELS if schema is None and output == "enum" else schema, fields=dict(rows.dtypes), **options)
-    return State(catalog, state.jobs, state.results, state.spend, state.cells, state.seq), d
+    return capture.declared(state or State.empty(spark), rows, name, column, pk, sources, output, prompt=options.pop("prompt", PROMPT), model=options.pop("model", "hash-1"), schema=LABELS if schema is None and output == "enum" else schema, **options)
 
 
 def filled(spark, rows, name, pk, sources, provider=None, **options):
