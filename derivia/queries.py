@@ -499,7 +499,7 @@ def q_stream_equals_batch(spark, sf):
 
 FILLED = "(SELECT count(*) FROM documents)"
 BOTH = f"""(SELECT 'flag' AS c, {h("Is it?")} AS h, text FROM documents UNION ALL SELECT 'shaky', {h("Which?")}, text FROM documents)"""
-COST = "(length(text) // 4 + 10) * 0.5 / 1e6 + 16 / 1e6"
+COST = "CAST((length(text) // 4 + 10) * 0.5 / 1e6 + 16 / 1e6 AS DECIMAL(38,12))"
 
 ORACLE = {
     "q_derive_enum": f"SELECT doc_id, {label(h(PROMPT))} AS derived FROM documents",
@@ -517,8 +517,8 @@ ORACLE = {
     "q_requeue": "SELECT doc_id, 0 AS attempts FROM documents WHERE lang = 'de' AND doc_id % 33 <> 7",
     "q_columns_view": f"SELECT 'derived' AS column_name, 1 AS version, 0::BIGINT AS pending, 0::BIGINT AS claimed, count(*) AS done, 0::BIGINT AS dead, 0::BIGINT AS human_overrides, 0::BIGINT AS stale FROM documents UNION ALL SELECT c, 1, CAST(count(*) FILTER (WHERE {byte('h', 3)} < 8 AND c = 'flag') AS BIGINT), 0, count(*) FILTER (WHERE {byte('h', 3)} >= 8), count(*) FILTER (WHERE {byte('h', 3)} < 8 AND c = 'shaky'), 0, 0 FROM {BOTH} GROUP BY c",
     "q_dead_jobs": f"SELECT 'shaky' AS column_name, doc_id, 1 AS attempts, 'server error' AS last_error FROM documents WHERE {byte(h('Which?'), 3)} < 8",
-    "q_cost_by_column": f"SELECT c AS column_name, 1 AS version, 'hash-1' AS model, count(*) AS results, CAST(sum(length(text) // 4 + 10) AS BIGINT) AS prompt_tokens, 8 * count(*) AS completion_tokens, round(sum({COST}), 6) AS cost_usd, CAST(round(avg(20 + {byte('h', 2)})) AS BIGINT) AS avg_latency_ms FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
-    "q_budgets": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CASE WHEN c = 'shaky' THEN 0.001::DOUBLE END AS budget_usd, round(sum({COST}), 6) AS spent, CASE WHEN c = 'shaky' THEN round(0.001::DOUBLE - sum({COST}), 6) END AS remaining, c = 'shaky' AND sum({COST}) >= 0.001 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
+    "q_cost_by_column": f"SELECT c AS column_name, 1 AS version, 'hash-1' AS model, count(*) AS results, CAST(sum(length(text) // 4 + 10) AS BIGINT) AS prompt_tokens, 8 * count(*) AS completion_tokens, CAST(round(sum({COST}), 6) AS DOUBLE) AS cost_usd, CAST(round(avg(20 + {byte('h', 2)})) AS BIGINT) AS avg_latency_ms FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
+    "q_budgets": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CASE WHEN c = 'shaky' THEN 0.001::DOUBLE END AS budget_usd, CAST(round(sum({COST}), 6) AS DOUBLE) AS spent, CASE WHEN c = 'shaky' THEN CAST(round(CAST(0.001 AS DECIMAL(38,12)) - sum({COST}), 6) AS DOUBLE) END AS remaining, c = 'shaky' AND sum({COST}) >= 0.001 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
     "q_budgets_exact": f"SELECT CASE c WHEN 'derived' THEN 1 WHEN 'flag' THEN 2 ELSE 3 END::BIGINT AS def_id, CAST(sum(CAST((length(text) // 4 + 10) * 5 + 160 AS DECIMAL(38,12))) / 10000000 AS DECIMAL(38,12)) AS spent, c = 'shaky' AND sum((length(text) // 4 + 10) * 5 + 160) >= 10000 AS exhausted FROM (SELECT * FROM {BOTH} WHERE {byte('h', 3)} >= 8 UNION ALL SELECT 'derived', {h(PROMPT)}, text FROM documents) GROUP BY c",
     "q_spent_month": "SELECT p AS period, round(CAST(coalesce(sum((user_id % 7 + 1) / 1000.0) FILTER (WHERE CASE p WHEN 'day' THEN event_id % 40 = 0 WHEN 'month' THEN event_id % 40 <= 14 ELSE true END), 0) AS DOUBLE), 6) AS spent FROM events, (SELECT unnest(['day', 'month', 'total']) AS p) GROUP BY p",
     "q_backfill_keyset": "SELECT o_orderkey, 'pending' AS status FROM orders ORDER BY o_orderkey LIMIT 2100",
