@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from derivia.functions import keys
 from derivia.functions.providers import Answer, HashProvider
 from derivia.operators import capture, compute, contract, evaluate, views
 from derivia.plans.catalog import Catalog
-from derivia.plans.state import JOBS, State, conform, materialized
+from derivia.plans.state import JOBS, State, Store, conform, work_folder
 from derivia.sources.tables import table
 from derivia.streaming import runtime
 
@@ -477,26 +479,49 @@ def q_failure_audit(spark, sf):
     return evaluate.failure_audit(state.cells.where("def_id = 1"), expected).select(*[F.col(c).cast("long").alias(c) for c in ("missing", "wrong", "wrong_old_text", "wrong_old_prompt", "fixes_overwritten")])
 
 
-def q_stream_equals_batch(spark, sf):
-    """Events as a stream in micro-batches, kept by the engine; the column that comes out."""
-    import uuid
-
-    from derivia.plans.state import Store, work_folder
-
+def streamed_events(spark, sf, files: int):
+    """Events in some files, a store that has no column yet, and what runs the stream over the files so far."""
     base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf, "events").select("event_id", "event_type", "value")
-    rows.repartition(3, "event_id").write.parquet(f"{base}/in")
+    rows.repartition(files, "event_id").write.parquet(f"{base}/all")
     store = Store(spark, f"{base}/store")
-    catalog, d = Catalog().add_column("events", "derived", ("event_id",), ("event_type",), "enum", prompt=PROMPT, model="hash-1", schema=LABELS)
-    empty = State.empty(spark)
-    store.commit(State(catalog, empty.jobs, empty.results, empty.spend, empty.cells), 0)
-    changes = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = runtime.on_stream(changes, store, "events", ("event_id",), HashProvider(), f"{base}/checkpoint", lambda: NOW)
-    query.awaitTermination()
+    store.commit(State.empty(spark), 0)
+    whole = spark.read.schema(rows.schema).parquet(f"{base}/all")
+
+    def run(part: DataFrame):
+        part.write.mode("append").parquet(f"{base}/in")
+        changes = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        runtime.on_stream(changes, store, "events", ("event_id",), HashProvider(), f"{base}/checkpoint", lambda: NOW).awaitTermination()
+
+    return whole, store, run
+
+
+def event_column(state, column: str, prompt: str, output: str = "enum", schema=LABELS):
+    catalog, _ = state.catalog.add_column("events", column, ("event_id",), ("event_type",), output, prompt=prompt, model="hash-1", schema=schema)
+    return replace(state, catalog=catalog), None
+
+
+def q_stream_equals_batch(spark, sf):
+    """Events as a stream in micro-batches, kept by the engine; the column that comes out."""
+    rows, store, run = streamed_events(spark, sf, 3)
+    store.transact(lambda s: event_column(s, "derived", PROMPT))
+    run(rows)
     state = store.load()
     return views.with_values(state, state.catalog.by_id(1), rows).select("event_id", "derived")
 
 
+def q_stream_redefined(spark, sf):
+    """Between two micro-batches a column is redefined and another declared: rows of before get both, too."""
+    rows, store, run = streamed_events(spark, sf, 2)
+    store.transact(lambda s: event_column(s, "derived", PROMPT))
+    run(rows.where("event_id % 2 = 0"))
+    store.transact(lambda s: event_column(contract.redefined(s, "events", "derived", NOW, prompt=PROMPT_2), "flag", "Is it?", "boolean", {}))
+    run(rows.where("event_id % 2 = 1"))
+    state = store.load()
+    both = views.with_values(state, state.catalog.by_id(2), views.with_values(state, state.catalog.by_id(1), rows))
+    return both.select("event_id", "derived", "flag", F.lit(views.stale_rows(state).count()).alias("stale"))
+
+
 FILLED = "(SELECT count(*) FROM documents)"
 BOTH = f"""(SELECT 'flag' AS c, {h("Is it?")} AS h, text FROM documents UNION ALL SELECT 'shaky', {h("Which?")}, text FROM documents)"""
 COST = "CAST((length(text) // 4 + 10) * 0.5 / 1e6 + 16 / 1e6 AS DECIMAL(38,12))"
@@ -547,6 +572,7 @@ ORACLE = {
     "q_json_extract": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",
     "q_html_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
     "q_stream_equals_batch": f"SELECT event_id, {label(h(PROMPT, 'event_type'))} AS derived FROM events",
+    "q_stream_redefined": f"SELECT event_id, {label(h(PROMPT_2, 'event_type'))} AS derived, {byte(h('Is it?', 'event_type'), 0)} % 2 = 0 AS flag, 0 AS stale FROM events",
     "q_failure_audit": "SELECT 0::BIGINT AS missing, 0::BIGINT AS wrong, 0::BIGINT AS wrong_old_text, 0::BIGINT AS wrong_old_prompt, 0::BIGINT AS fixes_overwritten",
 }
 
