@@ -11,19 +11,21 @@ The best k of each window are merged over the curves and reranked by the exact i
 How wide the windows are is measured in the job: the true neighbours of at most SAMPLE queries are
 found among all rows, and from their places on the curves follows the recall of any width. Windows
 start at three blocks of `block` rows; blocks double up to WIDEST times that, and then more blocks on
-either side are met, until the sample's recall is `target` or more. The rule is the same at every size.
+either side are met, until the sample's recall is `target` or more. The rule is the same at every size,
+and so is the number of curves. No task holds more than a block's rows and MOST_QUERIES queries: where
+more meet a block, they are dealt out and meet copies of its rows.
 
 Work and traffic are (curves x rows) for the orderings, (SAMPLE x rows) for the measurement and (curves
 x queries x window) for the windows. Where neighbours lie near each other on the curves, windows stay
 as they are when a table grows; in vectors without structure they grow with it, so that the work grows
-with the square of the table. A class of less than two blocks has one curve, as its windows hold all of
-it; so there are at most two classes for each block of rows. Equal vectors go through the curves once, with the k + 1 smallest ids
+with the square of the table. Classes are as many as the lengths have
+bands, and at most two for every block of rows. Equal vectors go through the curves once, with the k + 1 smallest ids
 that any result can hold; a vector that a third of all rows share fills no window.
 
 Defined cases: null, zero-length or all-zero vectors, those with null or non-finite components and rows
 without an id take no part; neither do vectors of another dimension than the most common one (the
 larger of two as common); rows of an equal id and vector count once, a query is never its own result;
-an empty table gives an empty result; extra columns are ignored.
+equal scores go by ascending id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,19 +38,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from derivia.llm.common import plain_keys, written
+from derivia.llm.common import Scratch, fits_broadcast, plain_keys, written
 
 log = logging.getLogger(__name__)
 
 CURVES = 10
-BLOCK = 4096
+BLOCK = 128
 DIMS = 8
 BITS = 7
 TARGET = 0.95
 #: Queries whose true neighbours are sought; a quarter of a thousand of 20 tell recall to about half a hundredth.
 SAMPLE = 256
 #: A block is at most so many times the least one, as a task holds it and its scores.
-WIDEST = 8
+WIDEST = 256
+#: Queries that a task meets a block's rows with; about as many, as they are dealt out by a hash.
+MOST_QUERIES = 4096
+#: Rows of the table of hot blocks up to which it is sent to all tasks.
+FEW_BLOCKS = 100_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -87,22 +93,22 @@ def curve_frame(curve: int, dim: int, dims: int, seed: int) -> tuple[np.ndarray,
     return axes, rng.uniform(0, 1, axes.shape[1])
 
 
-def length_classes(bands: list[tuple[int, int, float]], block: int, curves: int) -> tuple[dict[int, int], list[float], list[int]]:
-    """Bands (number, rows, largest square of a length) to the class of each band and, by class, the largest square and the number of curves.
+def length_classes(bands: list[tuple[int, int, float]], least: int) -> tuple[dict[int, int], list[float]]:
+    """Bands (number, rows, largest square of a length) to the class of each band and, by class, the largest square.
 
-    Neighbouring bands of under `block` rows are one class until it has `block` rows; less than two blocks hold it all.
+    Neighbouring bands of under `least` rows are one class until it has `least` rows.
     """
     class_of, longest, rows = {}, [], []
     thin = False
     for band, n, square in sorted(bands):
-        if not (thin and n < block and rows[-1] < block):
+        if not (thin and n < least and rows[-1] < least):
             longest.append(square)
             rows.append(0)
-        thin = n < block
+        thin = n < least
         class_of[band] = len(rows) - 1
         rows[-1] += n
         longest[-1] = max(longest[-1], square)
-    return class_of, longest, [1 if n < 2 * block else curves for n in rows]
+    return class_of, longest
 
 
 def true_neighbours(reps: DataFrame, sample: list, k: int, dim: int) -> DataFrame:
@@ -165,7 +171,8 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     part = ids.withColumn("at", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     part = part.groupBy("h", "v", "salt").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     reps = part.groupBy("h", "v").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v")
-    reps = written(reps, "reps")
+    work = Scratch()
+    reps = work.written(reps, "reps")
     asked = written(base.where(query).select("vec_id", "v", F.xxhash64("v").alias("h")).distinct().join(reps.select(F.xxhash64("v").alias("h"), F.col("v").alias("w"), "rep"), "h").where("v = w").select(F.col("vec_id").alias("query_id"), "rep"), "asked")
     wanted = reps.join(asked.select("rep").distinct().withColumn("asked", F.lit(True)), "rep", "left").select("rep", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
     top = reps.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]  # squares of components over this can't overflow
@@ -173,9 +180,9 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     most = reps.agg(F.max(square)).first()[0]
     # a band goes down to half of its longest, from the longest of all; what has no square left in double precision is in the last
     wanted = wanted.withColumn("square", square).withColumn("band", F.when(F.col("square") > 0, F.floor(F.log2(most / F.greatest("square", F.lit(1e-300))) / 2)).otherwise(1000).cast("int"))
-    wanted = written(wanted, "wanted")
+    wanted = work.written(wanted, "wanted")
     bands = [tuple(r) for r in wanted.groupBy("band").agg(F.count(F.lit(1)), F.max("square")).collect()]  # some hundred at most
-    class_of, longest, curves_of = length_classes(bands, block, curves)
+    class_of, longest = length_classes(bands, block)
 
     def keyed(batches):
         spread = 3 / (dim + 1) ** 0.5  # three deviations of a random direction either way
@@ -189,13 +196,11 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
             there = np.hstack([x, np.sqrt(np.maximum(reach - squares, 0))[:, None]]) / safe(reach)
             queries = np.flatnonzero(np.asarray(batch.column("asked")))
             mine = np.hstack([x, np.zeros((len(x), 1))])[queries] / safe(squares[queries])
-            for c in range(max(curves_of)):
+            for c in range(curves):
                 axes, shift = curve_frame(c, dim + 1, dims, seed)
                 grid = lambda y: np.clip(((y @ axes / spread + 1) / 3 + shift / 3) * (1 << bits), 0, (1 << bits) - 1).astype(np.uint32)  # noqa: B023, E731
                 keys, asked_keys = (hilbert_keys(grid(y), bits).view(np.int64) for y in (there, mine))
                 for g in range(len(longest)):
-                    if c >= curves_of[g]:
-                        continue
                     here = np.flatnonzero(own == g)
                     for rows, key, is_query in ((here, keys[here], False), (queries, asked_keys, True)):
                         if len(rows):
@@ -205,17 +210,15 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
     keys = wanted.select("rep", "v", "asked", "square", "band").mapInArrow(keyed, "curve int, key long, rep long, is_query boolean, v array<double>")
     order = ["curve", "key", "rep", "is_query"]
     placed = keys.withColumn("v", F.col("v").cast("array<float>") if floats(vectors) else F.col("v"))
-    placed = written(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "curves")
+    placed = work.written(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "curves")
     counts = placed.groupBy("curve", "part").agg(F.sum(F.when(~F.col("is_query"), 1).otherwise(0)).alias("n"))
     starts = counts.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("begin"))
     # a few rows for each partition; the join is on both
     at = F.sum(F.when(~F.col("is_query"), 1).otherwise(0)).over(Window.partitionBy("curve", "part").orderBy("row")) - F.when(~F.col("is_query"), 1).otherwise(0)
     located = placed.withColumn("at", at).join(starts, ["curve", "part"]).withColumn("at", F.col("begin") + F.col("at")).drop("part", "row", "begin", "key")
-    wide, radius, recall = fitted(located, reps, asked, k, curves, curves_of, block, dim, target)
-    log.info("windows of %d x %d rows on %d curves of %d classes, recall of the sample %.4f", 2 * radius + 1, wide, sum(curves_of), len(curves_of), recall)
-    ranked = located.withColumn("block", F.floor(F.col("at") / wide)).drop("at")
-    beside = F.sequence(F.col("block") - radius, F.col("block") + radius)
-    cells = ranked.where("not is_query").union(ranked.where("is_query").select(*[c for c in ranked.columns if c != "block"], F.explode(beside).alias("block")))
+    wide, radius, recall = fitted(located, reps, asked, k, curves, block, dim, target)
+    log.info("windows of %d x %d rows on %d curves of %d classes, recall of the sample %.4f", 2 * radius + 1, wide, curves, len(longest), recall)
+    cells = dealt(located.withColumn("block", F.floor(F.col("at") / wide)).drop("at"), radius)
 
     def windows(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -224,7 +227,7 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
         rows, asked_rows = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         if not len(rows):
             return
-        for at in np.array_split(asked_rows, max(1, len(asked_rows) * max(1, len(rows) // BLOCK) // 256)):
+        for at in np.array_split(asked_rows, max(1, len(asked_rows) * max(1, len(rows) // 4096) // 256)):
             if not len(at):
                 continue
             score = x[at] @ x[rows].T
@@ -233,14 +236,30 @@ def neighbours(vectors: DataFrame, query: F.Column, k: int = 20, curves: int = C
             m = top.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], m)), pa.array(ids[rows][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "r", "score"])
 
-    met = cells.groupBy("curve", "block").applyInArrow(windows, "q long, r long, score double")
+    met = cells.groupBy("curve", "block", "salt").applyInArrow(windows, "q long, r long, score double")
     best = met.groupBy("q", "r").agg(F.max("score").alias("score"))
     best = best.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("at") <= k + 1).drop("at")
-    return ranks(best, reps, asked, k)
+    out = ranks(best, reps, asked, k)
+    work.drop()
+    return out
 
 
-def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves: int, curves_of: list[int], block: int, dim: int, target: float) -> tuple[int, int, float]:
-    """The windows that reach the target on a bounded sample of the queries, from the places (curve, rep, is_query, at) on the curves of each class (numbers from class x curves on, as many as curves_of says)."""
+def dealt(placed: DataFrame, radius: int, most: int = MOST_QUERIES) -> DataFrame:
+    """Rows (curve, block, is_query, rep, v) to the cells (curve, block, salt) in which they meet: queries go to the blocks beside theirs, too; a block that more than `most` queries meet has several cells, with all its rows in each."""
+    beside = F.sequence(F.col("block") - radius, F.col("block") + radius)
+    asked = placed.where("is_query").select(*[c for c in placed.columns if c != "block"], F.explode(beside).alias("block"))
+    hot = written(asked.groupBy("curve", "block").count().where(F.col("count") > most).select("curve", "block", F.ceil(F.col("count") / most).cast("int").alias("salts")), "hot")
+    if fits_broadcast(hot, FEW_BLOCKS):
+        hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    rows = placed.where("not is_query").join(hot, ["curve", "block"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    asked = asked.join(hot, ["curve", "block"], "left").withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    columns = ["curve", "block", "salt", "is_query", "rep", "v"]
+    return rows.select(*columns).union(asked.select(*columns))
+
+
+def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves: int, block: int, dim: int, target: float) -> tuple[int, int, float]:
+    """The windows that reach the target on a bounded sample of the queries, from the places (curve, rep, is_query, at) on the curves of each class (numbers from class x curves on)."""
     drawn = asked.select("rep").distinct().orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
     sample = reps.join(F.broadcast(drawn), "rep").select("rep", "v").collect()
     pairs = true_pairs(true_neighbours(reps, sample, k, dim).collect(), k) if sample else {}
@@ -250,8 +269,7 @@ def fitted(located: DataFrame, reps: DataFrame, asked: DataFrame, k: int, curves
     few = located.sparkSession.createDataFrame(sorted(ends), "rep long, is_query boolean")
     place = {(x["rep"], x["is_query"], x["curve"]): x["at"] for x in located.select("curve", "rep", "is_query", "at").join(F.broadcast(few), ["rep", "is_query"]).collect()}
     class_of = {rep: curve // curves for rep, is_query, curve in place if not is_query}
-    # a class of fewer curves has the place on its first one instead
-    on = lambda rep, is_query, g: [place[rep, is_query, g * curves + c % curves_of[g]] for c in range(curves)]
+    on = lambda rep, is_query, g: [place[rep, is_query, g * curves + c] for c in range(curves)]
     return reaching(np.array([on(r, False, class_of[r]) for _, r in pairs]), np.array([on(q, True, class_of[r]) for q, r in pairs]), np.array(list(pairs.values())), block, target)
 
 

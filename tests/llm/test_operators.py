@@ -215,7 +215,52 @@ def test_long_vectors_do_not_widen_the_windows(spark, monkeypatch):
 
 
 def test_length_classes():
-    assert hilbert.length_classes([(0, 1, 9.0), (1, 2, 2.0), (3, 90, 0.5), (4, 3, 0.1), (1000, 8, 0.0)], 10, 4) == ({0: 0, 1: 0, 3: 1, 4: 2, 1000: 2}, [9.0, 0.5, 0.1], [1, 4, 1])
+    assert hilbert.length_classes([(0, 1, 9.0), (1, 2, 2.0), (3, 90, 0.5), (4, 3, 0.1), (1000, 8, 0.0)], 10) == ({0: 0, 1: 0, 3: 1, 4: 2, 1000: 2}, [9.0, 0.5, 0.1])
+
+
+def test_no_cell_of_a_log_normal_table_holds_more_than_its_bound(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)) * np.exp(rng.normal(scale=0.6, size=3000))[:, None]
+    x[:20] *= 60
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, real = [], hilbert.dealt
+
+    def spy(placed, radius):
+        cells = real(placed, radius, 100)
+        seen.append((radius, cells.groupBy("curve", "block", "salt").agg(F.sum(F.col("is_query").cast("int")).alias("q"), F.sum((~F.col("is_query")).cast("int")).alias("n")).collect(), placed.where("is_query").groupBy("curve").count().collect()))
+        return cells
+
+    monkeypatch.setattr(hilbert, "dealt", spy)
+    got = {}
+    for r in hilbert.neighbours(df, F.col("vec_id") % 3 == 0, 5, curves=3, block=32).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    radius, cells, queries = seen[0]
+    curves = {r["curve"] for r in queries}
+    assert len(curves) >= 6 and all(r["count"] == 1000 for r in queries)  # every query is on every curve of every class
+    assert max(r["q"] for r in cells) < 200  # 100 on average, dealt by a hash
+    assert all(sum(r["q"] for r in cells if r["curve"] == c) == 1000 * (2 * radius + 1) for c in curves)
+    hits = 0
+    for q in range(0, 3000, 30):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 500
+
+
+def test_neighbours_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, v int, rep string, curve int, asked boolean"
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=4).tolist(), 1, "x", 2, True) for k in range(60)]
+    rows += [rows[20], rows[20], rows[40], (None, [1.0] * 4, 1, "x", 2, True), (70, None, 1, "x", 2, True), (71, [], 1, "x", 2, True), (72, [0.0] * 4, 1, "x", 2, True), (73, [float("nan")] * 4, 1, "x", 2, True), (80, [1.0, 2.0], 1, "x", 2, True), (81, rows[20][1], 1, "x", 2, True)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, hilbert.neighbours(df, F.col("vec_id") % 20 == 0, 5).collect()))
+    x = {r[0]: np.array(r[1], np.float32).astype(float) for r in rows if r[0] is not None and r[1] and len(r[1]) == 4 and r[0] not in (72, 73)}
+    want = []
+    for q in (0, 20, 40):
+        near = sorted((-float(x[q] @ y), i) for i, y in x.items() if i != q)[:5]
+        want += [(q, k, i) for k, (_, i) in enumerate(near, 1)]
+    assert [g[:3] for g in got] == want
+    assert hilbert.neighbours(df.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
