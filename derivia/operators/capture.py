@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import as_json, keyset_after, row_key, row_order, source_hash
+from derivia.operators import scan
 from derivia.plans.catalog import Definition
-from derivia.plans.state import RESULTS, Layer, State, conform, counted
+from derivia.plans.state import RESULTS, Layer, State, conform, counted, deleted_path
 
 LIVE = ("pending", "claimed")
 KEY = ["def_id", "row_key"]
@@ -145,16 +146,26 @@ def forgotten_missing(state: State, d: Definition, rows: DataFrame) -> State:
 
 
 def backfill_step(state: State, d: Definition, rows: DataFrame, now) -> tuple[State, Definition, int]:
-    """Scan the next chunk in key order and queue what needs work. The scan ends with a chunk that isn't full."""
-    chunk = d.config["backfill_chunk"]
-    left = rows if d.backfill_cursor is None else rows.where(keyset_after(d.pk, d.backfill_cursor))
-    part = left.orderBy(*[F.col(f"`{c}`") for c in d.pk]).limit(chunk)
-    seen = part.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*[F.col(f"`{c}`") for c in d.pk])).alias("last")).first()
-    last = tuple(seen["last"]) if seen["n"] else d.backfill_cursor
-    todo = needing_work(state, [d], keyed(d, part), True)
-    d = replace(d, backfill_scanned=d.backfill_scanned + seen["n"], backfill_cursor=last, backfill_pending=seen["n"] == chunk)
-    state = enqueued(state, todo, now)
-    return replace(state, catalog=state.catalog.put(d)), d, seen["n"]
+    """Scan the next chunk in key order and queue what needs work. The scan ends with a chunk that isn't full.
+
+    The first step writes the table's keys and hashes clustered by the key; a step reads its chunk of that.
+    """
+    spark, chunk = rows.sparkSession, d.config["backfill_chunk"]
+    if not scan.there(spark, d.backfill_scan):
+        left = rows if d.backfill_cursor is None else rows.where(keyset_after(d.pk, d.backfill_cursor))
+        keys = left.select(*[F.col(f"`{c}`") for c in d.pk], row_key(d.pk).alias("row_key"), row_order(d.pk, dict(rows.dtypes)).alias("row_order"), source_hash(d.sources).alias("source_hash"))
+        d = replace(d, backfill_scan=scan.clustered(keys, d.pk, chunk, d.backfill_scanned))
+    part, n = scan.chunk_of(spark, d.backfill_scan, d.backfill_scanned, chunk)
+    last = d.backfill_cursor
+    if part is not None:
+        last = tuple(part.agg(F.max(F.struct(*[F.col(f"`{c}`") for c in d.pk])).alias("last")).first()["last"])
+        keys = part.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", "row_order", "source_hash")
+        state = enqueued(state, needing_work(state, [d], keys, True), now)
+    more = n == chunk
+    if not more:
+        deleted_path(spark, d.backfill_scan["path"])
+    d = replace(d, backfill_scanned=d.backfill_scanned + n, backfill_cursor=last, backfill_pending=more, backfill_scan=d.backfill_scan if more else None)
+    return replace(state, catalog=state.catalog.put(d)), d, n
 
 
 def backfilled(state: State, d: Definition, rows: DataFrame, now) -> tuple[State, Definition]:
@@ -170,7 +181,7 @@ def backfilled_all(state: State, defs: list[Definition], rows: DataFrame, now) -
     keys = reduce(DataFrame.union, [keyed_all([d for d in defs if d.pk == pk], rows) for pk in dict.fromkeys(d.pk for d in defs)])
     state = enqueued(state, needing_work(state, defs, keys, True), now).materialized("jobs")
     n = rows.count()
-    defs = [replace(d, backfill_pending=False, backfill_scanned=n) for d in defs]
+    defs = [replace(d, backfill_pending=False, backfill_scanned=n, backfill_scan=None) for d in defs]
     for d in defs:
         state = replace(state, catalog=state.catalog.put(d))
     return state, defs

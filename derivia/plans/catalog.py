@@ -101,6 +101,8 @@ class Definition:
     backfill_pending: bool = True
     backfill_scanned: int = 0
     backfill_cursor: tuple | None = None
+    #: the clustered copy that a running scan reads
+    backfill_scan: dict | None = None
 
     @property
     def current(self) -> Version:
@@ -200,4 +202,4 @@ DEF_SCHEMA = "def_id long, table_name string, column_name string, enabled boolea
 
 def restarted(d: Definition) -> Definition:
     """With its scan of the table back at the start."""
-    return replace(d, backfill_pending=True, backfill_scanned=0, backfill_cursor=None)
+    return replace(d, backfill_pending=True, backfill_scanned=0, backfill_cursor=None, backfill_scan=None)
