@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from derivia.functions.keys import row_key, source_hash, source_text, value_error
-from derivia.operators.capture import KEY, by_definition, enqueued, is_live, keyed, retired
+from derivia.operators.capture import KEY, backfill_step, by_definition, enqueued, is_live, keyed, retired
 from derivia.plans.catalog import Definition
 from derivia.plans.state import FEW_ROWS, RESULTS, SPEND, State, conform, counted, materialized
 
@@ -193,15 +193,13 @@ def prune_counts(state: State, now, limit: int | None = 10_000, jobs_older: dt.t
 def pruned(state: State, now, limit: int | None = 10_000, jobs_older: dt.timedelta = dt.timedelta(days=7)) -> State:
     """Without what may go; current results, dead jobs and spend stay."""
     old, done = prune_counts(state, now, limit, jobs_older)
-    same = [*KEY, "seq"]
-    gone = old.select(*same, "created_at", F.lit(False).alias("is_current"))
-    results = state.results.join(gone, [*same, "created_at", "is_current"], "left_anti")
-    jobs = state.jobs.join(done.select(*same, F.lit("done").alias("status")), [*same, "status"], "left_anti")
-    return state.put(results=results, jobs=jobs)
+    return state.changed(results=old.withColumn("_gone", F.lit(True)), jobs=done.withColumn("_gone", F.lit(True)))
 
 
 def pruned_jobs(state: State, now, older: dt.timedelta = dt.timedelta(days=7)) -> State:
-    return state.put(jobs=state.jobs.where(~((F.col("status") == "done") & (F.col("updated_at") < F.lit(now - older)))))
+    """Without any finished job older than that, however many they are."""
+    done = state.jobs.where((F.col("status") == "done") & (F.col("updated_at") < F.lit(now - older)))
+    return state.changed(jobs=done.withColumn("_gone", F.lit(True)))
 
 
 def retried_dead(state: State, d: Definition, now, keys: DataFrame | None = None) -> State:
@@ -254,6 +252,13 @@ def disabled(state: State, table: str, column: str) -> State:
     return replace(state, catalog=state.catalog.set_enabled(table, column, False))
 
 
+def enabled(state: State, table: str, column: str, rows: DataFrame, now) -> tuple[State, int]:
+    """On again: the scan of the table starts anew with a first chunk. Returns how many jobs that left waiting."""
+    state = replace(state, catalog=state.catalog.set_enabled(table, column, True))
+    state, d, _ = backfill_step(state, state.catalog.find(table, column), rows, now)
+    return state, state.jobs.where((F.col("def_id") == d.def_id) & (F.col("status") == "pending")).count()
+
+
 def dropped(state: State, table: str, column: str, drop_target: bool = False) -> State:
     """Gone from the catalog's live columns; waiting and claimed jobs go, so that an answer still on its way is cancelled. History and spend stay, and the cells unless the target is dropped, too."""
     d = state.catalog.find(table, column)

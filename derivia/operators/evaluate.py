@@ -44,11 +44,16 @@ def confusions(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def failure_audit(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """actual(row_key, value), expected(row_key, value, old_text_value, old_prompt_value, human): what a run left wrong; all zero is the aim."""
+    """actual(row_key, value), expected(row_key, value, old_text_value, old_prompt_value, human): what a run left wrong; all zero is the aim.
+
+    Rows that a person has set count as overwritten fixes only, whatever else stands there; a wrong value
+    that both an old prompt and an old text give counts for the prompt.
+    """
     j = expected.join(actual.select("row_key", F.col("value").alias("got")), "row_key", "left")
-    wrong = F.col("got").isNotNull() & (F.col("got") != F.col("value")) & ~F.col("human")
+    wrong = ~F.col("human") & (F.col("got") != F.col("value"))
+    old_prompt = F.coalesce(F.col("got") == F.col("old_prompt_value"), F.lit(False))
     n = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(name)
-    return j.agg(n(F.col("got").isNull(), "missing"), n(wrong, "wrong"), n(wrong & (F.col("got") == F.col("old_text_value")), "wrong_old_text"), n(wrong & (F.col("got") == F.col("old_prompt_value")), "wrong_old_prompt"), n(F.col("human") & (F.col("got") != F.col("value")), "fixes_overwritten"))
+    return j.agg(n(~F.col("human") & F.col("got").isNull(), "missing"), n(wrong, "wrong"), n(wrong & ~old_prompt & (F.col("got") == F.col("old_text_value")), "wrong_old_text"), n(wrong & old_prompt, "wrong_old_prompt"), n(F.col("human") & ~F.col("got").eqNullSafe(F.col("value")), "fixes_overwritten"))
 
 
 def run_metrics(results: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -275,10 +275,13 @@ class Store:
         return State(Catalog.from_json(m["catalog"]), *(layers[n].read(n) for n in TABLES), seq=m["seq"], snapshots=m["snapshots"], layers=layers)
 
     def transact(self, step, attempts: int = 20):
-        """step(state) -> (state, result) on the newest state, committed; on a lost race again on what won, so that two claimers get different jobs and both commit. Returns the result."""
+        """step(state) -> (state, result) on the newest state, committed; on a lost race again on what won, so that two claimers get different jobs and both commit. A step that changes nothing commits nothing. Returns the result."""
         for _ in range(attempts):
             head = self.head()
-            state, result = step(self.load(head))
+            before = self.load(head)
+            state, result = step(before)
+            if head and (state.catalog, state.layers, state.snapshots) == (before.catalog, before.layers, before.snapshots):
+                return result
             try:
                 self.commit(state, head)
             except Conflict:

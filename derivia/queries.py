@@ -15,6 +15,7 @@ from derivia.functions.providers import Answer, HashProvider
 from derivia.operators import capture, compute, contract, evaluate, views
 from derivia.plans.catalog import Catalog
 from derivia.plans.state import JOBS, State, Store, conform, work_folder
+from derivia.sources import tables
 from derivia.sources.tables import table
 from derivia.streaming import runtime
 
@@ -522,6 +523,92 @@ def q_stream_redefined(spark, sf):
     return both.select("event_id", "derived", "flag", F.lit(views.stale_rows(state).count()).alias("stale"))
 
 
+def q_timers(spark, sf):
+    """A model that is out for two minutes: what failed comes back by its timers alone, under a clock that only sleeping moves."""
+    rows = documents(spark, sf)
+    store = Store(spark, f"{work_folder(spark)}/timers-{uuid.uuid4().hex}")
+    state, _ = declared(spark, rows, "documents", ("doc_id",), ("text",))
+    store.commit(state, 0)
+    time = {"now": NOW}
+    sleep = lambda s: time.update(now=time["now"] + dt.timedelta(seconds=s))
+    runtime.worker(store, lambda: {"documents": rows}, lambda now: HashProvider(fail_below=8 if now < NOW + dt.timedelta(minutes=2) else 0), lambda: time["now"], sleep, poll=1000, idle_ends=True)
+    state = store.load()
+    values = views.with_values(state, state.catalog.by_id(1), rows).select("doc_id", "derived")
+    return values.join(state.jobs.select(doc_key(), "attempts", "status"), "doc_id")
+
+
+def q_disable_enable(spark, sf):
+    """A column switched off while half of its jobs are claimed, and on again: the first chunk of the new scan."""
+    rows = table(spark, sf, "orders")
+    state, d = declared(spark, rows, "orders", ("o_orderkey",), TEXT_ORDERS[1:], config={"backfill_chunk": 300})
+    state, d, _ = capture.backfill_step(state, d, rows, NOW)
+    state, _ = contract.claim(state, {"orders": rows}, "w", NOW, 150)
+    state = contract.disabled(state, "orders", "derived")
+    left = state.jobs.select(F.lit("off").alias("when"), order_key(), "status")
+    state, n = contract.enabled(state, "orders", "derived", rows, NOW)
+    return left.union(state.jobs.select(F.lit("on").alias("when"), order_key(), "status")).withColumn("waiting", F.lit(n))
+
+
+def q_retry_dead_rows(spark, sf):
+    state, d = with_jobs(spark, sf)
+    keys_ = state.jobs.where(event_key() % 5 == 0).select("row_key")
+    return contract.retried_dead(state, d, NOW, keys_).jobs.where("last_error = 'boom'").select(event_key(), "status", "attempts")
+
+
+def q_decision_siblings(spark, sf):
+    """A claim of ten decision jobs of one column takes their rows' other questions to the same model along, not those to another."""
+    rows, state = documents(spark, sf), State.empty(spark)
+    for name, model in (("one", "hash-1"), ("two", "hash-1"), ("three", "hash-2")):
+        state, _ = declared(spark, rows, "documents", ("doc_id",), ("text",), "boolean", {}, state, name, prompt=name, model=model, backend="decision")
+        state, _ = capture.backfilled(state, state.catalog.find("documents", name), rows, NOW)
+    _, claimed = contract.claim(state, {"documents": rows}, "w", NOW, 10)
+    return claimed.select("def_id", doc_key())
+
+
+def q_forget_missing(spark, sf):
+    """Rows that went unseen, and then all of them: what is current after each."""
+    state, d, _ = on_documents(spark, sf)
+    state = capture.forgotten_missing(state, d, documents(spark, sf).where("doc_id % 3 <> 1"))
+    some = state.results.where("is_current").select(F.lit("some").alias("when"), doc_key())
+    rows = documents(spark, sf)
+    state = capture.captured(state, d, rows.where("doc_id % 3 <> 1"), rows.limit(0), NOW)
+    return some.union(state.results.where("is_current").select(F.lit("none").alias("when"), doc_key())).union(state.results.where("not is_current").select(F.lit("history").alias("when"), doc_key()))
+
+
+def q_prune_bounded(spark, sf):
+    """The 100 oldest of each that may go, and then every old job."""
+    state, d, _ = on_documents(spark, sf, config={"lineage_retention_days": 30})
+    aged = F.lit(NOW) - F.make_dt_interval(days=F.pmod(doc_key(), F.lit(90)).cast("int"))
+    state = state.put(results=state.results.withColumn("created_at", aged).withColumn("is_current", doc_key() % 5 == 0), jobs=state.jobs.withColumn("updated_at", aged))
+    bounded = contract.pruned(state, NOW, 100)
+    whole = contract.pruned_jobs(bounded, NOW)
+    n = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return n("results", bounded.results).union(n("jobs", bounded.jobs)).union(n("jobs after all", whole.jobs))
+
+
+def q_sources(spark, sf):
+    """Documents through every kind of file that the engine reads and writes."""
+    rows, base = documents(spark, sf), f"{work_folder(spark)}/sources-{uuid.uuid4().hex}"
+    out = []
+    for kind, options in (("parquet", {}), ("orc", {}), ("json", {"compression": "gzip"}), ("csv", {"escape": '"', "multiLine": "true"})):
+        tables.write(rows, f"{base}/{kind}", kind, by=("lang",), **options)
+        back = tables.read(spark, f"{base}/{kind}", kind, "doc_id long, text string, source string, lang string", **options)
+        out.append(back.select(F.lit(kind).alias("kind"), "doc_id", "lang", F.sha2("text", 256).alias("text_hash")))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+def q_failure_audit_naive(spark, sf):
+    """The audit of a process without state: it misses rows, keeps values of old texts and old prompts, and writes over people's values."""
+    rows = documents(spark, sf)
+    word = lambda prompt, text: keys.as_json("enum", F.element_at(F.array(*map(F.lit, LABELS)), F.conv(F.substring(F.sha2(F.concat(F.lit(prompt + "\0"), text), 256), 1, 2), 16, 10).cast("int") % 4 + 1))
+    new = F.concat("text", F.lit(" edited"))
+    human = F.col("doc_id") % 33 == 7
+    text = F.when(F.col("doc_id") % 10 == 3, F.col("text")).otherwise(new)
+    had = rows.where("doc_id % 17 <> 5").select(keys.row_key(("doc_id",)).alias("row_key"), F.when(F.col("doc_id") % 7 == 2, word(PROMPT, text)).otherwise(word(PROMPT_2, text)).alias("value"))
+    expected = rows.select(keys.row_key(("doc_id",)).alias("row_key"), F.when(human, F.lit('"by hand"')).otherwise(word(PROMPT_2, new)).alias("value"), word(PROMPT_2, F.col("text")).alias("old_text_value"), word(PROMPT, new).alias("old_prompt_value"), human.alias("human"))
+    return evaluate.failure_audit(had, expected).select(*[F.col(c).cast("long").alias(c) for c in ("missing", "wrong", "wrong_old_text", "wrong_old_prompt", "fixes_overwritten")])
+
+
 FILLED = "(SELECT count(*) FROM documents)"
 BOTH = f"""(SELECT 'flag' AS c, {h("Is it?")} AS h, text FROM documents UNION ALL SELECT 'shaky', {h("Which?")}, text FROM documents)"""
 COST = "CAST((length(text) // 4 + 10) * 0.5 / 1e6 + 16 / 1e6 AS DECIMAL(38,12))"
@@ -573,6 +660,16 @@ ORACLE = {
     "q_html_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
     "q_stream_equals_batch": f"SELECT event_id, {label(h(PROMPT, 'event_type'))} AS derived FROM events",
     "q_stream_redefined": f"SELECT event_id, {label(h(PROMPT_2, 'event_type'))} AS derived, {byte(h('Is it?', 'event_type'), 0)} % 2 = 0 AS flag, 0 AS stale FROM events",
+    "q_timers": f"SELECT doc_id, {label(h(PROMPT))} AS derived, CASE WHEN {byte(h(PROMPT), 3)} < 8 THEN 4 ELSE 1 END AS attempts, 'done' AS status FROM documents",
+    "q_disable_enable": "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) SELECT 'off' AS when, o_orderkey, 'claimed' AS status, 150 AS waiting FROM o WHERE r <= 150 UNION ALL SELECT 'on', o_orderkey, CASE WHEN r <= 150 THEN 'claimed' ELSE 'pending' END, 150 FROM o WHERE r <= 300",
+    "q_retry_dead_rows": f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'pending' ELSE 'dead' END AS status, CASE WHEN event_id % 5 = 0 THEN 0 ELSE attempts END AS attempts FROM ({JOBS_SQL}) WHERE status = 'dead'",
+    "q_decision_siblings": "SELECT d AS def_id, doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10), (SELECT unnest([1, 2])::BIGINT AS d)",
+    "q_forget_missing": "SELECT 'some' AS when, doc_id FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'history', doc_id FROM documents",
+    "q_prune_bounded": "SELECT 'results' AS what, count(*) - least(100, count(*) FILTER (WHERE doc_id % 5 <> 0 AND doc_id % 90 > 30)) AS n FROM documents UNION ALL SELECT 'jobs', count(*) - least(100, count(*) FILTER (WHERE doc_id % 90 > 7)) FROM documents UNION ALL SELECT 'jobs after all', count(*) FILTER (WHERE doc_id % 90 <= 7) FROM documents",
+    "q_sources": "SELECT kind, doc_id, lang, sha256(text) AS text_hash FROM documents, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS kind)",
+    "q_failure_audit_naive": f"""WITH t AS (SELECT doc_id, text, text || ' edited' AS new, CASE WHEN doc_id % 10 = 3 THEN text ELSE text || ' edited' END AS seen, doc_id % 33 = 7 AS human FROM documents),
+        v AS (SELECT CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN doc_id % 7 = 2 THEN {label(h(PROMPT, 'seen'))} ELSE {label(h(PROMPT_2, 'seen'))} END END AS got, CASE WHEN human THEN 'by hand' ELSE {label(h(PROMPT_2, 'new'))} END AS want, {label(h(PROMPT_2, 'text'))} AS old_text, {label(h(PROMPT, 'new'))} AS old_prompt, human FROM t)
+        SELECT count(*) FILTER (WHERE NOT human AND got IS NULL) AS missing, count(*) FILTER (WHERE NOT human AND got <> want) AS wrong, count(*) FILTER (WHERE NOT human AND got <> want AND got <> old_prompt AND got = old_text) AS wrong_old_text, count(*) FILTER (WHERE NOT human AND got <> want AND got = old_prompt) AS wrong_old_prompt, count(*) FILTER (WHERE human AND got IS DISTINCT FROM want) AS fixes_overwritten FROM v""",
     "q_failure_audit": "SELECT 0::BIGINT AS missing, 0::BIGINT AS wrong, 0::BIGINT AS wrong_old_text, 0::BIGINT AS wrong_old_prompt, 0::BIGINT AS fixes_overwritten",
 }
 

@@ -123,3 +123,40 @@ def test_two_equal_dead_jobs_give_one_live_one(spark):
     dead = state.jobs.withColumn("status", F.lit("dead"))
     twice = state.put(jobs=dead.union(dead))
     assert [r["status"] for r in contract.retried_dead(twice, d, NOW).jobs.collect()] == ["pending"]
+
+
+def test_a_late_update_does_not_bring_a_deleted_row_back(spark, tmp_path):
+    schema = READINGS + ", removed boolean"
+    fed(spark, tmp_path, [(1, "a", 1, False), (2, "b", 1, False)], schema, order="at", deleted="removed")
+    fed(spark, tmp_path, [(2, None, 5, True), (7, None, 9, True)], schema, order="at", deleted="removed")
+    store = fed(spark, tmp_path, [(2, "late", 3, False), (7, "late", 8, None), (1, "c", 2, False)], schema, order="at", deleted="removed")
+    kept = lambda: sorted((r["sensor"], r["note"]) for r in spark.read.parquet(store.load().snapshots["reading"]).collect())
+    assert kept() == [(1, "c")] and sorted(r["row_key"] for r in store.load().cells.collect()) == ['{"sensor":1}']
+    fed(spark, tmp_path, [(2, "back", 6, False)], schema, order="at", deleted="removed")
+    assert kept() == [(1, "c"), (2, "back")]
+
+
+def test_a_worker_pauses_on_a_limited_rate_and_takes_back_what_another_left(spark, tmp_path):
+    from derivia.functions.providers import Answer
+
+    rows = spark.createDataFrame([(k, f"n{k}", 1) for k in range(4)], READINGS)
+    state, d = declared(spark)
+    store = Store(spark, f"{tmp_path}/store")
+    store.commit(state, 0)
+    # one that dies after its claim
+    store.transact(lambda s: contract.claim(capture.backfilled(s, d, rows, NOW)[0], {"reading": rows}, "dead", NOW, 2))
+    time, slept = {"now": NOW}, []
+
+    class Limited(HashProvider):
+        def derive(self, job):
+            return Answer(error="slow down", retryable=True, rate_limited=True)
+
+    def sleep(seconds):
+        slept.append(round(seconds))
+        time["now"] += dt.timedelta(seconds=seconds)
+
+    done = runtime.worker(store, lambda: {"reading": rows}, lambda now: Limited() if now < NOW + dt.timedelta(seconds=5) else HashProvider(), lambda: time["now"], sleep, poll=3600, idle_ends=True)
+    # two fail and pause, wait for their retry, and the dead one's two are taken back after five minutes
+    assert done == {"failed": 2, "written": 4} and slept[0] == 10 and 19 <= slept[1] <= 20 and sum(slept) >= 300
+    state = store.load()
+    assert {(r["status"], r["attempts"]) for r in state.jobs.collect()} == {("done", 2)} and state.cells.count() == 4
