@@ -6,11 +6,11 @@ dictionary frame and then a frame per record. Spark's own text sink commits them
 a retried task leaves no half archive. Its line separator is an empty skippable frame, which Zstandard
 readers pass over; so every file is a plain .zst stream of records.
 
-Reading takes any archive that Spark can list: files come through the binaryFile source, frames are
-decoded one at a time, headers and lengths are validated, and a bad record or file becomes a row with
-its `error` set instead of failing the job or vanishing. That source holds a file in memory, so what
-is written here is rolled at ARCHIVE_BYTES, and a foreign file beyond MOST_BYTES is not read: it gives
-one row that says so.
+Reading takes archives of any size: files come through the binaryFile source, or, beyond CELL_BYTES, as
+a path that the task opens by pyarrow's file systems and streams. Frames are decoded one at a time, by
+their block headers, and never beyond RECORD_BYTES; headers and lengths are validated. A bad record or file, a
+record of more bytes, and a long file on a store that only Spark can open become rows with `error` set
+instead of failing the job or vanishing. Extra columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ TRAIN_BYTES = 1 << 20
 LEVEL = 3
 #: Payload bytes of an archive; one record more may go in.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes of the largest file that is read.
-MOST_BYTES = 1 << 30
+#: Bytes of the largest file that comes to a task as one cell; larger ones the task streams itself.
+CELL_BYTES = 256 << 20
+#: Bytes of the largest record, as it is and as its frame, and of the largest dictionary.
+RECORD_BYTES = 512 << 20
+MOST_DICT_BYTES = 64 << 20
 #: Shares of the pages of one payload, so that a payload of a third of all pages isn't one task's.
 SALTS = 16
 LONG_MAX = (1 << 63) - 1
@@ -221,90 +224,166 @@ def parse_record(raw: bytes) -> dict:
     return out | {"payload": payload, "payload_digest": found, "payload_bytes": len(payload)}
 
 
-def frame_end(view, at: int) -> int:
-    """Where the frame at `at` ends, from its block headers; over len(view) if it is cut."""
-    head = bytes(view[at : at + 18])
-    end = at + zstandard.frame_header_size(head)
+class Source:
+    """A file read forward, with a look ahead."""
+
+    def __init__(self, stream):
+        self.stream, self.ahead, self.at = stream, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.ahead) < n and (more := self.stream.read(max(n, 1 << 16))):
+            self.ahead += more
+        return self.ahead[:n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.ahead = self.ahead[len(out) :]
+        self.at += len(out)
+        return out
+
+    def skip(self, n: int) -> bool:
+        """Whether there were n bytes."""
+        while n and (part := self.take(min(n, 1 << 20))):
+            n -= len(part)
+        return not n
+
+
+def frame(source: Source, most: int) -> bytes | None:
+    """The bytes of the frame here, by its block headers; none if it is cut, and only its head if it has more than `most`."""
+    head = source.peek(18)
+    parts, size = [source.take(zstandard.frame_header_size(head))], 0
     last = False
     while not last:
-        if end + 3 > len(view):
-            return len(view) + 1
-        block = int.from_bytes(view[end : end + 3], "little")
-        last = bool(block & 1)
-        end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-    return end + 4 * zstandard.get_frame_parameters(head).has_checksum
-
-
-def decode_frames(content: bytes):
-    """(position, record bytes or an error text) for each frame of an archive."""
-    view, at, first, reader = memoryview(content), 0, True, None
-    while at < len(view):
-        if len(view) - at < 8:
+        block = source.take(3)
+        if len(block) < 3:
+            return None
+        told = int.from_bytes(block, "little")
+        last = bool(told & 1)
+        n = 1 if told >> 1 & 3 == 1 else told >> 3
+        body = source.take(n)
+        if len(body) < n:
+            return None
+        size += 3 + n
+        if size <= most:
+            parts += [block, body]
+    mark = source.take(4 * zstandard.get_frame_parameters(head).has_checksum)
+    if zstandard.get_frame_parameters(head).has_checksum and len(mark) < 4:
+        return None
+    return parts[0] if size > most else b"".join([*parts, mark])
+
+
+def decoded(reader: zstandard.ZstdDecompressor, whole: bytes, most: int) -> bytes | None:
+    """The content of a frame; none if it has more than `most` bytes, of which no more are held."""
+    out, size = [], 0
+    with reader.stream_reader(whole) as stream:
+        while part := stream.read(1 << 20):
+            size += len(part)
+            if size > most:
+                return None
+            out.append(part)
+    return b"".join(out)
+
+
+def decode_frames(stream, most: int = RECORD_BYTES):
+    """(position, record bytes or an error text) for each frame of an archive; a frame at a time is held."""
+    source, first, reader = Source(stream), True, None
+    while lead := source.peek(8):
+        at = source.at
+        if len(lead) < 8:
             yield at, "truncated frame"
             return
-        magic, size = struct.unpack_from("<II", view, at)
+        magic, size = struct.unpack("<II", lead)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            if at + 8 + size > len(view):
+            source.take(8)
+            wanted = magic == DICT_FRAME_MAGIC and first
+            if wanted and size > MOST_DICT_BYTES:
+                yield at, "bad dictionary: too long"
+                return
+            raw = source.take(size) if wanted else b""
+            if len(raw) < size if wanted else not source.skip(size):
                 yield at, "truncated skippable frame"
                 return
             if magic == DICT_FRAME_MAGIC and not first:
                 yield at, "a dictionary frame that doesn't lead"
-            elif magic == DICT_FRAME_MAGIC:
-                raw = bytes(view[at + 8 : at + 8 + size])
+            elif wanted:
                 try:
                     if raw[:4] == struct.pack("<I", ZSTD_MAGIC):
-                        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
+                        raw = decoded(zstandard.ZstdDecompressor(), raw, MOST_DICT_BYTES)
+                        if raw is None:
+                            raise zstandard.ZstdError("too long")
                     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT))
                 except zstandard.ZstdError as e:
                     yield at, f"bad dictionary: {e}"
                     return
-            at, first = at + 8 + size, False
+            first = False
             continue
         first = False
         if magic != ZSTD_MAGIC:
             yield at, "not a Zstandard frame"
             return
         try:
-            end = frame_end(view, at)
-            if end > len(view):
+            whole = frame(source, most)
+            if whole is None:
                 yield at, "truncated frame"
                 return
-            raw = (reader or zstandard.ZstdDecompressor()).decompressobj().decompress(view[at:end])
+            raw = decoded(reader or zstandard.ZstdDecompressor(), whole, most) if source.at - at <= most else None
         except zstandard.ZstdError as e:
             yield at, f"bad frame: {e}"
             return
-        yield at, raw
-        at = end
+        yield at, f"a record of more than {most} bytes" if raw is None else raw
+
 
+def opened(path: str):
+    """A file of the task's own reading, by whatever file system pyarrow has for it."""
+    from pyarrow import fs
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
+    store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return store.open_input_stream(place, compression=None)
+
+
+def read_archives(spark: SparkSession, path: str, payload: bool = True, cell_bytes: int = CELL_BYTES, record_bytes: int = RECORD_BYTES) -> DataFrame:
     """The records of the archives under path, one row each, in no order.
 
-    A record that breaks the format, the rest of a file that can't be decoded further, and a file of
-    more than most_bytes give a row with `error` set and what is known of it. Records of one id are
-    all there. payload=False leaves the payload column null.
+    A record that breaks the format or has more than record_bytes, the rest of a file that can't be
+    decoded further, and a file that can't be opened give a row with `error` set and what is known of it.
+    Files of more than cell_bytes are streamed. Records of one id are all there. payload=False leaves the
+    payload column null.
     """
 
+    def records(name: str, stream):
+        rows, size = [], 0
+        for at, raw in decode_frames(stream, record_bytes):
+            row = {"archive": name, "position": at}
+            try:
+                row |= {"error": raw} if isinstance(raw, str) else parse_record(raw)
+            except ValueError as e:
+                row["error"] = str(e)
+            if not payload:
+                row["payload"] = None
+            rows.append(row)
+            size += len(row.get("payload") or b"") + 500
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows, size = [], 0
-                for at, raw in decode_frames(content.as_buffer()):
-                    row = {"archive": name, "position": at}
-                    try:
-                        row |= {"error": raw} if isinstance(raw, str) else parse_record(raw)
-                    except ValueError as e:
-                        row["error"] = str(e)
-                    if not payload:
-                        row["payload"] = None
-                    rows.append(row)
-                    size += len(row.get("payload") or b"") + 500
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+                yield from records(name, pa.BufferReader(content.as_buffer()))
+
+    def parse_long(batches):
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                try:
+                    stream = opened(name)
+                except (OSError, ValueError, NotImplementedError) as e:
+                    yield pa.RecordBatch.from_pylist([{"archive": name, "error": f"can't be opened: {e}"}], pa.schema(FIELDS))
+                    continue
+                with stream:
+                    yield from records(name, stream)
 
     files = spark.read.format("binaryFile").load(path)
-    unread = files.where(F.col("length") > most_bytes).select(F.col("path").alias("archive"), F.concat(F.lit("a file of "), F.col("length"), F.lit(" bytes is not read")).alias("error"))
-    return files.where(F.col("length") <= most_bytes).select("path", "content").mapInArrow(parse, READ_SCHEMA).unionByName(unread, allowMissingColumns=True)
+    short = files.where(F.col("length") <= cell_bytes).select("path", "content").mapInArrow(parse, READ_SCHEMA)
+    return short.union(files.where(F.col("length") > cell_bytes).select("path").mapInArrow(parse_long, READ_SCHEMA))

@@ -97,6 +97,25 @@ def test_warc_archives_roll_and_keep_repeated_pages(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_streams_long_files_and_bounds_records(spark, tmp_path):
+    import zstandard
+
+    rng = random.Random(8)
+    rows = [(k, f"http://h/{k}", sentence(rng, 300)) for k in range(300)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    fields = ["page_id", "url", "record_type", "payload_digest", "payload", "error", "archive", "position"]
+    read = lambda **o: sorted(map(tuple, warc.read_archives(spark, path, **o).select(*fields).collect()), key=str)
+    assert len(read()) == 300 and read(cell_bytes=1000) == read()
+    # small frames that hold much
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "bomb.zst").write_bytes(pack(record()) + pack(b"0" * 5_000_000) + pack(record(ident="<urn:page:2>")))
+    for o in ({}, {"cell_bytes": 10}):
+        got = {r["position"]: (r["page_id"], r["error"]) for r in warc.read_archives(spark, str(tmp_path / "z"), record_bytes=1_000_000, **o).collect()}
+        assert sorted(got.values(), key=str) == [(1, None), (2, None), (None, "a record of more than 1000000 bytes")]
+
+
 def record(date="2020-01-01T00:00:00Z", ident="<urn:page:1>", kind="response", **more):
     head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": date, "Content-Length": "20", **{k.replace("_", "-"): v for k, v in more.items()}}
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\nHTTP/1.1 200 OK\r\n\r\nx\r\n\r\n").encode()
@@ -125,12 +144,12 @@ def test_warc_damage_becomes_rows(spark, tmp_path):
         "date": (pack(record(date="yesterday")) + pack(record(kind="revisit")), ["bad warc-date", "a revisit without a profile"]),
         "head": (pack(b"WARC/1.1\r\n") + pack(record().replace(b"1.1", b"9.9", 1)) + pack(record(WARC_Payload_Digest="md5:00")), ["the header has no end", "unknown version line", "unknown digest"]),
         "empty": (b"", []),
-        "large": (good * 40, ["a file of"]),
+        "large": (good * 40, [None] * 40),
     }
     for name, (content, _) in files.items():
         (tmp_path / name).write_bytes(content)
     got = {}
-    for r in warc.read_archives(spark, str(tmp_path), most_bytes=len(good) * 39).orderBy("archive", "position").collect():
+    for r in warc.read_archives(spark, str(tmp_path), cell_bytes=len(good) * 39).orderBy("archive", "position").collect():
         got.setdefault(r["archive"].rsplit("/", 1)[1], []).append(r)
     for name, (_, errors) in files.items():
         found = [r["error"] for r in got.get(name, [])]
