@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from derivia.functions.keys import as_json, keyset_after, row_key, row_order, source_hash
 from derivia.operators import scan
 from derivia.plans.catalog import Definition
-from derivia.plans.state import RESULTS, Layer, State, conform, counted, deleted_path
+from derivia.plans.state import FEW_ROWS, RESULTS, Layer, State, conform, counted, deleted_path
 
 LIVE = ("pending", "claimed")
 KEY = ["def_id", "row_key"]
@@ -55,10 +55,15 @@ def declared(state: State, rows: DataFrame, table: str, column: str, pk, sources
     return replace(state, catalog=catalog), d
 
 
-def enqueued(state: State, todo: DataFrame, now) -> State:
-    """Queue rows (def_id, row_key, row_order, source_hash): a live job only gets the new hash, others become pending. What is written are these rows."""
+def of_keys(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Rows of the keys (def_id, row_key), which are few: found without a shuffle of all rows. No keys: all rows."""
+    return rows if keys is None else rows.join(F.broadcast(keys.select(*KEY).distinct()), KEY, "left_semi")
+
+
+def enqueued(state: State, todo: DataFrame, now, few: DataFrame | None = None) -> State:
+    """Queue rows (def_id, row_key, row_order, source_hash): a live job only gets the new hash, others become pending. What is written are these rows. few are their keys, if few."""
     t = todo.select(*KEY, F.col("row_order").alias("_order"), F.col("source_hash").alias("_hash"))
-    rows = t.join(state.jobs.where(is_live()), KEY, "left").where(~F.col("_hash").eqNullSafe(F.col("source_hash")))
+    rows = t.join(of_keys(state.jobs.where(is_live()), few), KEY, "left").where(~F.col("_hash").eqNullSafe(F.col("source_hash")))
     known = F.col("status").isNotNull()
     return state.changed(jobs=rows.select(
         *KEY, F.coalesce("row_order", "_order").alias("row_order"), F.col("_hash").alias("source_hash"), F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
@@ -86,12 +91,12 @@ def without_current(found: DataFrame) -> DataFrame:
     return conform(found.where("_old is not null").select("_old.*").withColumn("is_current", F.lit(False)), RESULTS)
 
 
-def needing_work(state: State, defs: list[Definition], keys: DataFrame, backfill: bool) -> DataFrame:
+def needing_work(state: State, defs: list[Definition], keys: DataFrame, backfill: bool, few: DataFrame | None = None) -> DataFrame:
     """Rows of the definitions without a current value on their sources under the present version.
 
     A scan of the table passes over what people set; a change of sources only under the policy 'pin'.
     """
-    current = state.results.where(F.col("is_current") & F.col("def_id").isin([d.def_id for d in defs]))
+    current = of_keys(state.results.where(F.col("is_current") & F.col("def_id").isin([d.def_id for d in defs])), few)
     human = F.col("source") == "human"
     blocks = human & by_definition({d.def_id: backfill or d.config["override_policy"] == "pin" for d in defs})
     held = current.select(*KEY, F.col("source_hash").alias("_hash"), blocks.alias("_pinned"), (~human & (F.col("version") == by_definition({d.def_id: d.current.number for d in defs}))).alias("_now"))
@@ -118,6 +123,21 @@ def captured(state: State, d: Definition, before: DataFrame, after: DataFrame, n
     return forgotten(state, d, keyed(d, before).join(keyed(d, after).select("row_key"), "row_key", "left_anti"))
 
 
+def captured_changes(state: State, d: Definition, changes: DataFrame, n: int, now) -> State:
+    """captured, from a table's n changed rows at most, each key once: `_gone` tells deletes, `_known` rows that were there, `_changed` which of their columns are other than they were. No other row of the table is read."""
+    rows = changes.where("not _gone")
+    if d.enabled and not d.deleted:
+        new = ~F.col("_known") | F.arrays_overlap("_changed", F.array(*map(F.lit, d.sources)))
+        keys = keyed(d, rows.where(new))
+        few = keys if n <= FEW_ROWS else None
+        state = enqueued(state, needing_work(state, [d], keys, False, few), now, few)
+    if d.column in changes.columns:
+        own = F.when(F.col(f"`{d.column}`").isNotNull(), as_json(d.output_type, F.col(f"`{d.column}`")))
+        by_people = rows.where(F.col("_known") & F.array_contains("_changed", d.column))
+        state = overridden(state, d, by_people.select(row_key(d.pk).alias("row_key"), row_order(d.pk, dict(rows.dtypes)).alias("row_order"), source_hash(d.sources).alias("source_hash"), own.alias("value")), now)
+    return forgotten(state, d, keyed(d, changes.where("_gone")))
+
+
 def overridden(state: State, d: Definition, values: DataFrame, now) -> State:
     """People's values (row_key, row_order, source_hash, value as JSON): they become current and end live jobs; null asks for a new computation instead."""
     found = with_state(state, values.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", "row_order", "source_hash", "value"), "overrides")

@@ -72,10 +72,12 @@ def picked(state: State, now, open_ids: set[int], batch_size: int | None) -> Dat
 def claim(state: State, tables: dict[str, DataFrame], worker: str, now, batch_size: int | None = 20, backends: list[str] | None = None) -> tuple[State, DataFrame]:
     """Claim ready jobs and read their sources as they are now; jobs whose row is gone are dropped. Without a batch size all ready jobs are claimed, in one pass.
 
-    Definitions on the same sources of a table share one scan of it. What is written are the claimed jobs.
+    Definitions on the same sources of a table share one scan of it; those of tables that aren't given wait.
+    What is written are the claimed jobs.
     """
     ids = open_definitions(state, now, backends)
-    defs = [d for d in state.catalog.defs if d.def_id in ids]
+    defs = [d for d in state.catalog.defs if d.def_id in ids and d.table in tables]
+    ids = {d.def_id for d in defs}
     if not defs:
         return state, state.jobs.sparkSession.createDataFrame([], CLAIMED)
     places = {p: k for k, p in enumerate(dict.fromkeys((d.table, d.pk, d.sources) for d in defs))}
@@ -174,9 +176,10 @@ def backed_off(state: State, jobs: DataFrame, now) -> DataFrame:
     return j.withColumns({"next_attempt_at": F.when(hit & ~dead, F.lit(now) + wait).otherwise(F.col("next_attempt_at")), "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error")), "status": F.when(dead, "dead").when(hit, "pending").otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))})
 
 
-def reclaimed(state: State, now, timeout: dt.timedelta = dt.timedelta(minutes=5)) -> State:
-    """Claims older than the timeout go back, or die when out of attempts; their turn stays."""
-    late = state.jobs.where((F.col("status") == "claimed") & (F.col("claimed_at") < F.lit(now - timeout))).join(F.broadcast(state.defs().select("def_id", "max_attempts")), "def_id", "left")
+def reclaimed(state: State, now, timeout: dt.timedelta = dt.timedelta(minutes=5), worker: str | None = None) -> State:
+    """Claims older than the timeout, or all of one worker, go back, or die when out of attempts; their turn stays."""
+    which = F.col("claimed_at") < F.lit(now - timeout) if worker is None else F.col("claimed_by") == worker
+    late = state.jobs.where((F.col("status") == "claimed") & which).join(F.broadcast(state.defs().select("def_id", "max_attempts")), "def_id", "left")
     return state.changed(jobs=late.withColumns({"last_error": F.lit("reclaimed: the worker gave no answer in time"), "updated_at": F.lit(now), "status": F.when(F.col("attempts") >= F.col("max_attempts"), "dead").otherwise("pending")}))
 
 

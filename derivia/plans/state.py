@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from derivia.plans.catalog import DEF_SCHEMA, Catalog
 
@@ -26,6 +27,13 @@ TABLES = {"jobs": JOBS, "results": RESULTS, "spend": SPEND, "cells": CELLS}
 KEYS = {"jobs": ("def_id", "row_key", "seq"), "results": ("def_id", "row_key", "seq"), "spend": ("def_id", "day"), "cells": ("def_id", "row_key")}
 #: Bases lie in folders by this column, so that claims don't read finished jobs, nor reads of what is current history.
 FOLDERS = {"jobs": "status", "results": "is_current"}
+
+
+def keys_of(name: str | tuple[str, ...]) -> tuple[str, ...]:
+    """The key of a table of the state; of rows of a streamed table, which go by their key, that."""
+    return KEYS[name] if isinstance(name, str) else name
+
+
 #: Layers of changes that a table has at most.
 MOST_LAYERS = 6
 #: A base is written anew when the changes have so many times its rows.
@@ -54,13 +62,13 @@ class Layers:
     base: Layer
     changes: tuple[Layer, ...] = ()
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str | tuple[str, ...]) -> DataFrame:
         out, columns = self.base.rows, self.base.rows.columns
         for c in self.changes:
-            out = out.join(c_keys(name, c), [*KEYS[name]], "left_anti").select(*columns).union(c.rows.where("not _gone").select(*columns))
+            out = out.join(c_keys(name, c), [*keys_of(name)], "left_anti").select(*columns).union(c.rows.where("not _gone").select(*columns))
         return out
 
-    def with_change(self, name: str, change: Layer) -> Layers:
+    def with_change(self, name: str | tuple[str, ...], change: Layer) -> Layers:
         """With one layer more, folded or with a new base as the sizes say."""
         if not change.n:
             return self
@@ -68,7 +76,7 @@ class Layers:
             return Layers(Layer(change.rows.where("not _gone").drop("_gone"), change.n))
         changes = [*self.changes, change]
         if self.base.n > 0 and sum(c.n for c in changes) > REWRITE_AT * self.base.n:
-            return Layers(counted(Layers(self.base, tuple(changes)).read(name), name, FOLDERS.get(name)))
+            return Layers(counted(Layers(self.base, tuple(changes)).read(name), name if isinstance(name, str) else "rows", FOLDERS.get(name)))
         if len(changes) > MOST_LAYERS:
             # the last layers as long as the one before isn't much larger than they together; two at least
             k, total = len(changes) - 2, changes[-1].n + changes[-2].n
@@ -79,22 +87,34 @@ class Layers:
         return Layers(self.base, tuple(changes))
 
 
-def c_keys(name: str, layer: Layer) -> DataFrame:
-    keys = layer.rows.select(*KEYS[name])
+def c_keys(name: str | tuple[str, ...], layer: Layer) -> DataFrame:
+    keys = layer.rows.select(*keys_of(name))
     return F.broadcast(keys) if layer.n <= FEW_ROWS else keys
 
 
-def folded(name: str, layers: list[Layer]) -> Layer:
+def folded(name: str | tuple[str, ...], layers: list[Layer]) -> Layer:
     """Several layers as one; what is gone stays told."""
     out = layers[0].rows
     for c in layers[1:]:
-        out = out.join(c_keys(name, c), [*KEYS[name]], "left_anti").select(*out.columns).union(c.rows.select(*out.columns))
-    return counted(out, name)
+        out = out.join(c_keys(name, c), [*keys_of(name)], "left_anti").select(*out.columns).union(c.rows.select(*out.columns))
+    return counted(out, name if isinstance(name, str) else "rows")
+
+
+@dataclass(frozen=True)
+class Streamed:
+    """The rows of a streamed table: its key, base and changes, and the micro-batch (its stream and number) that they end with."""
+
+    pk: tuple[str, ...]
+    layers: Layers
+    upto: tuple[str, int]
+
+    def read(self) -> DataFrame:
+        return self.layers.read(self.pk)
 
 
 @dataclass(frozen=True)
 class State:
-    """jobs: live and finished work; results: every value ever, with what is current; spend: cost by UTC day; cells: what the columns hold; snapshots: where the last rows of streamed tables are."""
+    """jobs: live and finished work; results: every value ever, with what is current; spend: cost by UTC day; cells: what the columns hold; streams: the last rows of streamed tables."""
 
     catalog: Catalog
     jobs: DataFrame
@@ -102,7 +122,7 @@ class State:
     spend: DataFrame
     cells: DataFrame
     seq: int = 0
-    snapshots: dict[str, str] = field(default_factory=dict)
+    streams: dict[str, Streamed] = field(default_factory=dict)
     #: base and changes of the tables that are written as such; the others are plans
     layers: dict[str, Layers] = field(default_factory=dict)
 
@@ -240,15 +260,18 @@ class Store:
         return {"path": layer.path.removeprefix(f"{self.path}/"), "n": layer.n}
 
     def commit(self, state: State, parent: int) -> int:
-        """Store the state as the successor of `parent`; Conflict if that has one already. Snapshots that the parent names stay named."""
+        """Store the state as the successor of `parent`; Conflict if that has one already. Streamed tables that the parent names stay named."""
         tables = {}
         for name in TABLES:
             own = state.layers.get(name)
             if own is None or own.base.n < 0:
                 own = Layers(Layer(getattr(state, name), -1))
             tables[name] = {"base": self.stored(own.base, name, FOLDERS.get(name)), "changes": [self.stored(c, name) for c in own.changes]}
-        kept = (self.manifest(parent)["snapshots"] if parent else {}) | state.snapshots
-        if not published(self.spark, f"{self.path}/manifests/{parent + 1}", json.dumps({"tables": tables, "seq": state.seq, "catalog": state.catalog.to_json(), "snapshots": kept})):
+        kept = self.manifest(parent)["streams"] if parent else {}
+        for name, t in state.streams.items():
+            folder = f"rows/{name}"
+            kept[name] = {"pk": t.pk, "schema": t.layers.base.rows.schema.jsonValue(), "upto": t.upto, "base": self.stored(t.layers.base, folder), "changes": [self.stored(c, folder) for c in t.layers.changes]}
+        if not published(self.spark, f"{self.path}/manifests/{parent + 1}", json.dumps({"tables": tables, "seq": state.seq, "catalog": state.catalog.to_json(), "streams": kept})):
             raise Conflict(f"manifest {parent + 1} exists")
         self.expire(parent + 1)
         return parent + 1
@@ -258,21 +281,27 @@ class Store:
         old = head - self.keep
         if old < 1 or str(old) not in listed(self.spark, f"{self.path}/manifests"):
             return
-        names = lambda m: {x["path"] for t in m["tables"].values() for x in (t["base"], *t["changes"])} | set(m["snapshots"].values())
+        names = lambda m: {x["path"] for t in (*m["tables"].values(), *m["streams"].values()) for x in (t["base"], *t["changes"])}
         gone = names(self.manifest(old)) - names(self.manifest(old + 1))
         for path in gone:
-            deleted_path(self.spark, path if "/" == path[0] or ":" in path else f"{self.path}/{path}")
+            deleted_path(self.spark, f"{self.path}/{path}")
         deleted_path(self.spark, f"{self.path}/manifests/{old}")
 
     def load(self, version: int | None = None) -> State:
         version = version or self.head()
         if not version:
             return State.empty(self.spark)
-        m, layers = self.manifest(version), {}
+        m, layers, streams = self.manifest(version), {}, {}
+        place = lambda x: f"{self.path}/{x['path']}"
         for name, t in m["tables"].items():
-            read = lambda x, schema: Layer(conform(self.spark.read.schema(schema).parquet(f"{self.path}/{x['path']}"), schema), x["n"], f"{self.path}/{x['path']}")
+            read = lambda x, schema: Layer(conform(self.spark.read.schema(schema).parquet(place(x)), schema), x["n"], place(x))
             layers[name] = Layers(read(t["base"], TABLES[name]), tuple(read(c, TABLES[name] + ", _gone boolean") for c in t["changes"]))
-        return State(Catalog.from_json(m["catalog"]), *(layers[n].read(n) for n in TABLES), seq=m["seq"], snapshots=m["snapshots"], layers=layers)
+        for name, t in m["streams"].items():
+            fields = StructType.fromJson(t["schema"])
+            rows = lambda x, schema: Layer(self.spark.read.schema(schema).parquet(place(x)), x["n"], place(x))
+            marked = StructType([*fields.fields, StructField("_gone", BooleanType())])
+            streams[name] = Streamed(tuple(t["pk"]), Layers(rows(t["base"], fields), tuple(rows(c, marked) for c in t["changes"])), tuple(t["upto"]))
+        return State(Catalog.from_json(m["catalog"]), *(layers[n].read(n) for n in TABLES), seq=m["seq"], streams=streams, layers=layers)
 
     def transact(self, step, attempts: int = 20):
         """step(state) -> (state, result) on the newest state, committed; on a lost race again on what won, so that two claimers get different jobs and both commit. A step that changes nothing commits nothing. Returns the result."""
@@ -280,7 +309,7 @@ class Store:
             head = self.head()
             before = self.load(head)
             state, result = step(before)
-            if head and (state.catalog, state.layers, state.snapshots) == (before.catalog, before.layers, before.snapshots):
+            if head and (state.catalog, state.layers, state.streams) == (before.catalog, before.layers, before.streams):
                 return result
             try:
                 self.commit(state, head)

@@ -187,3 +187,29 @@ def test_a_stream_goes_on_with_scans_of_changed_definitions(spark, tmp_path):
     fresh, _ = runtime.run_once(fresh, {"machine": rows}, HashProvider(), NOW)
     values = lambda s: sorted((r["def_id"], r["row_key"], r["value"]) for r in s.cells.collect())
     assert values(state) == values(fresh) and len(values(state)) == 12
+
+
+def test_a_stream_knows_its_keys(spark, tmp_path):
+    schema = "machine long, note string, at int, removed boolean"
+    empty = spark.createDataFrame([], schema)
+    store = Store(spark, str(tmp_path / "s"))
+    state, _ = capture.declared(State.empty(spark), empty, "machine", "size", ("machine",), ("note",), "enum", prompt="how big?", model="hash-1", schema=SIZES)
+    store.commit(state, 0)
+
+    def fed(rows, place="first"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{place}/in")
+        changes = spark.readStream.schema(schema).parquet(f"{tmp_path}/{place}/in")
+        runtime.on_stream(changes, store, "machine", ("machine",), HashProvider(), f"{tmp_path}/{place}/checkpoint", lambda: NOW, order="at", deleted="removed").awaitTermination()
+        return store.load()
+
+    fed([(k, f"n{k}", 1, False) for k in range(40)])
+    # a delete, a change, and one that comes again: two rows are written
+    state = fed([(2, None, 3, True), (1, "new", 3, None), (0, "n0", 1, False)])
+    assert [c.n for c in state.streams["machine"].layers.changes] == [2]
+    # late ones change nothing, neither that of a deleted row nor with a new checkpoint
+    fed([(2, "late", 2, False), (1, "late", 2, False)])
+    state = fed([(1, "old", 0, False), (50, "n50", 1, False)], "second")
+    rows = {r["machine"]: r["note"] for r in state.streams["machine"].read().collect()}
+    assert rows == {k: f"n{k}" for k in (*range(40), 50) if k != 2} | {1: "new"}
+    assert {r["row_key"] for r in state.cells.collect()} == {f'{{"machine":{k}}}' for k in rows}
+    assert state.jobs.where(capture.is_live()).count() == 0 and views.stale_rows(state).count() == 0

@@ -67,7 +67,7 @@ def test_a_stream_keeps_its_rows_whoever_commits_between(spark, tmp_path):
     store.commit(State(s.catalog, s.jobs, s.results, s.spend, s.cells, s.seq), store.head())  # it knows of no snapshot
     fed(spark, tmp_path, [(3, "c", 2)])
     state = store.load()
-    rows = spark.read.parquet(state.snapshots["reading"])
+    rows = state.streams["reading"].read()
     assert sorted(r["sensor"] for r in rows.collect()) == [1, 2, 3]
     assert views.with_values(state, state.catalog.by_id(1), rows).where("size is null").count() == 0
 
@@ -78,7 +78,7 @@ def test_rows_of_a_lost_commit_are_never_read(spark, tmp_path):
     # a writer that lost the race left its rows under the next number
     spark.createDataFrame([(9, "lost", 9)], READINGS).write.parquet(f"{store.path}/rows/reading/{store.head() + 1}")
     fed(spark, tmp_path, [(2, "b", 2)])
-    assert sorted(r["sensor"] for r in spark.read.parquet(store.load().snapshots["reading"]).collect()) == [1, 2]
+    assert sorted(r["sensor"] for r in store.load().streams["reading"].read().collect()) == [1, 2]
 
 
 def test_deletes_in_a_stream_forget_their_rows(spark, tmp_path):
@@ -86,7 +86,7 @@ def test_deletes_in_a_stream_forget_their_rows(spark, tmp_path):
     fed(spark, tmp_path, [(1, "a", 1, False), (2, "b", 1, None), (3, "c", 1, False)], schema, order="at", deleted="removed")
     store = fed(spark, tmp_path, [(2, None, 2, True), (3, "c2", 3, False), (3, None, 2, True)], schema, order="at", deleted="removed")
     state = store.load()
-    rows = spark.read.parquet(state.snapshots["reading"])
+    rows = state.streams["reading"].read()
     assert sorted((r["sensor"], r["note"]) for r in rows.collect()) == [(1, "a"), (3, "c2")]
     assert sorted(r["row_key"] for r in state.cells.collect()) == ['{"sensor":1}', '{"sensor":3}']
     assert state.jobs.where(capture.is_live()).count() == 0
@@ -130,7 +130,7 @@ def test_a_late_update_does_not_bring_a_deleted_row_back(spark, tmp_path):
     fed(spark, tmp_path, [(1, "a", 1, False), (2, "b", 1, False)], schema, order="at", deleted="removed")
     fed(spark, tmp_path, [(2, None, 5, True), (7, None, 9, True)], schema, order="at", deleted="removed")
     store = fed(spark, tmp_path, [(2, "late", 3, False), (7, "late", 8, None), (1, "c", 2, False)], schema, order="at", deleted="removed")
-    kept = lambda: sorted((r["sensor"], r["note"]) for r in spark.read.parquet(store.load().snapshots["reading"]).collect())
+    kept = lambda: sorted((r["sensor"], r["note"]) for r in store.load().streams["reading"].read().collect())
     assert kept() == [(1, "c")] and sorted(r["row_key"] for r in store.load().cells.collect()) == ['{"sensor":1}']
     fed(spark, tmp_path, [(2, "back", 6, False)], schema, order="at", deleted="removed")
     assert kept() == [(1, "c"), (2, "back")]
