@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from derivia.functions import keys, replies
 from derivia.functions.providers import Answer, Provider, classify, priced
 from derivia.operators.contract import COMPUTED
 from derivia.plans.catalog import Definition
@@ -46,12 +47,21 @@ def settings(d: Definition) -> dict:
 
 
 def derived(jobs: DataFrame, d: Definition, provider: Provider) -> DataFrame:
-    """A call for each row, as many at once in a task as the column's concurrency says."""
+    """A call for each row, as many at once in a task as the column's concurrency says.
+
+    A provider with `reply` gets the whole message and the schema of the reply, and gives the model's text as
+    value; that is parsed and checked against the schema in the JVM, and a wrong one is an error that may be tried again.
+    """
     s = settings(d)
+    raw = hasattr(provider, "reply")
+    if raw:
+        s |= {"response_schema": replies.response_schema(d.output_type, d.current.schema)}
+        jobs = jobs.withColumn("message", keys.user_message(d.current.prompt or "", d.current.schema, F.coalesce("text", F.lit(""))))
+    ask = provider.reply if raw else provider.derive
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         threads = max(1, int(s["config"]["concurrency"]))
-        one = lambda x: row_of(x, tried(lambda: [provider.derive(s | x)], 1)[0], s["config"])
+        one = lambda x: row_of(x, tried(lambda: [ask(s | x)], 1)[0], s["config"])
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
                 todo = batch.to_dict("records")
@@ -60,7 +70,17 @@ def derived(jobs: DataFrame, d: Definition, provider: Provider) -> DataFrame:
                 parts = pool.map(lambda k: [one(x) for x in todo[k : k + part]], range(0, len(todo), part))  # noqa: B023
                 yield frame([r for p in parts for r in p])
 
-    return jobs.mapInPandas(run, COMPUTED)
+    out = jobs.mapInPandas(run, COMPUTED)
+    return checked_replies(out, d) if raw else out
+
+
+def checked_replies(answers: DataFrame, d: Definition) -> DataFrame:
+    """Answers whose value is a reply's text, with the value and confidence that it holds, or with what is wrong with it; what they cost stays."""
+    text = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"]
+    got = answers.withColumn("_reply", F.when(F.col("error").isNull(), replies.checked(d.output_type, d.current.schema, text)))
+    wrong = F.col("_reply.error").isNotNull()
+    new = {"value": F.col("_reply.value"), "confidence": F.col("_reply.confidence").cast("float"), "error": F.coalesce("error", "_reply.error"), "retryable": wrong | F.col("retryable")}
+    return got.withColumns(new).select(*COLUMNS)
 
 
 def embedded(jobs: DataFrame, d: Definition, provider: Provider) -> DataFrame:

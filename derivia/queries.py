@@ -23,6 +23,8 @@ NOW = dt.datetime(2026, 1, 15, 12, 0, 0)
 LABELS = ["low", "medium", "high", "none"]
 PROMPT = "How urgent is this?"
 PROMPT_2 = "How urgent is this, really?"
+#: All priorities of orders but one, which replies mustn't have.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
 TEXT_ORDERS = ("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
@@ -480,6 +482,31 @@ def q_failure_audit(spark, sf):
     return evaluate.failure_audit(state.cells.where("def_id = 1"), expected).select(*[F.col(c).cast("long").alias(c) for c in ("missing", "wrong", "wrong_old_text", "wrong_old_prompt", "fixes_overwritten")])
 
 
+class ChatProvider:
+    """A chat model that replies as text, right or wrong in ways that the text of the row tells: what it is asked is in the message."""
+
+    def reply(self, job: dict) -> Answer:
+        key, priority = (line.split(": ", 1)[1] for line in job["message"].rsplit("Data:\n", 1)[1].split("\n"))
+        good = f'{{"value": "{priority}", "confidence": 0.5}}'
+        kinds = [
+            good, f"```json\n{good}\n```\nThat is all.", f'{{"value": "{priority}"}}', f'{{"value": "{priority}", "confidence": 0.5, "why": 1}}', f'{{"value": "{priority}", "confidence": {key}}}',
+            '{"value": 7, "confidence": 0.5}', f"I think {priority}", f'["{priority}", 0.5]', '{"value": null, "confidence": 0.5}',
+        ]
+        return Answer(kinds[int(key) % 9], model="chat-1", usage={"prompt_tokens": 5, "completion_tokens": 5, "cost": 0.25})
+
+
+def q_replies(spark, sf):
+    """Replies of every kind over orders, through the message, the reply's schema and its check: what is current, and why the others failed."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    rows = rows.withColumn("priority_text", F.col("o_orderpriority")).withColumn("key_", F.col("o_orderkey"))
+    state, d = declared(spark, rows, "orders", ("o_orderkey",), ("priority_text", "key_"), schema={x: x.lower() for x in PRIORITIES}, config={"max_attempts": 1})
+    state, d = capture.backfilled(state, d, rows, NOW)
+    state, _ = runtime.run_once(state, {"orders": rows}, ChatProvider(), NOW)
+    key = lambda: F.get_json_object("row_key", "$.o_orderkey").cast("long").alias("o_orderkey")
+    fine = state.results.where("is_current").select(key(), keys.typed_value("enum", F.col("value")).alias("value"), F.col("confidence").cast("double").alias("confidence"), F.lit(None).cast("string").alias("error"))
+    return fine.union(state.jobs.where("status = 'dead'").select(key(), F.lit(None).cast("string"), F.lit(None).cast("double"), "last_error"))
+
+
 def streamed_events(spark, sf, files: int):
     """Events in some files, a store that has no column yet, and what runs the stream over the files so far."""
     base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -658,6 +685,10 @@ ORACLE = {
     "q_prune": "SELECT 'result' AS kept, doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 90 <= 30 UNION ALL SELECT 'job', doc_id FROM documents WHERE doc_id % 90 <= 7",
     "q_json_extract": "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events",
     "q_html_title": "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
+    "q_replies": f"""SELECT o_orderkey, CASE WHEN error IS NULL THEN o_orderpriority END AS value, CASE WHEN error IS NULL THEN CAST(0.5 AS DOUBLE) END AS confidence, error FROM (
+        SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 9 WHEN 2 THEN 'reply: no confidence' WHEN 3 THEN 'reply: other fields than asked for' WHEN 5 THEN 'value: not of type string'
+            WHEN 6 THEN 'reply: not JSON' WHEN 7 THEN 'reply: not of type object' WHEN 8 THEN 'value: not of type string'
+            ELSE CASE WHEN o_orderpriority NOT IN ({', '.join(repr(x) for x in PRIORITIES)}) THEN 'value: not an allowed value' WHEN o_orderkey % 9 = 4 AND o_orderkey > 1 THEN 'confidence: more than 1' END END AS error FROM orders) t""",
     "q_stream_equals_batch": f"SELECT event_id, {label(h(PROMPT, 'event_type'))} AS derived FROM events",
     "q_stream_redefined": f"SELECT event_id, {label(h(PROMPT_2, 'event_type'))} AS derived, {byte(h('Is it?', 'event_type'), 0)} % 2 = 0 AS flag, 0 AS stale FROM events",
     "q_timers": f"SELECT doc_id, {label(h(PROMPT))} AS derived, CASE WHEN {byte(h(PROMPT), 3)} < 8 THEN 4 ELSE 1 END AS attempts, 'done' AS status FROM documents",
