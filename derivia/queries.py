@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from derivia.functions import keys
 from derivia.functions.providers import Answer, HashProvider
-from derivia.operators import capture, compute, contract, evaluate, views
+from derivia.operators import capture, compute, contract, evaluate, similar, views
 from derivia.plans.catalog import Catalog
 from derivia.plans.state import JOBS, State, Store, conform, work_folder
 from derivia.sources import tables
@@ -394,6 +394,15 @@ def q_similar_topk(spark, sf):
     return evaluate.nearest(e, "vec_id", "embedding", first, 20).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
+def q_similar_index(spark, sf):
+    """The 20 rows nearest to every hundredth row, through the index; an approximation, so no SQL, and held against brute force by a test."""
+    e = table(spark, sf, "embeddings")
+    size = e.where("embedding is not null").select(F.size("embedding").alias("n")).head()
+    index = similar.indexed(e, "vec_id", "embedding", size["n"] if size else 1)
+    asks = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return similar.nearest(index, asks, "query_id", "embedding", 20)
+
+
 def predictions(spark, sf) -> DataFrame:
     """pred, other, gold, confidence: two models' booleans against the quality label."""
     rows = documents(spark, sf)
