@@ -71,17 +71,18 @@ def log_factorial(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, rate) where k is below the mean (1 elsewhere): terms from k downwards.
+    """P(X <= k) for X ~ Binomial(n, rate) where k is below the mean (1 elsewhere): the sum of its terms from k downwards.
 
-    After 4096 terms the rest is bounded from above by a geometric series, as terms fall off ever faster;
-    so the value is exact up to that many rejections, and never too small.
+    Below the mean m = n * rate the j-th term is at most exp(-j (j - 1) / 2m) of the first, so that all terms
+    after 12 sqrt(m) + 64 together are less than a double can tell; the sum ends there, or at the last term.
     """
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate)))
     ratio = lambda j: (k - j) * (1 - rate) / ((n - k + j + 1) * rate)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
-    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(4096).cast("long"))), start, lambda a, j: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * ratio(j)).alias("term")))
-    rest = terms["term"] / (1 - F.least(ratio(F.least(k, F.lit(4096).cast("long")) + 1), F.lit(0.999)))
-    return F.when(k >= n * rate, F.lit(1.0)).otherwise(top * (terms["sum"] + rest))
+    below = k < n * rate
+    last = F.when(below, F.least(k.cast("long"), (12 * F.sqrt(n * rate) + 64).cast("long"))).otherwise(F.lit(0).cast("long"))
+    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), last), start, lambda a, j: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * ratio(j)).alias("term")))
+    return F.when(below, top * terms["sum"]).otherwise(F.lit(1.0))
 
 
 def shares() -> list[Column]:

@@ -179,6 +179,17 @@ def test_binomial_tail_is_exact(spark):
         assert got == pytest.approx(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)), rel=1e-6)
 
 
+def test_binomial_tail_has_all_terms_of_large_counts(spark):
+    from math import exp, fsum, lgamma, log
+
+    # just below the mean thousands of terms count
+    for k, n, p in ((26_700, 4_000_000, 0.0067), (26_000, 4_000_000, 0.0067), (30_000_000, 60_001_000, 0.5)):
+        start = 0 if k < 100_000 else k - 60_000
+        want = fsum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p)) for j in range(start, k + 1))
+        got = spark.range(1).select(rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_neighbours_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
