@@ -9,7 +9,9 @@ Defined cases: null texts and texts without a letter are 'und' with score 0; tie
 in alphabetical order; words in a script that no language uses have no say; without any learnt
 language all is 'und'; equal texts get equal results, and repeated rows count as often in learning; a very
 long text is labelled whole; an empty table gives an empty result; extra columns are ignored. Languages
-are at most MOST_LANGUAGES (ValueError beyond), as every task holds their tables.
+are counted in blocks of BLOCK_LANGUAGES, a pass over the texts of each, so that what a task counts has a
+bound; all are candidates of every text. Beyond MOST_LANGUAGES, 256 KB of scores each, a task can't hold the
+model: that raises a ValueError.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from derivia.llm.common import LOWER, plain_keys, slices, small_batches, text_bu
 from derivia.llm.slabs import gathered, slab_rows
 
 GRAMS = 1 << 16
-MOST_LANGUAGES = 128
+BLOCK_LANGUAGES = 128
+MOST_LANGUAGES = 2048
+#: Scores of trigrams that are looked up at once.
+SCORES = 16 << 20
 PENALTY = 8.0
 #: The least score of a word for one language against another.
 FLOOR = -12.0
@@ -99,6 +104,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     names = sorted(r["lang"] for r in docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    table, allowed = np.zeros((GRAMS, len(names)), np.float32), np.zeros((len(SCRIPTS), len(names)), bool)
+    for start in range(0, len(names), BLOCK_LANGUAGES):
+        block = names[start : start + BLOCK_LANGUAGES]
+        mine = docs if len(block) == len(names) else docs.where(F.col("lang").isin(block))
+        grams, scripts = counts(mine, block)
+        table[:, start : start + len(block)] = (np.log(grams + 0.2) - np.log(grams.sum(axis=1, keepdims=True) + 0.2 * GRAMS)).T
+        allowed[:, start : start + len(block)] = (scripts >= OWN_SCRIPT * np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T
+    return names, table, allowed
+
+
+def counts(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram buckets (languages, GRAMS) and words by script (languages, scripts) of docs(text, lang), whose languages are all among names."""
     size = len(names) * GRAMS
 
     def count(batches):
@@ -111,13 +128,23 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             scripts += np.bincount(own * len(SCRIPTS) + runs.script, minlength=len(scripts))
         yield slab_rows(np.concatenate([grams, scripts]))
 
-    if not names:
-        return [], np.zeros((GRAMS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool)
     cells = gathered(docs.mapInArrow(count, "slab int, cells binary"), size + len(names) * len(SCRIPTS), np.int64)
-    grams, scripts = cells[:size].reshape(len(names), GRAMS), cells[size:].reshape(len(names), len(SCRIPTS))
-    score = np.log(grams + 0.2) - np.log(grams.sum(axis=1, keepdims=True) + 0.2 * GRAMS)
-    allowed = scripts >= OWN_SCRIPT * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return names, np.ascontiguousarray(score.T.astype(np.float32)), allowed.T
+    return cells[:size].reshape(len(names), GRAMS), cells[size:].reshape(len(names), len(SCRIPTS))
+
+
+def word_scores(table: np.ndarray, runs: Runs, most: int) -> np.ndarray:
+    """The sum of its trigrams' scores for each word, from the table of at most `most` trigrams at a time, in parts of a longer word too."""
+    out = np.zeros((len(runs.row), table.shape[1]), np.float32)
+    begin, ends = runs.begin, runs.begin + runs.lengths
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(ends, begin[a] + most, "right")))
+        if ends[a] - begin[a] > most:
+            out[a] = sum(table[runs.gram[at : min(at + most, ends[a])]].sum(axis=0, dtype=np.float64) for at in range(begin[a], ends[a], most))
+        else:
+            out[a:b] = np.add.reduceat(table[runs.gram[begin[a] : ends[b - 1]]], begin[a:b] - begin[a], axis=0)
+        a = b
+    return out
 
 
 def viterbi(score: np.ndarray, row_begin: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -125,17 +152,17 @@ def viterbi(score: np.ndarray, row_begin: np.ndarray, counts: np.ndarray, penalt
 
     All texts of the slice take each step together, longest first, so that those still running are a prefix.
     """
-    path = np.zeros(len(score), np.int8)
+    path = np.zeros(len(score), np.int16)
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] > 0]
     if not len(order):
         return path
     begin, left = row_begin[order], counts[order]
     switched = np.zeros(score.shape, bool)
-    source = np.zeros(len(score), np.int8)
+    source = np.zeros(len(score), np.int16)
     best = score[begin].astype(np.float64)
     running = np.searchsorted(-left, -np.arange(1, left[0] + 1), "right")  # texts with at least t words
-    finals = np.zeros(len(order), np.int8)
+    finals = np.zeros(len(order), np.int16)
     for t in range(1, left[0]):
         m = running[t]
         if m < len(best):
@@ -167,13 +194,13 @@ def labelled(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
 
     def predict(batches):
         table, allowed = shared.value
-        for batch in slices(batches, limit=(16 << 20) // max(4, len(names))):  # scores of a slice stay near 64 MB
+        for batch in slices(batches, limit=SCORES // max(4, len(names))):  # scores of a slice stay near 64 MB
             column, n = batch.column("text"), batch.num_rows
             runs = Runs(column)
             letters = has_letter(column, runs)
             names_, values, counts_, found = ["und"] * n, np.zeros(n), np.zeros(n, np.int32), [[] for _ in range(n)]
             if names and len(runs.row):
-                score = np.add.reduceat(table[runs.gram], runs.begin, axis=0)
+                score = word_scores(table, runs, SCORES // len(names))
                 open_ = allowed[runs.script]
                 score[~open_ & open_.any(axis=1)[:, None]] = -1e9
                 score[~open_.any(axis=1)] = 0

@@ -327,6 +327,32 @@ def test_viterbi_equals_enumeration():
         assert cost(path[a : a + n]) == pytest.approx(max(map(cost, itertools.product(range(3), repeat=n))))
 
 
+def test_many_languages_are_counted_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"l{k:03d}": ["".join(rng.choice(letters, 7)) for _ in range(12)] for k in range(300)}
+    rows = [(k, " ".join(words[x]), x) for k, x in enumerate(sorted(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table, allowed = langid.learn(docs)
+    assert names == sorted(words) and table.shape == (langid.GRAMS, 300)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.labelled(docs, (names, table, allowed)).collect()}
+    assert got == {k: x for k, _, x in rows}
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 1000)
+    whole = langid.learn(docs)
+    assert names == whole[0] and (table == whole[1]).all() and (allowed == whole[2]).all()
+
+
+def test_word_scores_of_long_texts_and_words_come_in_parts():
+    import pyarrow as pa
+
+    runs = langid.Runs(pa.array(["ein Wort " * 50, "x" * 3000 + " und noch eins", "", "a"]))
+    table = np.random.default_rng(1).normal(size=(langid.GRAMS, 3)).astype(np.float32)
+    exact = np.add.reduceat(table[runs.gram].astype(np.float64), runs.begin, axis=0)
+    for most in (1, 2, 7, 100, 10_000):
+        assert np.allclose(langid.word_scores(table, runs, most), exact, rtol=1e-4, atol=1e-4)
+    assert (langid.word_scores(table, runs, 1 << 20) == np.add.reduceat(table[runs.gram], runs.begin, axis=0)).all()
+
+
 def test_packing_is_whole_gapless_and_tight(odd):
     rows = packing.pack_documents(odd.where("doc_id is not null"), tokenizer_path(), 1024).collect()
     by = {}
