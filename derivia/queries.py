@@ -15,7 +15,7 @@ from derivia.functions.providers import Answer, HashProvider
 from derivia.operators import capture, compute, contract, evaluate, similar, views
 from derivia.plans.catalog import Catalog
 from derivia.plans.state import JOBS, State, Store, conform, work_folder
-from derivia.sources import tables
+from derivia.sources import changes, tables
 from derivia.sources.tables import table
 from derivia.streaming import runtime
 
@@ -633,6 +633,28 @@ def q_sources(spark, sf):
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
+def q_change_source(spark, sf):
+    """Events as signed changes in compressed files, streamed in two runs of one checkpoint: all, then deletes of every seventh, then half of these back."""
+    spark.dataSource.register(changes.ChangeSource)
+    base = f"{work_folder(spark)}/changes-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events").select(F.lit("+").alias("op"), "event_id", "event_type")
+
+    def put(folder, df):
+        tables.write(df, f"{base}/in/{folder}", "json", compression="gzip")
+
+    def run():
+        stream = spark.readStream.format("changes").schema("op string, event_id long, event_type string, _file string, _line long").option("path", f"{base}/in").load()
+        keep = lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    put("000", rows)
+    put("001", rows.where("event_id % 7 = 0").select(F.lit("-").alias("op"), "event_id"))
+    run()
+    put("002", rows.where("event_id % 14 = 0").withColumn("event_type", F.concat("event_type", F.lit(" again"))))
+    run()
+    return changes.latest(spark.read.parquet(f"{base}/rows").drop("batch"), "event_id")
+
+
 def q_failure_audit_naive(spark, sf):
     """The audit of a process without state: it misses rows, keeps values of old texts and old prompts, and writes over people's values."""
     rows = documents(spark, sf)
@@ -707,6 +729,7 @@ ORACLE = {
     "q_forget_missing": "SELECT 'some' AS when, doc_id FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'history', doc_id FROM documents",
     "q_prune_bounded": "SELECT 'results' AS what, count(*) - least(100, count(*) FILTER (WHERE doc_id % 5 <> 0 AND doc_id % 90 > 30)) AS n FROM documents UNION ALL SELECT 'jobs', count(*) - least(100, count(*) FILTER (WHERE doc_id % 90 > 7)) FROM documents UNION ALL SELECT 'jobs after all', count(*) FILTER (WHERE doc_id % 90 <= 7) FROM documents",
     "q_sources": "SELECT kind, doc_id, lang, sha256(text) AS text_hash FROM documents, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS kind)",
+    "q_change_source": "SELECT event_id, CASE WHEN event_id % 14 = 0 THEN event_type || ' again' ELSE event_type END AS event_type FROM events WHERE event_id % 7 <> 0 OR event_id % 14 = 0",
     "q_failure_audit_naive": f"""WITH t AS (SELECT doc_id, text, text || ' edited' AS new, CASE WHEN doc_id % 10 = 3 THEN text ELSE text || ' edited' END AS seen, doc_id % 33 = 7 AS human FROM documents),
         v AS (SELECT CASE WHEN doc_id % 17 <> 5 THEN CASE WHEN doc_id % 7 = 2 THEN {label(h(PROMPT, 'seen'))} ELSE {label(h(PROMPT_2, 'seen'))} END END AS got, CASE WHEN human THEN 'by hand' ELSE {label(h(PROMPT_2, 'new'))} END AS want, {label(h(PROMPT_2, 'text'))} AS old_text, {label(h(PROMPT, 'new'))} AS old_prompt, human FROM t)
         SELECT count(*) FILTER (WHERE NOT human AND got IS NULL) AS missing, count(*) FILTER (WHERE NOT human AND got <> want) AS wrong, count(*) FILTER (WHERE NOT human AND got <> want AND got <> old_prompt AND got = old_text) AS wrong_old_text, count(*) FILTER (WHERE NOT human AND got <> want AND got = old_prompt) AS wrong_old_prompt, count(*) FILTER (WHERE human AND got IS DISTINCT FROM want) AS fixes_overwritten FROM v""",
