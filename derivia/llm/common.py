@@ -98,6 +98,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_KEY = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 PLACE_KEY = mix(np.arange(1, 65, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+#: What a byte adds to a word's hash, by its place.
+PLACED = BYTE_KEY * PLACE_KEY[:, None]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,15 +157,24 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, U64)
         lengths = self.ends - self.starts
-        at = np.flatnonzero(self.inside)
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        place = np.arange(len(at)) - np.repeat(begin, lengths)
+        near = np.minimum(lengths, len(PLACE_KEY))
+        order = np.argsort((len(PLACE_KEY) - near).astype(np.uint8), kind="stable")  # long words first
+        at = self.starts[order]
+        longer = len(at) - np.cumsum(np.bincount(near, minlength=len(PLACE_KEY) + 1))
+        total = np.zeros(len(at), U64)
         with np.errstate(over="ignore"):
-            far = place >= len(PLACE_KEY)
-            key = PLACE_KEY[np.where(far, 0, place)]
-            if far.any():
-                key[far] = mix(place[far].astype(U64) * U64(0xD1B54A32D192ED03)) | U64(1)
-            total = np.add.reduceat(BYTE_KEY[self.data[at]] * key, begin)
+            for place, n in enumerate(longer[:-1]):  # one byte of the words that have it at a time: arrays are by words, not by bytes
+                if not n:
+                    break
+                total[:n] += PLACED[place].take(self.data[place:].take(at[:n]))
+            total[order] = total.copy()
+            far = np.flatnonzero(lengths > len(PLACE_KEY))
+            if len(far):
+                count = lengths[far] - len(PLACE_KEY)
+                begin = np.cumsum(count) - count
+                place = np.arange(count.sum()) - np.repeat(begin, count) + len(PLACE_KEY)
+                key = mix(place.astype(U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+                total[far] += np.add.reduceat(BYTE_KEY[self.data[np.repeat(self.starts[far], count) + place]] * key, begin)
             return mix(total ^ (lengths.astype(U64) * U64(0x9E3779B97F4A7C15)))
 
 

@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from derivia.llm.common import BYTE_KEY, LOWER, PLACE_KEY, U64, Words, mix, slices
+from derivia.llm.common import LOWER, PLACED, U64, Words, mix, slices
 
 BITS = 15
+#: Entries of a matrix that one numpy step of a fit handles, so that its arrays stay in a core's cache.
+BLOCK = 1 << 15
 
 
 def byte_classes() -> np.ndarray:
@@ -28,21 +30,19 @@ CLASS = byte_classes()
 
 def runs_hash(words: Words) -> np.ndarray:
     """A hash of each word's shape: its byte classes with runs taken as one."""
-    kind = CLASS[words.data]
-    at = np.flatnonzero(words.inside)
-    if not len(at):
+    if not len(words.starts):
         return np.zeros(0, U64)
-    lengths = words.ends - words.starts
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    k = kind[at]
-    fresh = np.ones(len(k), bool)
-    fresh[1:] = k[1:] != k[:-1]
-    fresh[begin] = True
-    order = np.cumsum(fresh) - 1
-    order -= np.repeat(order[begin], lengths)
+    kind = CLASS.take(words.data)
+    first = np.zeros(len(kind), bool)
+    first[words.starts] = True
+    fresh = first.copy()
+    fresh[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(fresh & words.inside)  # where a run begins
+    begin = np.flatnonzero(first[at])
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
+    np.minimum(place, len(PLACED) - 1, out=place)
     with np.errstate(over="ignore"):
-        part = np.where(fresh, BYTE_KEY[k] * PLACE_KEY[np.minimum(order, len(PLACE_KEY) - 1)], U64(0))
-        return mix(np.add.reduceat(part, begin))
+        return mix(np.add.reduceat(PLACED.ravel().take(place * 256 + kind[at]), begin))
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,28 +63,52 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return row, key & ((1 << bits) - 1), np.sqrt(count / total[row])
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
 def probabilities(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(n, classes) softmax scores."""
-    z = np.stack([np.bincount(row, value * weights[bucket, k], n) + bias[k] for k in range(len(bias))], axis=1)
-    z -= z.max(axis=1, keepdims=True)
-    z = np.exp(z)
-    return z / z.sum(axis=1, keepdims=True)
+    return softmax(np.stack([np.bincount(row, value * weights[bucket, k], n) + bias[k] for k in range(len(bias))], axis=1))
+
+
+class Sums:
+    """Sums by group of value * x[at], for one x after another: the entries (group, at, value) are sorted by group once."""
+
+    def __init__(self, group: np.ndarray, at: np.ndarray, values: np.ndarray, groups: int):
+        order = np.argsort(group, kind="stable")
+        self.at, self.values, self.groups = at[order], values[order], groups
+        count = np.bincount(group, minlength=groups)
+        self.some = np.flatnonzero(count)
+        self.begin = np.append((np.cumsum(count) - count)[self.some], len(order))
+        self.blocks = np.unique(np.append(np.searchsorted(self.begin, np.arange(0, len(order), BLOCK)), len(self.some)))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.groups)
+        for i, j in zip(self.blocks, self.blocks[1:], strict=False):
+            a, b = self.begin[i], self.begin[j]
+            part = x.take(self.at[a:b], mode="clip")  # all are in range, and clipping is faster than the check
+            part *= self.values[a:b]
+            out[self.some[i:j]] = np.add.reduceat(part, self.begin[i:j] - a)
+        return out
 
 
 def fitted(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, targets: np.ndarray, bits: int = BITS, steps: int = 150, l2: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression on soft targets (n, classes) by accelerated full-batch gradient steps; the same rows give the same model."""
     n, k = targets.shape
     used, local = np.unique(buckets, return_inverse=True)
-    w, b = np.zeros((len(used), k)), np.log(targets.mean(axis=0) + 1e-6)
+    by_row, by_bucket = Sums(rows, local, values, n), Sums(local, rows, values, len(used))
+    w, b = np.zeros((k, len(used))), np.log(targets.mean(axis=0) + 1e-6)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
-        p = probabilities(rows, local, values, n, w, b)
-        wrong = (p - targets) / n
-        gw = np.stack([np.bincount(local, values * wrong[rows, c], len(used)) for c in range(k)], axis=1) + l2 * w
-        vw, vb = 0.9 * vw - rate * gw, 0.9 * vb - rate * wrong.sum(axis=0)
+        p = softmax(np.stack([by_row.of(w[c]) + b[c] for c in range(k)], axis=1))
+        wrong = np.ascontiguousarray(((p - targets) / n).T)
+        gw = np.stack([by_bucket.of(x) for x in wrong]) + l2 * w
+        vw, vb = 0.9 * vw - rate * gw, 0.9 * vb - rate * wrong.sum(axis=1)
         w, b = w + vw, b + vb
     out = np.zeros((1 << bits, k))
-    out[used] = w
+    out[used] = w.T
     return out, b
 
 
