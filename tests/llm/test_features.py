@@ -88,3 +88,44 @@ def test_fit_equals_a_plain_one_in_less_cpu():
     none = np.zeros(0, np.int64)
     got, bias = linear.fitted(none, none, np.zeros(0), targets[:5], steps=3)
     assert not got.any() and got.shape == (1 << linear.BITS, 3)
+
+
+class Here:
+    """As much of a DataFrame as linear.fit_on takes, run in this process."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return self
+
+    def repartition(self, n):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        return Here(f(self.batches))
+
+    def collect(self):
+        return [r for batch in self.batches for r in batch.to_pylist()]
+
+
+def test_the_task_of_a_fit_takes_memory_by_narrow_entries():
+    rng = np.random.default_rng(5)
+    words = np.array([f"{'ab'[k % 2]}{k}" for k in range(20000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 500)]) for _ in range(1500)]
+    column = pa.array([None, "", *texts, *ODD[2:]])
+    targets = pa.array([[1.0, 0.0] if k % 3 else [0.25, 0.75] for k in range(len(column))], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([column, targets], ["text", "target"])
+    entries = len(linear.features(column)[0])
+    tracemalloc.start()
+    w, b = linear.fit_on(Here([batch.slice(0, 700), batch.slice(700)]), 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert entries > 500_000 and most < 60 * entries, most / entries
+    # however the rows come, the model is the same, and that of wide numbers
+    again = linear.fit_on(Here([batch.slice(900), batch.slice(0, 900)]), 2)
+    assert (w == again[0]).all() and (b == again[1]).all()
+    row, bucket, value = linear.features(column)
+    narrow = linear.fitted(row.astype(np.int32), bucket.astype(np.uint16), value.astype(np.float32), np.array(targets.to_pylist()), steps=9)
+    wide = linear.fitted(row, bucket, value.astype(np.float32).astype(float), np.array(targets.to_pylist()), steps=9)
+    assert (narrow[0] == wide[0]).all() and (narrow[1] == wide[1]).all()
