@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,16 @@ from derivia.plans.catalog import Definition
 from derivia.plans.state import State, materialized
 
 COLUMNS = [p.strip().split(" ")[0] for p in COMPUTED.split(",")]
+ARROW = {"long": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+FIELDS = pa.schema([(c, ARROW[t]) for c, t in (p.strip().split(" ") for p in COMPUTED.split(","))])
 #: Questions in one decision call at most.
 FAN_OUT = 16
+as_json = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def row_of(job: dict, a: Answer, config: dict) -> tuple:
     u = priced(a.usage, config)
-    value = None if a.error is not None else json.dumps(a.value, ensure_ascii=False, separators=(",", ":"))
+    value = None if a.error is not None else as_json(a.value)
     return (job["def_id"], job["row_key"], job["source_hash"], value, a.confidence, a.model, u.get("prompt_tokens"), u.get("completion_tokens"), u.get("cost"), a.latency_ms, None if a.details is None else json.dumps(a.details), a.error, a.retryable, a.rate_limited)
 
 
@@ -32,6 +36,12 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS)
 
 
+def record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """frame as Arrow; NaN is null as there."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+
+
 def tried(call, n: int) -> list[Answer]:
     """The answers of a call for n jobs; an exception or a wrong number of answers fails them all, as data."""
     try:
@@ -59,18 +69,24 @@ def derived(jobs: DataFrame, d: Definition, provider: Provider) -> DataFrame:
         jobs = jobs.withColumn("message", keys.user_message(d.current.prompt or "", d.current.schema, F.coalesce("text", F.lit(""))))
     ask = provider.reply if raw else provider.derive
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(x: dict) -> tuple:
+        try:
+            a = ask(s | x)
+        except Exception as e:
+            a = classify(e)
+        return row_of(x, a, s["config"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threads = max(1, int(s["config"]["concurrency"]))
-        one = lambda x: row_of(x, tried(lambda: [ask(s | x)], 1)[0], s["config"])
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                todo = batch.to_dict("records")
+                todo = batch.to_pylist()
                 # a thread takes some rows at a time, but leaves enough for the others
                 part = max(1, min(32, len(todo) // (4 * threads)))
                 parts = pool.map(lambda k: [one(x) for x in todo[k : k + part]], range(0, len(todo), part))  # noqa: B023
-                yield frame([r for p in parts for r in p])
+                yield record_batch([r for p in parts for r in p])
 
-    out = jobs.mapInPandas(run, COMPUTED)
+    out = jobs.mapInArrow(run, COMPUTED)
     return checked_replies(out, d) if raw else out
 
 

@@ -37,3 +37,10 @@ def test_replies_of_nested_objects(spark):
         verdicts(spark, "jsonb", {"type": "object", "properties": {"a": {"pattern": "x"}}}, ["{}"])
     with pytest.raises(DefinitionError):
         replies.response_schema("vector", {"dimensions": 3})
+
+
+def test_a_reply_is_parsed_and_taken_apart_once(spark):
+    rows = spark.createDataFrame([('{"value": "a", "confidence": 1}',)], "reply string")
+    plan = rows.select(replies.checked("enum", ["a", "b"], F.col("reply")))._jdf.queryExecution().optimizedPlan().toString()
+    # bare, and without what follows a fence; the fields once
+    assert plan.count("parse_json(") + plan.count("parseJson,") <= 2 and plan.count("MapType(StringType,VariantType") + plan.count("map<string,variant>") <= 1
