@@ -165,29 +165,44 @@ def forgotten_missing(state: State, d: Definition, rows: DataFrame) -> State:
     return forgotten(state, d, known.join(keyed(d, rows).select("row_key"), "row_key", "left_anti"))
 
 
-def backfill_step(state: State, d: Definition, rows: DataFrame, now) -> tuple[State, Definition, int]:
-    """Scan the next chunk in key order and queue what needs work. The scan ends with a chunk that isn't full.
+def backfill_step(state: State, d: Definition, rows: DataFrame, now, chunks: int = 1) -> tuple[State, Definition, int]:
+    """Scan the next chunk, or so many at once, in key order and queue what needs work. The scan ends with a step that isn't full.
 
-    The first step writes the table's keys and hashes clustered by the key; a step reads its chunk of that.
+    The first step writes the table's keys and hashes clustered by the key; a step reads its chunks of that.
     """
-    spark, chunk = rows.sparkSession, d.config["backfill_chunk"]
+    spark, size = rows.sparkSession, d.config["backfill_chunk"] * chunks
     if not scan.there(spark, d.backfill_scan):
         left = rows if d.backfill_cursor is None else rows.where(keyset_after(d.pk, d.backfill_cursor))
         keys = left.select(*[F.col(f"`{c}`") for c in d.pk], row_key(d.pk).alias("row_key"), row_order(d.pk, dict(rows.dtypes)).alias("row_order"), source_hash(d.sources).alias("source_hash"))
-        d = replace(d, backfill_scan=scan.clustered(keys, d.pk, chunk, d.backfill_scanned))
-    part, n = scan.chunk_of(spark, d.backfill_scan, d.backfill_scanned, chunk)
+        d = replace(d, backfill_scan=scan.clustered(keys, d.pk, d.config["backfill_chunk"], d.backfill_scanned))
+    part, n = scan.chunk_of(spark, d.backfill_scan, d.backfill_scanned, size)
     last = d.backfill_cursor
     if part is not None:
         last = tuple(part.agg(F.max(F.struct(*[F.col(f"`{c}`") for c in d.pk])).alias("last")).first()["last"])
         keys = part.select(F.lit(d.def_id).cast("long").alias("def_id"), "row_key", "row_order", "source_hash")
-        state = enqueued(state, needing_work(state, [d], keys, True), now)
-    more = n == chunk
+        few = keys if n <= FEW_ROWS else None
+        state = enqueued(state, needing_work(state, [d], keys, True, few), now, few)
+    more = n == size
     if not more:
         deleted_path(spark, d.backfill_scan["path"])
     d = replace(d, backfill_scanned=d.backfill_scanned + n, backfill_cursor=last, backfill_pending=more, backfill_scan=d.backfill_scan if more else None)
     return replace(state, catalog=state.catalog.put(d)), d, n
 
 
+def stepped(state: State, d: Definition, rows: DataFrame, now, growth: int = 4) -> tuple[State, Definition]:
+    """A running scan by chunks carried to its end, with a cursor after each step.
+
+    A step looks up its rows among all queued jobs. With one chunk a step that takes the square of the table's
+    rows; so each step takes `growth` times the chunks of the one before, and all look up about the table once.
+    """
+    chunks = 1
+    while d.backfill_pending:
+        state, d, _ = backfill_step(state, d, rows, now, chunks)
+        state = state.materialized("jobs")
+        chunks *= growth
+    return state, d
+
+
 def backfilled(state: State, d: Definition, rows: DataFrame, now) -> tuple[State, Definition]:
     """Scan the whole table in one pass: what Spark does where the reference design needs chunks."""
     state, (d,) = backfilled_all(state, [d], rows, now)

@@ -13,6 +13,7 @@ capture of changes; a hash that is out of date is read anew at the claim.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,20 +44,26 @@ def there(spark, scan: dict | None) -> bool:
 
 def chunk_of(spark, scan: dict, scanned: int, chunk: int) -> tuple[DataFrame | None, int]:
     """The rows number scanned to scanned + chunk of the scan, from the files that have them, and how many they are."""
-    rank, parts = scan["base"], []
+    rank, whole, parts, found = scan["base"], [], [], 0
     for name, first, n in scan["files"]:
         lo, hi = max(scanned, rank) - rank, min(scanned + chunk, rank + n) - rank
         if lo < hi:
-            parts.append((name, first + lo, first + hi - 1, hi - lo))
+            found += hi - lo
+            if hi - lo == n:
+                whole.append(f"{scan['path']}/{name}")
+            else:
+                parts.append((f"{scan['path']}/{name}", first + lo, first + hi - 1))
         rank += n
-    if not parts:
+    if not found:
         return None, 0
-    rows = spark.read.parquet(*[f"{scan['path']}/{name}" for name, *_ in parts])
-    mine = F.lit(False)
-    # files of one partition follow each other, so there are no more ranges than partitions that a chunk meets
-    for lo, hi in joined([(lo, hi) for _, lo, hi, _ in parts]):
-        mine = mine | F.col("_row").between(lo, hi)
-    return rows.where(mine), sum(n for *_, n in parts)
+    # files that are in it as a whole need no look at the numbers
+    rows = [spark.read.parquet(*whole)] if whole else []
+    if parts:
+        mine = F.lit(False)
+        for lo, hi in joined([(lo, hi) for _, lo, hi in parts]):
+            mine = mine | F.col("_row").between(lo, hi)
+        rows.append(spark.read.parquet(*[name for name, *_ in parts]).where(mine))
+    return reduce(DataFrame.union, rows), found
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

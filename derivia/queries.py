@@ -252,9 +252,7 @@ def q_backfill_all(spark, sf):
     """The chunked scan carried to its end: every order is queued."""
     rows = table(spark, sf, "orders")
     state, d = declared(spark, rows, "orders", ("o_orderkey",), ("o_orderpriority",), config={"backfill_chunk": 100_000})
-    while d.backfill_pending:
-        state, d, _ = capture.backfill_step(state, d, rows, NOW)
-        state = state.materialized("jobs")
+    state, _ = capture.stepped(state, d, rows, NOW)
     return state.jobs.select(order_key(), "status")
 
 

@@ -56,3 +56,22 @@ def test_an_empty_table_ends_its_scan(spark):
     state, d = started(spark, rows, ("id",), 10)
     state, d, n = capture.backfill_step(state, d, rows, NOW)
     assert n == 0 and not d.backfill_pending and state.jobs.count() == 0
+
+
+def test_a_scan_that_nobody_stops_takes_few_steps(spark, monkeypatch):
+    monkeypatch.setattr(scan, "LEAST_ROWS", 50)
+    rows = spark.range(3_070).select((3_070 - F.col("id")).alias("id"), F.concat(F.lit("x"), "id").alias("name"))
+    seen, real = [], capture.backfill_step
+
+    def spy(*a):
+        out = real(*a)
+        seen.append((out[2], out[1].backfill_cursor))
+        return out
+
+    monkeypatch.setattr(capture, "backfill_step", spy)
+    state, d = started(spark, rows, ("id",), 100)
+    # another has taken the first chunk
+    state, d, _ = real(state, d, rows, NOW)
+    state, d = capture.stepped(state, d, rows, NOW)
+    assert seen == [(100, (200,)), (400, (600,)), (1600, (2200,)), (870, (3070,))] and not d.backfill_pending and d.backfill_scanned == 3_070
+    assert state.jobs.where("status = 'pending'").count() == state.jobs.select("row_key").distinct().count() == 3_070
