@@ -11,7 +11,7 @@ from derivia.functions.providers import HashProvider
 from derivia.operators import capture, compute, contract, views
 from derivia.plans import state as plans
 from derivia.plans.state import State, Store
-from derivia.streaming import runtime
+from derivia.streaming import keyed, runtime
 
 NOW = dt.datetime(2026, 4, 2, 9)
 SIZES = ["s", "m", "l"]
@@ -213,3 +213,40 @@ def test_a_stream_knows_its_keys(spark, tmp_path):
     assert rows == {k: f"n{k}" for k in (*range(40), 50) if k != 2} | {1: "new"}
     assert {r["row_key"] for r in state.cells.collect()} == {f'{{"machine":{k}}}' for k in rows}
     assert state.jobs.where(capture.is_live()).count() == 0 and views.stale_rows(state).count() == 0
+
+
+def test_what_a_stream_knows_lies_in_the_store_with_its_rows(spark, tmp_path):
+    schema = "machine long, note string, at int, removed boolean"
+    store = Store(spark, str(tmp_path / "s"))
+    state, _ = capture.declared(State.empty(spark), spark.createDataFrame([], schema), "machine", "size", ("machine",), ("note",), "enum", prompt="how big?", model="hash-1", schema=SIZES)
+    store.commit(state, 0)
+
+    def fed(rows, place):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{place}/in")
+        changes = spark.readStream.schema(schema).parquet(f"{tmp_path}/{place}/in")
+        runtime.on_stream(changes, store, "machine", ("machine",), HashProvider(), f"{tmp_path}/{place}/checkpoint", lambda: NOW, order="at", deleted="removed").awaitTermination()
+
+    fed([(1, "a", 1, False), (2, "b", 1, False), (None, "c", 1, False), (7, None, 4, True)], "first")
+    fed([(2, None, 5, True)], "first")
+    # a new stream knows the deletes, too, also that of a key that it never had
+    fed([(2, "late", 4, False), (7, "late", 3, False), (None, "c", 1, False), (3, "d", 1, False)], "second")
+    streamed = store.load().streams["machine"]
+    assert sorted((r["machine"] or 0, r["note"]) for r in streamed.read().collect()) == [(0, "c"), (1, "a"), (3, "d")]
+    entries = {r["row_key"]: (r["_order"], r["_dead"]) for r in streamed.known.read(keyed.KEY).collect()}
+    assert entries == {key_of("null"): (1, False), key_of(1): (1, False), key_of(2): (5, True), key_of(3): (1, False), key_of(7): (4, True)}
+    assert not os.path.exists(f"{tmp_path}/first/checkpoint/state")
+
+
+def test_entries_of_keys_are_looked_up_in_all_layers_and_the_last_counts(spark, monkeypatch):
+    schema = "k long, note string, at int"
+    last = lambda rows: plans.counted(keyed.last_of_each(spark.createDataFrame(rows, schema), ("k",), "at"), "batch")
+    known = plans.Layers(plans.Layer(keyed.learnt(last([(0, "", 0)])).rows.limit(0).drop("_gone"), 0))
+    for rows in ([(1, "a", 1), (2, "a", 1)], [(1, "b", 2), (3, "a", 1)], [(1, "c", 3)]):
+        known = known.with_change(keyed.KEY, keyed.learnt(last(rows)))
+    assert known.changes
+    batch = last([(1, "late", 2), (1, "late", 1), (2, "a", 1), (3, "b", 2), (4, "a", None)])
+    found = lambda: sorted((r["row_key"], r["_known"], r["_changed"]) for r in keyed.effective(batch, known).collect())
+    want = [('{"k":3}', True, ["note", "at"]), ('{"k":4}', False, ["k", "note", "at"])]
+    assert found() == want
+    monkeypatch.setattr(keyed, "FEW_ROWS", 0)
+    assert found() == want
