@@ -250,3 +250,10 @@ def test_entries_of_keys_are_looked_up_in_all_layers_and_the_last_counts(spark,
     assert found() == want
     monkeypatch.setattr(keyed, "FEW_ROWS", 0)
     assert found() == want
+
+
+def test_changes_without_deletes_look_for_nothing_to_forget(spark, monkeypatch):
+    rows, state = queued(spark, 3)
+    monkeypatch.setattr(capture, "forgotten", lambda *a: pytest.fail("there are no deletes"))
+    changes = rows.selectExpr("*", "false as _gone", "true as _known", "array('note') as _changed")
+    assert capture.captured_changes(state, state.catalog.by_id(1), changes, 3, NOW).jobs.count() == 3
